@@ -147,7 +147,7 @@ def assign_cells(trees: dict[bytes, Tree], overflow: int, x: np.ndarray) -> np.n
 
 
 def xcols(dims: int) -> list[str]:
-    return [f"x{i}" for i in range(dims)]
+    return [f"_gx{i}" for i in range(dims)]
 
 
 def presence(dims: int) -> Column:

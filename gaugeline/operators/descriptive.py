@@ -234,7 +234,9 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = 30) -> DataFra
         if width == 0:
             place = F.when(x.isNotNull(), F.lit(0))
         else:
-            place = F.least(F.floor((x - low) / F.lit(width)).cast("int"), F.lit(bins - 1))
+            # ``least`` skips NULL, so gaps are kept out explicitly.
+            spot = F.floor((x - low) / F.lit(width)).cast("int")
+            place = F.when(x.isNotNull(), F.least(spot, F.lit(bins - 1)))
         fields[c] = {"bin": place, "low": F.lit(low), "width": F.lit(width)}
     return (
         long_form(df, [], fields)

@@ -246,7 +246,7 @@ def impute_knn(
     base = distinct.select(F.col("qid").alias("nid"), F.least("n", F.lit(k)).alias("w"), *names)
     gap = F.lit(False)
     for i in at:
-        gap = gap | F.col(f"x{i}").isNull()
+        gap = gap | F.col(names[i]).isNull()
     found = search(
         distinct.filter(gap), base, dims, k, targets=at, cell_rows=cell_rows
     )
@@ -264,18 +264,18 @@ def impute_knn(
         near = F.coalesce(F.col("zero_sum") / F.col("zero_n"), near)
     filled = sums.select("qid", "target", near.alias("fill"))
     wide = filled.groupBy("qid").agg(
-        *[F.max(F.when(F.col("target") == i, F.col("fill"))).alias(f"f{i}") for i in at]
+        *[F.max(F.when(F.col("target") == i, F.col("fill"))).alias(f"_gf{i}") for i in at]
     )
     answers = distinct.join(wide, "qid").select(
-        *[F.col(x).alias(f"y{i}") for i, x in enumerate(names)], *[f"f{i}" for i in at]
+        *[F.col(x).alias(f"_gy{i}") for i, x in enumerate(names)], *[f"_gf{i}" for i in at]
     )
     same = F.lit(True)
     for i in range(dims):
-        same = same & F.col(f"x{i}").eqNullSafe(F.col(f"y{i}"))
+        same = same & F.col(names[i]).eqNullSafe(F.col(f"_gy{i}"))
     joined = df.withColumns(placed).join(answers, same, "left")
     values = {f: num(f) for f in features}
     for t, i in zip(targets, at, strict=True):
-        fill = F.col(f"f{i}")
+        fill = F.col(f"_gf{i}")
         fill = scaler.unscaled(t, fill) if scale else fill
         values[t] = F.coalesce(num(t), fill, F.lit(scaler.means[i]).cast("double"))
     return joined.withColumns(values).select(*[col(c) for c in df.columns])
