@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -46,3 +48,23 @@ def local_session(name: str = "gaugeline") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Needed where the package is not installed on the executors.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    target = Path(tempfile.mkdtemp(prefix="gaugeline-pkg-")) / "gaugeline.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted((root / "gaugeline").rglob("*.py")):
+            archive.write(source, source.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
