@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugeline.functions.columns import col
 from gaugeline.functions.fixed_values import ANNUAL, MONTHS, STATISTICS
 from gaugeline.functions.numbers import normalize_numbers
+from gaugeline.functions.session import keep
 from gaugeline.operators import iforest, limits, panel
 from gaugeline.operators.classify import load_model, save_model
 from gaugeline.operators.cluster import kmeans_fit
@@ -214,7 +215,7 @@ def sheet_cells(spark: SparkSession, sf: str) -> DataFrame:
         )
         .alias("cells"),
     )
-    return title.unionByName(header).unionByName(body).unionByName(blank)
+    return keep(title.unionByName(header).unionByName(body).unionByName(blank))
 
 
 def page_keys(spark: SparkSession, sf: str) -> DataFrame:

@@ -249,37 +249,50 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def block_best(
     q: pd.DataFrame, b: pd.DataFrame, dims: int, k: int, targets: Sequence[int] | None
 ) -> Iterator[pd.DataFrame]:
-    """The k nearest base rows of each query of a block, ties by base id."""
+    """The k nearest base rows of each query of a block, ties by base id.
+
+    Where the block carries a reach per query, farther rows cannot be among its k nearest
+    and stay out of the result.
+    """
     names = xcols(dims)
     b = b.sort_values("nid", kind="stable")
     x, nid, w = b[names].to_numpy(float), b.nid.to_numpy(), b.w.to_numpy()
     qx, qid = q[names].to_numpy(float), q.qid.to_numpy()
+    wanted = [-1] if targets is None else list(targets)
+    reach = {
+        t: allowance(q[f"r{j}"]) if f"r{j}" in q else np.full(len(q), np.inf)
+        for j, t in enumerate(wanted)
+    }
     step = max(1, 2_000_000 // max(1, len(x)))
     for at in range(0, len(qx), step):
         part, ids = qx[at : at + step], qid[at : at + step]
         d = distances(part, x)
         if targets is None:
-            yield _smallest(d, k, ids, nid, w, None, -1)
+            yield _smallest(d, k, ids, nid, w, None, -1, reach[-1][at : at + step])
             continue
         for t in targets:
             need, have = np.isnan(part[:, t]), ~np.isnan(x[:, t])
             if need.any() and have.any():
                 yield _smallest(
-                    d[np.ix_(need, have)], k, ids[need], nid[have], w[have], x[have, t], t
+                    d[np.ix_(need, have)], k, ids[need], nid[have], w[have], x[have, t], t,
+                    reach[t][at : at + step][need],
                 )
 
 
-def _smallest(d, k, qid, nid, w, value, target) -> pd.DataFrame:
+def allowance(reach: pd.Series) -> np.ndarray:
+    """Known reach with room for rounding; unlimited where it is not known yet."""
+    r = reach.to_numpy(float)
+    return np.where(np.isnan(r), np.inf, r * (1 + 1e-12) + 1e-300)
+
+
+def _smallest(d, k, qid, nid, w, value, target, reach) -> pd.DataFrame:
     if d.shape[1] > k:
         # A missing distance (no shared coordinate) sorts last.
         kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-        row, column = np.nonzero(d <= kth[:, None])
-        short = np.isnan(kth)
-        if short.any():
-            r2, c2 = np.nonzero(~np.isnan(d) & short[:, None])
-            row, column = np.append(row, r2), np.append(column, c2)
+        kth = np.where(np.isnan(kth), np.inf, kth)
     else:
-        row, column = np.nonzero(~np.isnan(d))
+        kth = np.full(len(d), np.inf)
+    row, column = np.nonzero(d <= np.minimum(kth, reach)[:, None])
     dist = d[row, column]
     order = np.lexsort((column, dist, row))
     row, column, dist = row[order], column[order], dist[order]
@@ -304,6 +317,7 @@ def _visit(
     """Run queries ``(qid, x0.., cell)`` against their cells, block against block."""
     spark = queries.sparkSession
     names = xcols(layout.dims)
+    reaches = {f"r{j}" for j in range(len(targets) if targets is not None else 1)}
     asked = {r.cell: r.n for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     splits = [
         (c, math.ceil(int(layout.rows[c]) / BASE_BLOCK), math.ceil(n / QUERY_BLOCK))
@@ -317,7 +331,7 @@ def _visit(
         queries.join(plan, "cell")
         .withColumn("qs", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int"))
         .withColumn("bs", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select(*keys, "qid", *names)
+        .select(*keys, "qid", *names, *[c for c in queries.columns if c in reaches])
     )
     right = (
         placed.join(plan, "cell")
@@ -415,6 +429,9 @@ def search(
         ]
     )
 
+    reaches = [f"r{j}" for j in range(len(wanted))]
+    more = ", ".join(f"{r} double" for r in reaches)
+
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filled = layout.rows > 0
         for pdf in batches:
@@ -424,18 +441,16 @@ def search(
                 bound = layout.bounds(q)
                 go = np.zeros(bound.shape, dtype=bool)
                 for j, t in enumerate(wanted):
-                    r = part[f"r{j}"].to_numpy(float)
-                    r = np.where(np.isnan(r), np.inf, r * (1 + 1e-12) + 1e-300)
-                    hit = (bound <= r[:, None]) & np.isfinite(bound)
+                    hit = (bound <= allowance(part[f"r{j}"])[:, None]) & np.isfinite(bound)
                     if t >= 0:
                         hit &= np.isnan(q[:, t])[:, None] & (layout.seen[:, t] | layout.mixed)
                     go |= hit
                 go &= filled & (np.arange(len(filled)) != part.cell.to_numpy()[:, None])
                 row, cell = np.nonzero(go)
-                yield part[["qid", *names]].iloc[row].assign(cell=cell)
+                yield part[["qid", *names, *reaches]].iloc[row].assign(cell=cell)
 
     further = keep(
-        started.join(reach, "qid", "left").mapInPandas(probe, f"{fields}, cell bigint")
+        started.join(reach, "qid", "left").mapInPandas(probe, f"{fields}, {more}, cell bigint")
     )
     rest = _visit(further, placed, layout, k, targets)
     out = cut_lineage(top_k(first.drop("before").unionByName(rest), k))

@@ -131,20 +131,21 @@ def _spearman(df: DataFrame, features: Sequence[str]) -> DataFrame:
     ranked = joint.join(ranks("x", "bx"), ["pair", "bx", "x"]).join(
         ranks("y", "by"), ["pair", "by", "y"]
     )
-    # Weighted moments of the ranks; centring first keeps the sums small.
-    mean = ranked.groupBy("pair").agg(
-        (F.sum(F.col("n") * F.col("rank_x")) / F.sum("n")).alias("mx"),
-        (F.sum(F.col("n") * F.col("rank_y")) / F.sum("n")).alias("my"),
+    # Ranks average (n + 1) / 2, so plain sums lose no more than a digit to cancellation.
+    n, x, y = F.col("n").cast("double"), F.col("rank_x"), F.col("rank_y")
+    sums = ranked.groupBy("pair").agg(
+        F.sum(n).alias("s"),
+        F.sum(n * x).alias("sx"),
+        F.sum(n * y).alias("sy"),
+        F.sum(n * x * y).alias("xy"),
+        F.sum(n * x * x).alias("xx"),
+        F.sum(n * y * y).alias("yy"),
     )
-    dx, dy = F.col("rank_x") - F.col("mx"), F.col("rank_y") - F.col("my")
-    moments = (
-        ranked.join(F.broadcast(mean), "pair")
-        .groupBy("pair")
-        .agg(
-            F.sum(F.col("n") * dx * dy).alias("sxy"),
-            F.sum(F.col("n") * dx * dx).alias("sxx"),
-            F.sum(F.col("n") * dy * dy).alias("syy"),
-        )
+    moments = sums.select(
+        "pair",
+        (F.col("xy") - F.col("sx") * F.col("sy") / F.col("s")).alias("sxy"),
+        (F.col("xx") - F.col("sx") * F.col("sx") / F.col("s")).alias("sxx"),
+        (F.col("yy") - F.col("sy") * F.col("sy") / F.col("s")).alias("syy"),
     )
     name_a = F.get(F.array(*[F.lit(features[i]) for i, _ in pairs]), F.col("pair"))
     name_b = F.get(F.array(*[F.lit(features[j]) for _, j in pairs]), F.col("pair"))
