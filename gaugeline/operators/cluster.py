@@ -136,31 +136,49 @@ def _exact(
     n_blocks = max(1, math.ceil(points.count() / block))
     widths = [len(sizes[c]) for c in labels]
     starts = np.cumsum([0, *widths])
-    every = F.sequence(F.lit(0), F.lit(n_blocks - 1))
     placed = points.withColumn("b", F.pmod("id", F.lit(n_blocks)).cast("int"))
-    left = placed.select(F.col("b").alias("bi"), F.explode(every).alias("bj"), "id", *xs)
+    row = ["id", "w", *xs, *ls]
+    # Distances are symmetric: a block meets itself and the blocks after it, and the meeting
+    # serves both sides.
+    later, sooner = F.sequence("b", F.lit(n_blocks - 1)), F.sequence(F.lit(0), F.col("b"))
+    left = placed.select(F.col("b").alias("bi"), F.explode(later).alias("bj"), *row)
     right = placed.select(
-        F.explode(every).alias("bi"), F.col("b").alias("bj"), "w",
-        *[F.col(c).alias(c) for c in (*xs, *ls)],
+        F.explode(sooner).alias("bi"), F.col("b").alias("bj"), *[F.col(c).alias(c) for c in row]
     )
     sums = [f"s{i}" for i in range(int(starts[-1]))]
 
+    def membership(b: pd.DataFrame) -> np.ndarray:
+        """Row weights spread over the clusters of every labelling."""
+        member = np.zeros((len(b), int(starts[-1])))
+        for i, lb in enumerate(ls):
+            member[np.arange(len(b)), starts[i] + b[lb].to_numpy()] = b.w
+        return member
+
     def block_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame(columns=["id", *sums])
-        x, y, w = a[xs].to_numpy(), b[xs].to_numpy(), b.w.to_numpy()
-        member = np.zeros((len(y), int(starts[-1])))
-        for i, lb in enumerate(ls):
-            member[np.arange(len(y)), starts[i] + b[lb].to_numpy()] = w
-        y2 = (y * y).sum(axis=1)
-        out = np.empty((len(x), int(starts[-1])))
-        for at in range(0, len(x), 512):
-            part = x[at : at + 512]
-            d = (part * part).sum(axis=1)[:, None] + y2 - 2 * part @ y.T
-            out[at : at + 512] = np.sqrt(np.maximum(d, 0.0)) @ member
-        frame = pd.DataFrame(out, columns=sums)
-        frame.insert(0, "id", a["id"].to_numpy())
-        return frame
+        same = bool(a.bi.iloc[0] == a.bj.iloc[0])
+        x, y = a[xs].to_numpy(), b[xs].to_numpy()
+        of_a, of_b = membership(a), membership(b)
+        x2, y2 = (x * x).sum(axis=1), (y * y).sum(axis=1)
+        to_a, to_b = np.empty_like(of_a), np.zeros_like(of_b)
+        for at in range(0, len(x), 128):
+            rows = slice(at, at + 128)
+            d = (-2 * x[rows]) @ y.T
+            d += x2[rows, None]
+            d += y2
+            np.maximum(d, 0.0, out=d)
+            np.sqrt(d, out=d)
+            to_a[rows] = d @ of_b
+            if not same:
+                to_b += d.T @ of_a[rows]
+        parts = [(a, to_a)] if same else [(a, to_a), (b, to_b)]
+        frames = []
+        for side, values in parts:
+            frame = pd.DataFrame(values, columns=sums)
+            frame.insert(0, "id", side["id"].to_numpy())
+            frames.append(frame)
+        return pd.concat(frames, ignore_index=True)
 
     keys = ["bi", "bj"]
     partitions = max(

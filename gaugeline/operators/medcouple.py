@@ -24,7 +24,7 @@ from ..functions.session import keep
 from .descriptive import bucket_columns
 from .missing import df_of_values
 
-GRID = 256
+GRID = 64
 LIST_LIMIT = 50_000
 MARGIN = 1e-12
 BELOW = -2.0
@@ -50,7 +50,7 @@ def medcouple_values(
     if not live:
         return {c: 0.0 for c in features}
     n_rows = df.count()
-    n_buckets = int(min(1024, max(16, n_rows // 1024)))
+    n_buckets = int(min(1024, max(16, n_rows // 4096)))
     work, buckets = bucket_columns(df.select(*[col(c) for c in live]), live, n_buckets)
     # Side distances of equal values share one row with their count.
     sides = keep(
@@ -187,7 +187,13 @@ def _cut(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
 def _pairwise(up: DataFrame, down: DataFrame, variables: list[int]):
     up = up.filter(F.col("v").isin(variables))
     down = down.filter(F.col("v").isin(variables))
-    return up.groupBy("v", "pair").cogroup(down.groupBy("v", "pair"))
+    # A fixed count keeps small but compute-heavy partitions from being merged into one task.
+    n = int(up.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        up.repartition(n, "v", "pair")
+        .groupBy("v", "pair")
+        .cogroup(down.repartition(n, "v", "pair").groupBy("v", "pair"))
+    )
 
 
 def _round(spark, sides: DataFrame, searches: dict[int, _Search], list_limit: int) -> None:
