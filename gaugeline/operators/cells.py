@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.session import cut_lineage, keep
 
-CELL_ROWS = 2048
+CELL_ROWS = 1024
 MAX_CELLS = 16_384
 SAMPLE_PER_CELL = 32
 MAX_PATTERNS = 256
