@@ -78,7 +78,15 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
                 "month_no": F.month("month"),
                 "season": season(F.month("month")),
             }
-        ).select(*IDS, "year", "month_no", "season", *FEATS)
+        ).select(
+            "supplier",
+            # Text keys read the same in every engine.
+            F.col("month").cast("string").alias("month"),
+            "year",
+            "month_no",
+            "season",
+            *FEATS,
+        )
     )
 
 
@@ -95,7 +103,7 @@ panel0 AS (
       / nullif(count(*) FILTER (WHERE l_quantity >= 49), 0) AS tax_big
   FROM lineitem GROUP BY 1, 2),
 panel AS MATERIALIZED (
-  SELECT supplier, month, CAST(year(month) AS INTEGER) AS year, CAST(month(month) AS INTEGER) AS month_no,
+  SELECT supplier, CAST(month AS VARCHAR) AS month, CAST(year(month) AS INTEGER) AS year, CAST(month(month) AS INTEGER) AS month_no,
     CASE WHEN month(month) IN (10, 11, 12, 1, 2, 3) THEN 'wet' ELSE 'dry' END AS season,
     rev_open, min_price_taxed, wsum, rev_R, rev_A, max_price_lowdisc, tax_big FROM panel0)"""
 

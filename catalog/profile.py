@@ -54,7 +54,8 @@ def histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
-    return d.series_long(load(spark, sf), MULTI, "month", ["supplier", "season"], day=15)
+    out = d.series_long(load(spark, sf), MULTI, "month", ["supplier", "season"], day=15)
+    return out.withColumn("date", F.col("date").cast("string"))
 
 
 def standardized(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,7 +158,7 @@ ORACLES = {
     "st_06_series_long": with_sql(
         PANEL_SQL,
         body=" UNION ALL ".join(
-            f"SELECT make_date(CAST(year(month) AS INTEGER), CAST(month(month) AS INTEGER), 15) AS date, supplier, season, '{c}' AS variable, {c} AS value FROM panel"
+            f"SELECT CAST(make_date(CAST(year AS INTEGER), CAST(month_no AS INTEGER), 15) AS VARCHAR) AS date, supplier, season, '{c}' AS variable, {c} AS value FROM panel"
             for c in MULTI
         ),
     ),

@@ -303,12 +303,13 @@ def select_stat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build(spark: SparkSession, sf: str) -> DataFrame:
-    return panel.build_panel(long_stats(spark, sf), features=LONG_FEATS, keys=["supplier"])
+    out = panel.build_panel(long_stats(spark, sf), features=LONG_FEATS, keys=["supplier"])
+    return out.withColumn("date", F.col("date").cast("string"))
 
 
 def time_features(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
-    return panel.add_time_features(orders)
+    return panel.add_time_features(orders).withColumn("date", F.col("date").cast("string"))
 
 
 def sorted_panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,8 +318,8 @@ def sorted_panel(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         F.monotonically_increasing_id().alias("place"), "date", F.lit(",".join(out.columns)).alias("columns")
     ).agg(
-        F.min_by("date", "place").alias("first_date"),
-        F.max_by("date", "place").alias("last_date"),
+        F.min_by("date", "place").cast("string").alias("first_date"),
+        F.max_by("date", "place").cast("string").alias("last_date"),
         F.count("*").alias("n"),
         F.max("columns").alias("columns"),
     )
@@ -454,7 +455,7 @@ QUERIES = {
     "lm_07_label_profile": label_profile,
 }
 
-_PANEL_OUT = """SELECT make_date(Ano, m, 1) AS date, supplier, Ano, Mes, CAST(m AS INTEGER) AS month_no,
+_PANEL_OUT = """SELECT CAST(make_date(Ano, m, 1) AS VARCHAR) AS date, supplier, Ano, Mes, CAST(m AS INTEGER) AS month_no,
   CAST((m + 2) // 3 AS INTEGER) AS quarter,
   CASE WHEN m IN (10, 11, 12, 1, 2, 3) THEN 'wet' ELSE 'dry' END AS season, """ + ", ".join(q(c) for c in LONG_FEATS)
 _PANEL_FROM = f" FROM (SELECT *, list_position([{', '.join(chr(39) + m + chr(39) for m in MONTHS)}], Mes) AS m FROM long_stats WHERE Calc = '{STATISTICS[1]}' AND Mes <> '{ANNUAL}')"
@@ -479,7 +480,7 @@ ORACLES = {
         LONG_SQL, body=f"SELECT * FROM long_stats WHERE Calc = '{STATISTICS[2]}' AND Mes <> '{ANNUAL}'"
     ),
     "ft_02_build_panel": with_sql(LONG_SQL, body=_PANEL_OUT + _PANEL_FROM),
-    "ft_03_add_time_features": """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date,
+    "ft_03_add_time_features": """SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date,
       CAST(month(o_orderdate) AS INTEGER) AS month_no, CAST(quarter(o_orderdate) AS INTEGER) AS quarter,
       CASE WHEN month(o_orderdate) IN (10, 11, 12, 1, 2, 3) THEN 'wet' ELSE 'dry' END AS season FROM orders""",
     "ft_04_sorted_panel": with_sql(

@@ -105,7 +105,9 @@ def score_columns(models: Sequence[IsolationForestModel]) -> Column:
     @F.pandas_udf("array<double>")
     def scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for series in batches:
-            x = np.column_stack([s.to_numpy(float) for s in series])
+            # A single feature arrives as a bare series.
+            columns = (series,) if isinstance(series, pd.Series) else series
+            x = np.column_stack([s.to_numpy(float) for s in columns])
             rows = np.arange(len(x))
             result = np.empty((len(x), len(packed)))
             for j, ((roots, feature, cut, below, above, path), norm) in enumerate(packed):

@@ -136,6 +136,12 @@ def test_forest_finds_the_planted_point(spark):
     assert detail[0].id == 0 and len(detail) == table.anomaly.sum()
 
 
+def test_forest_on_one_feature(spark):
+    df = series(spark, [*map(float, range(60)), 1000.0])
+    found = iforest.detect_anomalies(df, ["id"], ["x"], 0.02, forest=iforest.IsolationForest(n_trees=30))
+    assert [r.id for r in found.table.filter("anomaly").collect()] == [60]
+
+
 def test_calibration_grid(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(120, 3))
