@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dups, neighbours, packing, token_counts, toxicity, vector_dups
+from . import lm_scores, mixing, near_dups, neighbours, packing, secret_scan, token_counts, toxicity, url_templates, vector_dups
 from .common import read
 
 
@@ -55,6 +55,18 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score_documents(read(spark, sf_dir, "documents"))
+
+
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(read(spark, sf_dir, "pages"))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents")).drop("text_key")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_near_duplicates": op2_near_duplicates,
@@ -63,6 +75,9 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_near_vectors": op6_near_vectors,
     "op7_token_counts": op7_token_counts,
+    "op8_lm_scores": op8_lm_scores,
+    "op9_url_templates": op9_url_templates,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,129 @@
+"""Secrets in texts: candidates by pattern, false positives removed by a random forest. DataFrame operations only.
+
+A candidate is a run of 16 or more characters of keys and codes that holds a digit. The forest sees its length, its
+character classes and transitions, how much of it words of a small dictionary cover, whether it stands in a path, and the
+words around it. It is trained on a bounded sample of findings that are labelled by what is known of them: provider formats and
+values assigned to a key word are secrets; card and order numbers, digests named as such and parts of paths are not; other
+findings have no label and are only scored.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import col, store, text_key
+
+_CODE = "A-Za-z0-9+/_-"
+CANDIDATE = rf"(?<![{_CODE}])(?=[A-Za-z+/_-]*+[0-9])[{_CODE}]{{16,}}+"
+
+# Words that speak for or against a secret, provider formats, and the dictionary of the coverage feature.
+KEY_WORDS = r"(?i)(api|auth\w*|bearer|cred\w*|key|passphrase|passw\w*|pwd|secret|token)\W{0,6}$"
+DIGEST_WORDS = r"(?i)(checksum|commit|digest|etag|guid|md5|rev|revision|sha\d*|uuid|version)\W{0,6}$"
+PROVIDER_FORMATS = r"^(A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{16,})$"
+DICTIONARY = (
+    "account", "address", "admin", "article", "build", "cache", "client", "commit", "config", "content", "data", "default",
+    "demo", "dummy", "example", "file", "image", "index", "item", "local", "login", "main", "name", "number", "order", "page",
+    "product", "public", "release", "sample", "server", "session", "static", "test", "time", "user", "value", "version",
+)
+
+FEATURES = (
+    "length", "digits", "uppers", "lowers", "others", "runs", "pairs", "hex", "dictionary", "in_path", "before_host", "key_word",
+    "digest_word", "assigned", "quoted",
+)
+
+
+def candidates(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Candidates of whole texts: ``id``, ``text_key``, ``start`` (characters before it), ``value``, ``left``, ``right`` (up to 48
+    characters of context). Null and empty texts have none."""
+    t = F.col("_t")
+    pattern = F.lit(CANDIDATE)
+    found = (
+        docs.select(col(id).alias("_id"), col(text).alias("_t")).filter(t.rlike(CANDIDATE))
+        .withColumn("_gaps", F.split(t, CANDIDATE, -1))
+        .withColumn("_hits", F.regexp_extract_all(t, pattern, F.lit(0)))
+        .select(text_key(t).alias("text_key"), "_id", "_gaps", "_hits", F.posexplode("_hits").alias("_i", "value"))
+    )
+    ahead = F.aggregate(F.slice("_gaps", F.lit(1), F.col("_i") + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(
+        F.slice("_hits", F.lit(1), F.col("_i")), F.lit(0), lambda n, g: n + F.length(g)
+    )
+    return found.select(
+        F.col("_id").alias(id), "text_key", ahead.cast("bigint").alias("start"), "value",
+        F.substring(F.get("_gaps", F.col("_i")), -48, 48).alias("left"),
+        F.substring(F.get("_gaps", F.col("_i") + 1), 1, 48).alias("right"),
+    )
+
+
+def _count(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(pattern)).cast("double")
+
+
+def with_features(found: DataFrame) -> DataFrame:
+    """``found`` with the forest's ``FEATURES`` (double) and ``label`` (1 secret, 0 not, null unknown)."""
+    v, left, right = F.col("value"), F.col("left"), F.col("right")
+    n = F.length(v).cast("double")
+    words = "|".join(DICTIONARY)
+    features = {
+        "length": F.least(n, F.lit(256.0)),
+        "digits": _count(v, "[0-9]") / n,
+        "uppers": _count(v, "[A-Z]") / n,
+        "lowers": _count(v, "[a-z]") / n,
+        "others": _count(v, "[+/_-]") / n,
+        "runs": _count(v, "[0-9]+|[a-z]+|[A-Z]+|[+/_-]+") / n,
+        "pairs": _count(v, "(?i)[aeiou][b-df-hj-np-tv-z]") / n,
+        "hex": v.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
+        "dictionary": (n - F.length(F.regexp_replace(F.lower(v), words, ""))) / n,
+        "in_path": (v.contains("/") | left.rlike(r"([/\\]|://\S*)$")).cast("double"),
+        "before_host": right.rlike(r"^[@.]\w").cast("double"),
+        "key_word": left.rlike(KEY_WORDS).cast("double"),
+        "digest_word": left.rlike(DIGEST_WORDS).cast("double"),
+        "assigned": left.rlike(r"[=:]\s*[\"']?$").cast("double"),
+        "quoted": (left.rlike("[\"']$") & right.rlike("^[\"']")).cast("double"),
+    }
+    secret = v.rlike(PROVIDER_FORMATS) | (left.rlike(KEY_WORDS) & left.rlike(r"[=:]\s*[\"']?$") & ~v.contains("/"))
+    harmless = v.rlike(r"^[0-9_-]+$") | left.rlike(DIGEST_WORDS) | left.rlike(r"://\S*$") | right.rlike(r"^[@.]\w")
+    return found.withColumns(features).withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
+
+
+def confirm(found: DataFrame, *, per_class: int = 5000, trees: int = 20, depth: int = 6, seed: int = 11) -> DataFrame:
+    """``found`` (with features) and ``score``, the forest's share of votes for a secret.
+
+    The forest is fitted on at most ``per_class`` labelled findings a class, those of smallest hash. If the labelled
+    findings are of one class, that class is every score; without any, findings score 0.
+    """
+    labelled = found.filter(F.col("label").isNotNull()).select("label", *FEATURES, "value", "start")
+    sample = None
+    for y in (0.0, 1.0):
+        part = labelled.filter(F.col("label") == y).orderBy(F.xxhash64("value", "start"), "value", "start").limit(per_class)
+        sample = part if sample is None else sample.unionByName(part)
+    sample = store(sample, "secret-sample")
+    classes = [r["label"] for r in sample.groupBy("label").agg(F.count(F.lit(1))).collect()]  # two rows at most
+    if len(classes) < 2:
+        return found.withColumn("score", F.lit(classes[0] if classes else 0.0))
+    gather = VectorAssembler(inputCols=list(FEATURES), outputCol="_features")
+    forest = RandomForestClassifier(
+        featuresCol="_features", labelCol="label", probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r",
+        numTrees=trees, maxDepth=depth, seed=seed,
+    ).fit(gather.transform(sample))
+    scored = forest.transform(gather.transform(found))
+    return scored.withColumn("score", vector_to_array("_p")[1]).drop("_features", "_p", "_y", "_r")
+
+
+def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = 0.5, **forest) -> DataFrame:
+    """All candidates of all texts with ``score`` and ``is_secret``: one row per ``id``, ``start``, ``length``, ``value``.
+
+    Null and empty texts give no rows; repeated rows and ties give one row each time a candidate stands in a row; an empty
+    table gives none. Other columns are not read.
+    """
+    found = confirm(store(with_features(candidates(docs, id=id, text=text)), "secret-candidates"), **forest)
+    return found.select(col(id), "text_key", "start", F.length("value").cast("bigint").alias("length"), "value", "score",
+                        (F.col("score") >= threshold).alias("is_secret"))
+
+
+def drop_leaking(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose text holds no confirmed secret."""
+    leaking = scan(docs, id=id, text=text, **options).filter("is_secret").select(F.col("text_key").alias("_leak")).distinct()
+    return docs.join(leaking, text_key(col(text)) == F.col("_leak"), "left_anti")
