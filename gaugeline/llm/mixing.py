@@ -72,16 +72,16 @@ def mix_sources(
 
     A source takes exactly its rounded target. Null and empty texts have size 0 and are taken 0 times; a null source is
     a source of its own, last in order; repeated rows count each. The order within a source is a hash of ``seed``, id and
-    ``carry``, so reruns agree. ``buckets`` hash buckets a source bound the running sums; they change nothing else.
+    text, so reruns agree. ``buckets`` (at most 4096) hash buckets a source bound the running sums; they only set where
+    in the order a document stands.
     """
+    extra = [f"_carry_{c}" for c in carry]
+    row_key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(col(id).cast("string"), F.lit("null")), F.md5(col(text)))
     rows = docs.select(
-        col(id).alias("_id"), col(source).alias("_source"), word_count(col(text)).alias("size"),
+        col(id).alias("_id"), col(source).alias("_source"), word_count(col(text)).alias("size"), F.md5(row_key).alias("_h"),
         *[col(c).alias(f"_carry_{c}") for c in carry],
     )
-    extra = [f"_carry_{c}" for c in carry]
-    hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), "_id", *[c for c in extra if c != "_carry_text"])).withColumn(
-        "_bucket", F.pmod(F.col("_h"), F.lit(buckets)).cast("int")
-    )
+    hashed = rows.withColumn("_bucket", (F.conv(F.substring("_h", 1, 3), 16, 10).cast("int") % buckets))
     sums = hashed.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words"))
     targets = water_fill(
         sums.groupBy("_source").agg(F.sum("_words").alias("source_size")), weights=weights, max_epochs=max_epochs,

@@ -80,4 +80,91 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+MIXING_SQL = r"""
+WITH base AS (
+    SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+           md5(concat_ws(':', '17', COALESCE(doc_id::VARCHAR, 'null'), md5(text))) AS h
+    FROM documents),
+sources AS (
+    SELECT source, sum(size)::BIGINT AS source_size,
+           list_extract([5.0, 2.0, 1.0]::DOUBLE[], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT) AS w
+    FROM base GROUP BY source),
+levels AS (
+    SELECT *, (sum(source_size) OVER ()::DOUBLE - COALESCE(sum(source_size * 3.0::DOUBLE) OVER before, 0))
+              / (sum(w) OVER () - COALESCE(sum(w) OVER before, 0)) AS level
+    FROM sources
+    WINDOW before AS (ORDER BY source_size * 3.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+    SELECT source, source_size, least(max(level) OVER () * w, source_size * 3.0::DOUBLE) AS target FROM levels),
+placed AS (
+    SELECT r.doc_id, r.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS goal,
+           sum(r.size) OVER (PARTITION BY r.source ORDER BY r.h, r.doc_id, r.size ROWS UNBOUNDED PRECEDING) - r.size AS place
+    FROM base r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN source_size > 0 THEN (goal // source_size) * size
+             + least(greatest(goal - (goal // source_size) * source_size - place, 0), size) ELSE 0 END)::BIGINT AS taken
+FROM placed
+"""
+
+URL_SQL = r"""
+WITH parts AS (
+    SELECT page_id,
+           translate(regexp_extract(COALESCE(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(COALESCE(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+    FROM pages),
+base AS (
+    SELECT *,
+           CASE WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/en/1') THEN 'example.org/en/1'
+                WHEN (host = 'example.org' OR suffix(host, '.example.org')) AND prefix(path, '/es/') THEN 'example.org/es/'
+                WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/fr/') THEN 'com/fr/'
+                WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/de/') THEN 'com/de/'
+                WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/') THEN 'org/' END AS rule,
+           array_to_string([CASE
+               WHEN regexp_matches(s, '^[0-9]+(\.[a-z]+)?$') THEN regexp_replace(s, '^[0-9]+', '{n}')
+               WHEN regexp_matches(s, '^[0-9a-f]{8,}$') THEN '{h}'
+               WHEN regexp_matches(s, '[0-9]') THEN '{m}' ELSE s END for s in string_split(path, '/')], '/') AS shape
+    FROM parts),
+judged AS (
+    SELECT *, CASE WHEN rule IN ('com/fr/', 'org/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS action FROM base),
+shapes AS (
+    SELECT host, shape, count(*) AS n, count(*) FILTER (action = 'block') AS blocked, count(*) FILTER (action = 'allow') AS allowed
+    FROM judged GROUP BY ALL),
+steps AS (
+    SELECT host, shape, n, i - 1 AS place, s[i] AS child, array_to_string(s[1:i - 1], '/') AS prefix
+    FROM (SELECT *, string_split(shape, '/') AS s FROM shapes) t, unnest(range(1, len(t.s) + 1)) u(i)),
+varied AS (
+    SELECT host, prefix FROM (SELECT host, prefix, child, sum(n) AS n FROM steps GROUP BY ALL)
+    GROUP BY host, prefix HAVING count(*) >= 10 AND sum(n) < count(*) * 5.0),
+general AS (
+    SELECT host, shape, string_agg(CASE WHEN v.host IS NULL THEN child ELSE '{*}' END, '/' ORDER BY place) AS general
+    FROM steps LEFT JOIN varied v USING (host, prefix) GROUP BY host, shape),
+tree AS (SELECT * FROM shapes JOIN general USING (host, shape)),
+leaves AS (SELECT host, general, sum(n) AS n FROM tree GROUP BY ALL),
+branches AS (
+    SELECT host, general, n, i - 1 AS place, s[i] AS child, array_to_string(s[1:i - 1], '/') AS prefix,
+           CASE WHEN i < len(s) THEN array_to_string(s[i + 1:], '/') END AS rest
+    FROM (SELECT *, string_split(general, '/') AS s FROM leaves) t, unnest(range(1, len(t.s) + 1)) u(i)),
+spread AS (SELECT host, prefix, child, rest, sum(n)::DOUBLE AS n FROM branches WHERE rest IS NOT NULL GROUP BY ALL),
+sizes AS (SELECT host, prefix, child, sum(n) AS size FROM spread GROUP BY ALL),
+largest AS (
+    SELECT host, prefix, child AS anchor, size AS anchor_size FROM sizes
+    QUALIFY row_number() OVER (PARTITION BY host, prefix ORDER BY size DESC, child) = 1),
+shares AS (SELECT host, prefix, child, rest, n / size AS p, size FROM spread JOIN sizes USING (host, prefix, child)),
+alike AS (
+    SELECT a.host, a.prefix, a.child, l.anchor
+    FROM shares a JOIN largest l ON a.host = l.host AND a.prefix = l.prefix
+    JOIN shares b ON b.host = a.host AND b.prefix = a.prefix AND b.child = l.anchor AND b.rest = a.rest
+    GROUP BY a.host, a.prefix, a.child, l.anchor, a.size, l.anchor_size
+    HAVING 1 - sum(least(a.p, b.p)) <= 0.1 + sqrt(1 / a.size + 1 / l.anchor_size)),
+merged AS (
+    SELECT host, general, string_agg(COALESCE(anchor, child), '/' ORDER BY place) AS template
+    FROM branches LEFT JOIN alike USING (host, prefix, child) GROUP BY host, general),
+placed AS (SELECT * FROM tree JOIN merged USING (host, general)),
+purity AS (
+    SELECT host, template, (sum(blocked) + 2.0) / (sum(blocked) + sum(allowed) + 10.0) AS impurity FROM placed GROUP BY ALL)
+SELECT page_id, j.host, path, rule, p.template,
+       COALESCE(action, CASE WHEN impurity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged j JOIN placed p ON p.host = j.host AND p.shape = j.shape JOIN purity u ON u.host = p.host AND u.template = p.template
+"""
+
+ORACLES: dict[str, str] = {"op3_mixing": MIXING_SQL, "op9_url_templates": URL_SQL}
