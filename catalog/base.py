@@ -215,9 +215,12 @@ def scaled_sql(name: str, source: str, features: Sequence[str], keep_cols: Seque
     )
 
 
-def embedding_columns(spark: SparkSession, sf: str, dims: int = 64) -> tuple[DataFrame, list[str]]:
-    """One DOUBLE column per vector component."""
-    names = [f"e{i}" for i in range(dims)]
+def embedding_columns(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    """One DOUBLE column per vector component; all vectors must be of one length."""
+    least, most = table(spark, sf, "embeddings").agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} to {most} components")
+    names = [f"e{i}" for i in range(most or 0)]
     df = table(spark, sf, "embeddings").select(
         "vec_id", "label", *[F.get("embedding", i).cast("double").alias(c) for i, c in enumerate(names)]
     )

@@ -25,7 +25,7 @@ from .base import (
 )
 from .base import panel as load
 
-FOREST = iforest.IsolationForest(n_trees=100)
+FOREST = iforest.IsolationForest()
 
 
 # --- univariate -------------------------------------------------------------------

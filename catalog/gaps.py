@@ -76,14 +76,14 @@ def full_imputation(spark: SparkSession, sf: str) -> DataFrame:
 
 def validation(spark: SparkSession, sf: str) -> DataFrame:
     before = load(spark, sf)
-    after = missing.impute_simple(before, ["rev_open", "wsum"], ["min_price_taxed"])
-    return missing.validate_imputation(before, after, SIMPLE)
+    after, plan = impute(before, IDS, FEATS)
+    return missing.validate_imputation(before, after, plan.kept)
 
 
 def cluster_impact(spark: SparkSession, sf: str) -> DataFrame:
     before = load(spark, sf)
-    filled = missing.impute_simple(before, ["rev_open", "wsum", "rev_R", "rev_A"], ["min_price_taxed"])
-    return imputation_cluster_impact(before, filled, SIMPLE, range(2, 5))
+    after, plan = impute(before, IDS, FEATS)
+    return imputation_cluster_impact(before, after, plan.kept)
 
 
 def mcar(spark: SparkSession, sf: str) -> DataFrame:
@@ -152,18 +152,19 @@ def knn_sql(scaled: bool) -> list[str]:
     return parts
 
 
-def _near(t: str, scaled: bool) -> str:
+def _near(t: str, scaled: bool, digits: int | None = 3) -> str:
     fill = f"(SELECT f FROM fill_{t} k WHERE k.supplier = p.supplier AND k.month = p.month)"
     if scaled:
         fill = f"({fill} * (SELECT s_{t} FROM fs) + (SELECT m_{t} FROM fs))"
-    return f"{rounded(f'coalesce(p.{t}, {fill})', 3)} AS {t}"
+    value = f"coalesce(p.{t}, {fill})"
+    return f"{value if digits is None else rounded(value, digits)} AS {t}"
 
 
 def _valid(c: str) -> str:
     return f"""SELECT '{c}' AS variable, avg(p.{c}) AS mb, avg(f.{c}) AS ma,
       quantile_cont(p.{c}, 0.5) AS qb, quantile_cont(f.{c}, 0.5) AS qa,
       stddev_samp(p.{c}) AS sb, stddev_samp(f.{c}) AS sa
-      FROM panel p JOIN filled f USING (supplier, month)"""
+      FROM panel p JOIN imputed f USING (supplier, month)"""
 
 
 QUERIES = {
@@ -243,7 +244,9 @@ ORACLES = {
         + " FROM filled p",
     ),
     "ms_12_validate_imputation": with_sql(
-        PANEL_SQL, FILLED_SQL, "v AS (" + " UNION ALL ".join(_valid(c) for c in SIMPLE) + ")",
+        PANEL_SQL, FILLED_SQL, *knn_sql(True),
+        "imputed AS MATERIALIZED (SELECT supplier, month, " + ", ".join([*SIMPLE, *[_near(t, True, None) for t in NEAR]]) + " FROM filled p)",
+        "v AS (" + " UNION ALL ".join(_valid(c) for c in KEPT) + ")",
         body=f"""SELECT variable, round(mb, 3) AS mean_before, round(ma, 3) AS mean_after,
         round(qb, 3) AS median_before, round(qa, 3) AS median_after, round(sb, 3) AS std_before,
         round(sa, 3) AS std_after,

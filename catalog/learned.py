@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.functions.session import keep
 from gaugeline.operators import classify, cluster, iforest, limits
 from gaugeline.operators.descriptive import Scaler
 from gaugeline.operators.missing import impute_simple
+from gaugeline.operators.neighbors import impute
 from gaugeline.plans import runs
 from gaugeline.sources.tables import write_table
 
@@ -30,7 +32,7 @@ from .base import (
 from .base import panel as load
 from .tables import COUNTED_SQL
 
-FOREST = iforest.IsolationForest(n_trees=50)
+FOREST = iforest.IsolationForest()
 
 
 def kmeans(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +83,7 @@ def wcss(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def profile(spark: SparkSession, sf: str) -> DataFrame:
-    return cluster.cluster_profile(load(spark, sf), FEATS[:6], "year")
+    return cluster.cluster_profile(load(spark, sf), FEATS, "year")
 
 
 def by_season(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,11 +112,11 @@ def forest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cross_validated(spark: SparkSession, sf: str) -> DataFrame:
-    return classify.cv_f1(severe(spark, sf), IDS, FREE, "severity_high", n_trees=20, depth=6)
+    return classify.cv_f1(severe(spark, sf), IDS, FREE, "severity_high")
 
 
 def importances(spark: SparkSession, sf: str) -> DataFrame:
-    out = classify.train_forest(severe(spark, sf), IDS, FREE, "severity_high", n_trees=20, folds=0)
+    out = classify.train_forest(severe(spark, sf), IDS, FREE, "severity_high", folds=0)
     return out.importances
 
 
@@ -127,13 +129,15 @@ def confusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    """Values, cluster, counts, labels, anomaly flag and score side by side."""
-    rows = scaled_panel(spark, sf)
-    clusters = cluster.kmeans_fit(rows, MULTI, 3).table.select(*IDS, "cluster")
-    marks = iforest.detect_anomalies(rows, IDS, MULTI, forest=FOREST).table.select(
+    """Values, cluster, counts, labels, anomaly flag and score of every imputed row side by side."""
+    filled, plan = impute(load(spark, sf), IDS, FEATS)
+    filled = keep(filled)
+    rows = keep(Scaler.fit(filled, plan.kept).transform(filled))
+    clusters = cluster.kmeans_fit(rows, plan.kept, 3).table.select(*IDS, "cluster")
+    marks = iforest.detect_anomalies(rows, IDS, plan.kept, forest=FOREST).table.select(
         *IDS, "anomaly", "anomaly_score"
     )
-    strict, _ = limits.label_any(limits.violation_count(load(spark, sf), LIMITS), LIMITS)
+    strict, _ = limits.label_any(limits.violation_count(filled, LIMITS), LIMITS)
     both, _ = limits.label_severity(strict, LIMITS)
     return both.join(clusters, IDS).join(marks, IDS)
 
@@ -144,7 +148,7 @@ def summary(spark: SparkSession, sf: str) -> DataFrame:
     write_table(metrics(spark, sf), "classifier_metrics", tables)
     write_table(labelled(spark, sf), "labelled", out)
     rows = scaled_panel(spark, sf)
-    write_table(cluster.sweep_k(rows, MULTI, range(2, 4), method="squared"), "k_sweep", tables)
+    write_table(cluster.sweep_k(rows, MULTI, range(2, 11), method="squared"), "k_sweep", tables)
     return runs.summary_metrics(spark, out)
 
 
@@ -160,19 +164,10 @@ def run_preprocess(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _trained(spark: SparkSession, sf: str) -> tuple[str, dict[str, DataFrame]]:
-    """Training needs imputed and standardised tables; simple fills stand in for the first run."""
+    """The training run on the tables of the preprocessing run."""
     out = scratch(spark, "run")
-    filled = impute_simple(load(spark, sf), ["rev_open", "wsum", "rev_R", "rev_A"], ["min_price_taxed", "max_price_lowdisc"])
-    kept = ["rev_open", "wsum", "min_price_taxed", "rev_R", "rev_A", "max_price_lowdisc"]
-    write_table(filled.drop("tax_big"), "imputed", out)
-    scaler = Scaler.fit(filled, kept)
-    scaler.save(spark, f"{out}/scaler")
-    write_table(scaler.transform(filled.drop("tax_big")), "scaled", out)
-    got = runs.run_train(
-        spark, IDS, out, LIMITS, k_range=range(2, 5),
-        classifier={"n_trees": 20, "depth": 6, "folds": 2}, forest=FOREST,
-    )
-    return out, got
+    runs.run_preprocess(load(spark, sf), IDS, out, FEATS)
+    return out, runs.run_train(spark, IDS, out, LIMITS)
 
 
 def run_train(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,7 +250,7 @@ ORACLES = {
     ),
     "cl_05_cluster_profile": with_sql(
         PANEL_SQL,
-        body="SELECT year, " + ", ".join(f"round(avg({c}), 2) AS {c}" for c in FEATS[:6]) + ", count(*) AS n FROM panel GROUP BY 1",
+        body="SELECT year, " + ", ".join(f"round(avg({c}), 2) AS {c}" for c in FEATS) + ", count(*) AS n FROM panel GROUP BY 1",
     ),
     "cl_06_cluster_by_season": with_sql(
         PANEL_SQL,

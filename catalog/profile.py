@@ -23,8 +23,6 @@ from .base import (
 )
 from .base import panel as load
 
-FOUR = ["rev_open", "min_price_taxed", "wsum", "rev_R"]
-
 
 def describe(spark: SparkSession, sf: str) -> DataFrame:
     out = d.describe(load(spark, sf), FEATS)
@@ -36,7 +34,7 @@ def pearson(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spearman(spark: SparkSession, sf: str) -> DataFrame:
-    return rnd(d.corr_matrix(load(spark, sf), FOUR, "spearman"), ["corr"], 8)
+    return rnd(d.corr_matrix(load(spark, sf), FEATS, "spearman"), ["corr"], 8)
 
 
 def box(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,7 +130,7 @@ ORACLES = {
         ),
     ),
     "st_03_corr_spearman": with_sql(
-        PANEL_SQL, body=" UNION ALL ".join(_spearman(a, b) for a, b in pairs(FOUR))
+        PANEL_SQL, body=" UNION ALL ".join(_spearman(a, b) for a, b in pairs(FEATS))
     ),
     "st_04_box_stats": with_sql(
         PANEL_SQL, "v AS (" + " UNION ALL ".join(_fences(c) for c in FEATS) + ")",

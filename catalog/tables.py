@@ -143,7 +143,7 @@ def models_back(spark: SparkSession, sf: str) -> DataFrame:
     rows, where = scaled_panel(spark, sf), scratch(spark, "models")
     fit = kmeans_fit(rows, MULTI, 3)
     save_model(PipelineModel([fit.model]), f"{where}/kmeans")
-    forest = iforest.IsolationForest(n_trees=20).fit(rows, IDS, MULTI)
+    forest = iforest.IsolationForest().fit(rows, IDS, MULTI)
     forest.save(spark, f"{where}/forest")
     again = iforest.IsolationForestModel.load(spark, f"{where}/forest")
     vectors = rows.withColumn("_v", array_to_vector(F.array(*MULTI)))

@@ -67,7 +67,13 @@ def silhouettes(
     method: str = "exact",
     block: int = BLOCK,
 ) -> dict[str, float | None]:
-    """Mean silhouette of each label column (``None`` below two clusters)."""
+    """Mean silhouette of each label column (``None`` below two clusters).
+
+    Distances do not change when all rows are shifted, so the variables are centred first: far from the origin, squares
+    would swallow the differences.
+    """
+    means = df.agg(*[F.avg(num(f)).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    df = df.withColumns({f: num(f) - F.lit(m) for f, m in zip(features, means, strict=True)})
     sizes = {c: _cluster_sizes(df, c) for c in labels}
     usable = [c for c in labels if len(sizes[c]) >= 2]
     if not usable:
@@ -167,6 +173,11 @@ def _exact(
             d = (-2 * x[rows]) @ y.T
             d += x2[rows, None]
             d += y2
+            # Of close points the sum above keeps too few digits; there, differences are taken.
+            near_a, near_b = np.nonzero(d <= 1e-6 * (x2[rows, None] + y2))
+            for lo in range(0, len(near_a), 65_536):
+                p, q = near_a[lo : lo + 65_536], near_b[lo : lo + 65_536]
+                d[p, q] = ((x[rows][p] - y[q]) ** 2).sum(axis=1)
             np.maximum(d, 0.0, out=d)
             np.sqrt(d, out=d)
             to_a[rows] = d @ of_b

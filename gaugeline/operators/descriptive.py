@@ -181,7 +181,7 @@ def box_stats(df: DataFrame, features: Sequence[str], k: float = IQR_FACTOR) ->
     wide = df.agg(*aggs)
 
     def z(i: int, value: Column) -> Column:
-        return (value - F.col(f"mean{i}")) / F.col(f"std{i}")
+        return (value - F.col(f"mean{i}")) / F.nullif(F.col(f"std{i}"), F.lit(0.0))
 
     return long_form(
         wide,

@@ -123,7 +123,11 @@ def score_columns(models: Sequence[IsolationForestModel]) -> Column:
                 result[:, j] = np.power(2.0, -mean / norm) if norm > 0 else 0.5
             yield pd.Series(list(result))
 
-    return scores(*[num(c) for c in models[0].features])
+    # A row with a gap lies on no side of a cut, so it has no score.
+    whole = F.lit(True)
+    for c in models[0].features:
+        whole = whole & num(c).isNotNull()
+    return F.when(whole, scores(*[num(c) for c in models[0].features]))
 
 
 @dataclass(frozen=True)

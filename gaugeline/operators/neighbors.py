@@ -27,10 +27,11 @@ from .panel import missing_fractions
 
 
 def row_id(id_cols: Sequence[str]) -> Column:
-    """One sortable id from one or more key columns."""
+    """One sortable id from one or more key columns; different keys give different ids, NULL included."""
     if len(id_cols) == 1:
         return col(id_cols[0])
-    return F.concat_ws("|", *[col(c).cast("string") for c in id_cols])
+    parts = [F.regexp_replace(col(c).cast("string"), r"([\\\\|])", r"\\\\$1") for c in id_cols]
+    return F.concat_ws("|", *[F.coalesce(p, F.lit("\\N")) for p in parts])
 
 
 def _vectors(df: DataFrame, features: Sequence[str], extra: dict[str, Column]) -> DataFrame:
@@ -41,6 +42,13 @@ def _vectors(df: DataFrame, features: Sequence[str], extra: dict[str, Column]) -
     )
 
 
+def _same_vector(rows: DataFrame, vectors: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of the vector they hold; a missing coordinate matches a missing one."""
+    other = vectors.withColumnsRenamed({x: f"_other{x}" for x in names})
+    same = [F.col(x).eqNullSafe(F.col(f"_other{x}")) for x in names]
+    return rows.join(other, same).drop(*[f"_other{x}" for x in names])
+
+
 def knn_join(
     queries: DataFrame,
     base: DataFrame,
@@ -71,7 +79,7 @@ def knn_join(
     found = search(distinct, rows, dims, reach, cell_rows=cell_rows)
     by_vector = distinct.select("qid", *[F.col(x).alias(x) for x in names])
     pairs = (
-        asked.join(by_vector, names)
+        _same_vector(asked, by_vector, names)
         .select("id", "qid")
         .join(found.select("qid", "nid", "dist"), "qid")
     )
@@ -110,7 +118,7 @@ def _back_to_rows(
     names = xcols(len(features))
     scored = distinct.select("qid", *names).join(scores, "qid").drop("qid")
     wide = df.withColumns({x: num(f) for f, x in zip(features, names, strict=True)})
-    return wide.join(scored, names).drop(*names).withColumnRenamed("score", name)
+    return _same_vector(wide, scored, names).drop(*names).withColumnRenamed("score", name)
 
 
 def knn_scores(

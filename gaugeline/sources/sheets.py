@@ -65,10 +65,15 @@ def map_headers(headers: DataFrame, synonyms: dict[str, str] = HEADER_SYNONYMS)
     )
 
 
+def strip(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_stat(c: Column, spellings: dict[str, str] = STATISTIC_SPELLINGS) -> Column:
     """Canonical statistic label, tolerant to lost or broken accents."""
     lookup = F.create_map(*[F.lit(x) for pair in spellings.items() for x in pair])
-    return F.try_element_at(lookup, F.regexp_replace(F.lower(F.trim(c)), "[^a-z.]", ""))
+    return F.try_element_at(lookup, F.regexp_replace(F.lower(strip(c)), "[^a-z.]", ""))
 
 
 def fill_down_period(
@@ -78,7 +83,7 @@ def fill_down_period(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add ``period``: the last period name seen in column 0 at or above each row of the page."""
-    first = F.trim(F.get("cells", 0))
+    first = strip(F.get("cells", 0))
     tagged = rows.withColumns(
         {
             "_seen": F.when(first.isin(list(periods)), first),
@@ -129,7 +134,7 @@ def harmonise_sheets(
     body = (
         sheets.join(pages, "page_id")
         .filter(F.col("row_no") > F.col("header_row"))
-        .filter(F.exists("cells", lambda c: F.coalesce(F.trim(c) != "", F.lit(False))))
+        .filter(F.exists("cells", lambda c: F.coalesce(strip(c) != "", F.lit(False))))
     )
     filled = fill_down_period(body, periods).withColumn(
         "stat", normalize_stat(F.get("cells", 1), spellings)
@@ -137,7 +142,7 @@ def harmonise_sheets(
 
     def cell(variable: str) -> Column:
         position = F.try_element_at("at", F.lit(variable))
-        return F.coalesce(F.trim(F.get("cells", position)), F.lit("")).alias(variable)
+        return F.coalesce(strip(F.get("cells", position)), F.lit("")).alias(variable)
 
     return filled.filter(F.col("stat").isNotNull() & F.col("period").isNotNull()).select(
         "page_id", "row_no", "year", "period", "stat", *[cell(v) for v in features]
