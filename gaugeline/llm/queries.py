@@ -133,32 +133,32 @@ steps AS (
     SELECT host, shape, n, i - 1 AS place, s[i] AS child, array_to_string(s[1:i - 1], '/') AS prefix
     FROM (SELECT *, string_split(shape, '/') AS s FROM shapes) t, unnest(range(1, len(t.s) + 1)) u(i)),
 varied AS (
-    SELECT host, prefix FROM (SELECT host, prefix, child, sum(n) AS n FROM steps GROUP BY ALL)
-    GROUP BY host, prefix HAVING count(*) >= 10 AND sum(n) < count(*) * 5.0),
+    SELECT host, place, prefix FROM (SELECT host, place, prefix, child, sum(n) AS n FROM steps GROUP BY ALL)
+    GROUP BY host, place, prefix HAVING count(*) >= 10 AND sum(n) < count(*) * 5.0),
 general AS (
     SELECT host, shape, string_agg(CASE WHEN v.host IS NULL THEN child ELSE '{*}' END, '/' ORDER BY place) AS general
-    FROM steps LEFT JOIN varied v USING (host, prefix) GROUP BY host, shape),
+    FROM steps LEFT JOIN varied v USING (host, place, prefix) GROUP BY host, shape),
 tree AS (SELECT * FROM shapes JOIN general USING (host, shape)),
 leaves AS (SELECT host, general, sum(n) AS n FROM tree GROUP BY ALL),
 branches AS (
     SELECT host, general, n, i - 1 AS place, s[i] AS child, array_to_string(s[1:i - 1], '/') AS prefix,
            CASE WHEN i < len(s) THEN array_to_string(s[i + 1:], '/') END AS rest
     FROM (SELECT *, string_split(general, '/') AS s FROM leaves) t, unnest(range(1, len(t.s) + 1)) u(i)),
-spread AS (SELECT host, prefix, child, rest, sum(n)::DOUBLE AS n FROM branches WHERE rest IS NOT NULL GROUP BY ALL),
-sizes AS (SELECT host, prefix, child, sum(n) AS size FROM spread GROUP BY ALL),
+spread AS (SELECT host, place, prefix, child, rest, sum(n)::DOUBLE AS n FROM branches WHERE rest IS NOT NULL GROUP BY ALL),
+sizes AS (SELECT host, place, prefix, child, sum(n) AS size FROM spread GROUP BY ALL),
 largest AS (
-    SELECT host, prefix, child AS anchor, size AS anchor_size FROM sizes
-    QUALIFY row_number() OVER (PARTITION BY host, prefix ORDER BY size DESC, child) = 1),
-shares AS (SELECT host, prefix, child, rest, n / size AS p, size FROM spread JOIN sizes USING (host, prefix, child)),
+    SELECT host, place, prefix, child AS anchor, size AS anchor_size FROM sizes
+    QUALIFY row_number() OVER (PARTITION BY host, place, prefix ORDER BY size DESC, child) = 1),
+shares AS (SELECT host, place, prefix, child, rest, n / size AS p, size FROM spread JOIN sizes USING (host, place, prefix, child)),
 alike AS (
-    SELECT a.host, a.prefix, a.child, l.anchor
-    FROM shares a JOIN largest l ON a.host = l.host AND a.prefix = l.prefix
-    JOIN shares b ON b.host = a.host AND b.prefix = a.prefix AND b.child = l.anchor AND b.rest = a.rest
-    GROUP BY a.host, a.prefix, a.child, l.anchor, a.size, l.anchor_size
+    SELECT a.host, a.place, a.prefix, a.child, l.anchor
+    FROM shares a JOIN largest l ON a.host = l.host AND a.place = l.place AND a.prefix = l.prefix
+    JOIN shares b ON b.host = a.host AND b.place = a.place AND b.prefix = a.prefix AND b.child = l.anchor AND b.rest = a.rest
+    GROUP BY a.host, a.place, a.prefix, a.child, l.anchor, a.size, l.anchor_size
     HAVING 1 - sum(least(a.p, b.p)) <= 0.1 + sqrt(1 / a.size + 1 / l.anchor_size)),
 merged AS (
     SELECT host, general, string_agg(COALESCE(anchor, child), '/' ORDER BY place) AS template
-    FROM branches LEFT JOIN alike USING (host, prefix, child) GROUP BY host, general),
+    FROM branches LEFT JOIN alike USING (host, place, prefix, child) GROUP BY host, general),
 placed AS (SELECT * FROM tree JOIN merged USING (host, general)),
 purity AS (
     SELECT host, template, (sum(blocked) + 2.0) / (sum(blocked) + sum(allowed) + 10.0) AS impurity FROM placed GROUP BY ALL)

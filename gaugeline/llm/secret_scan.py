@@ -3,7 +3,7 @@
 A candidate is a run of 16 or more characters of keys and codes that holds a digit. The forest sees its length, its
 character classes and transitions, how much of it words of a small dictionary cover, whether it stands in a path, and the
 words around it. It is trained on a bounded sample of findings that are labelled by what is known of them: provider formats and
-values assigned to a key word are secrets; card and order numbers, digests named as such and parts of paths are not; other
+values assigned to a key word are secrets; card and order numbers, digests named as such and paths are not; other
 findings have no label and are only scored.
 """
 
@@ -84,7 +84,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "quoted": (left.rlike("[\"']$") & right.rlike("^[\"']")).cast("double"),
     }
     secret = v.rlike(PROVIDER_FORMATS) | (left.rlike(KEY_WORDS) & left.rlike(r"[=:]\s*[\"']?$") & ~v.contains("/"))
-    harmless = v.rlike(r"^[0-9_-]+$") | left.rlike(DIGEST_WORDS) | left.rlike(r"://\S*$") | right.rlike(r"^[@.]\w")
+    harmless = v.rlike(r"^[0-9_-]+$|^/") | left.rlike(DIGEST_WORDS) | left.rlike(r"://\S*$") | right.rlike(r"^[@.]\w")
     return found.withColumns(features).withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
 
 

@@ -84,33 +84,33 @@ def template_verdicts(
     plus the sampling error ``sqrt(1/n + 1/m)``; branches that nothing follows stay apart. Ties go to the smaller text.
     """
     steps = _steps(shapes, "shape")
-    children = steps.groupBy("host", "prefix", "child").agg(F.sum("n").alias("n"))
-    varied = children.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n")).filter(
+    children = steps.groupBy("host", "at", "prefix", "child").agg(F.sum("n").alias("n"))
+    varied = children.groupBy("host", "at", "prefix").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n")).filter(
         (F.col("_k") >= many) & (F.col("_n") < F.col("_k") * F.lit(float(seen)))
-    ).select("host", "prefix", F.lit(True).alias("_varies"))
+    ).select("host", "at", "prefix", F.lit(True).alias("_varies"))
     general = _rebuilt(
-        steps.join(varied, ["host", "prefix"], "left"), ["host", "shape"],
+        steps.join(varied, ["host", "at", "prefix"], "left"), ["host", "shape"],
         F.when(F.col("_varies"), F.lit("{*}")).otherwise(F.col("child")),
     ).withColumnRenamed("built", "general")
     tree = store(shapes.join(general, ["host", "shape"]), "url-tree")
 
     leaves = tree.groupBy("host", "general").agg(F.sum("n").alias("n"))
     branches = _steps(leaves, "general")
-    spread = branches.filter(F.col("rest").isNotNull()).groupBy("host", "prefix", "child", "rest").agg(F.sum("n").alias("n"))
-    sizes = spread.groupBy("host", "prefix", "child").agg(F.sum("n").alias("size"))
-    largest = sizes.withColumn("_r", F.row_number().over(W.partitionBy("host", "prefix").orderBy(F.desc("size"), "child"))) \
-        .filter("_r = 1").select("host", "prefix", F.col("child").alias("anchor"), F.col("size").alias("anchor_size"))
-    shares = spread.join(sizes, ["host", "prefix", "child"]).join(largest, ["host", "prefix"])
-    anchors = shares.filter(F.col("child") == F.col("anchor")).select("host", "prefix", "rest", (F.col("n") / F.col("size")).alias("_q"))
+    spread = branches.filter(F.col("rest").isNotNull()).groupBy("host", "at", "prefix", "child", "rest").agg(F.sum("n").alias("n"))
+    sizes = spread.groupBy("host", "at", "prefix", "child").agg(F.sum("n").alias("size"))
+    largest = sizes.withColumn("_r", F.row_number().over(W.partitionBy("host", "at", "prefix").orderBy(F.desc("size"), "child"))) \
+        .filter("_r = 1").select("host", "at", "prefix", F.col("child").alias("anchor"), F.col("size").alias("anchor_size"))
+    shares = spread.join(sizes, ["host", "at", "prefix", "child"]).join(largest, ["host", "at", "prefix"])
+    anchors = shares.filter(F.col("child") == F.col("anchor")).select("host", "at", "prefix", "rest", (F.col("n") / F.col("size")).alias("_q"))
     alike = (
-        shares.join(anchors, ["host", "prefix", "rest"])
-        .groupBy("host", "prefix", "child", "anchor", "size", "anchor_size")
+        shares.join(anchors, ["host", "at", "prefix", "rest"])
+        .groupBy("host", "at", "prefix", "child", "anchor", "size", "anchor_size")
         .agg(F.sum(F.least(F.col("n") / F.col("size"), F.col("_q"))).alias("_overlap"))
         .filter(1 - F.col("_overlap") <= F.lit(distance) + F.sqrt(1 / F.col("size") + 1 / F.col("anchor_size")))
-        .select("host", "prefix", "child", "anchor")
+        .select("host", "at", "prefix", "child", "anchor")
     )
     merged = _rebuilt(
-        branches.select("host", "general", "at", "prefix", "child").join(alike, ["host", "prefix", "child"], "left"),
+        branches.select("host", "general", "at", "prefix", "child").join(alike, ["host", "at", "prefix", "child"], "left"),
         ["host", "general"], F.coalesce("anchor", "child"),
     ).withColumnRenamed("built", "template")
     placed = tree.join(merged, ["host", "general"])
