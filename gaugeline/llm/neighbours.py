@@ -88,7 +88,8 @@ def search(
     but the query's own, so every row with another id; all of them if there are fewer than ``k``. Vectors that are null,
     zero, of another length than the longest, or hold null or non-finite components take no part, nor do rows with a null
     id. Rows that repeat an id and its vector are found once each. ``sample`` rows (smallest id hash) fit the centroids;
-    every row is indexed. ``share`` of the rows is visited whatever their number; a larger one finds more.
+    every row is indexed. ``share`` of the rows, and at least ``10 * k``, is visited whatever their number; a larger one
+    finds more.
     """
     rows = vectors.withColumn("_is_query", F.coalesce(is_query, F.lit(False))).select(
         col(id).alias("_id"), col(vector).cast("array<double>").alias("_v"), "_is_query"
@@ -117,7 +118,7 @@ def search(
     sizes = np.zeros((max(1, len(books[0])), max(1, len(books[1]))), np.int64)
     for r in indexed.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[r["first"], r["second"]] = r["n"]
-    wanted = int(np.ceil(share * sizes.sum()))
+    wanted = max(int(np.ceil(share * sizes.sum())), 10 * k)
 
     def distances(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         parts = [np.stack([(h * c).sum(axis=1) for c in book], axis=1) for h, book in zip((x[:, :cut], x[:, cut:]), books, strict=True)]
