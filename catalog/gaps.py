@@ -160,6 +160,13 @@ def _near(t: str, scaled: bool, digits: int | None = 3) -> str:
     return f"{value if digits is None else rounded(value, digits)} AS {t}"
 
 
+#: The panel after the whole imputation, as ``imputed``.
+IMPUTED_SQL = [
+    PANEL_SQL, FILLED_SQL, *knn_sql(True),
+    "imputed AS MATERIALIZED (SELECT supplier, month, " + ", ".join([*SIMPLE, *[_near(t, True, None) for t in NEAR]]) + " FROM filled p)",
+]
+
+
 def _valid(c: str) -> str:
     return f"""SELECT '{c}' AS variable, avg(p.{c}) AS mb, avg(f.{c}) AS ma,
       quantile_cont(p.{c}, 0.5) AS qb, quantile_cont(f.{c}, 0.5) AS qa,
@@ -244,8 +251,7 @@ ORACLES = {
         + " FROM filled p",
     ),
     "ms_12_validate_imputation": with_sql(
-        PANEL_SQL, FILLED_SQL, *knn_sql(True),
-        "imputed AS MATERIALIZED (SELECT supplier, month, " + ", ".join([*SIMPLE, *[_near(t, True, None) for t in NEAR]]) + " FROM filled p)",
+        *IMPUTED_SQL,
         "v AS (" + " UNION ALL ".join(_valid(c) for c in KEPT) + ")",
         body=f"""SELECT variable, round(mb, 3) AS mean_before, round(ma, 3) AS mean_after,
         round(qb, 3) AS median_before, round(qa, 3) AS median_after, round(sb, 3) AS std_before,

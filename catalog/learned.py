@@ -17,6 +17,7 @@ from .base import (
     EVENT,
     FEATS,
     IDS,
+    KEPT,
     LIMITS,
     MULTI,
     PANEL_SQL,
@@ -25,12 +26,14 @@ from .base import (
     rnd,
     rounded,
     scaled_panel,
+    scaled_sql,
     scratch,
     table,
     with_sql,
 )
 from .base import panel as load
-from .tables import COUNTED_SQL
+from .gaps import IMPUTED_SQL
+from .tables import COUNT_ALL, COUNTED_SQL
 
 FOREST = iforest.IsolationForest()
 
@@ -39,6 +42,14 @@ def kmeans(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.kmeans_fit(scaled_panel(spark, sf), MULTI, 3).table.select(*IDS, "cluster")
 
 
+def assignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in all, and rows that lie nearer to another centroid than to their own: none may."""
+    fit = cluster.kmeans_fit(scaled_panel(spark, sf), MULTI, 3)
+    gaps = [sum((F.col(c) - F.lit(m)) ** 2 for c, m in zip(MULTI, centre, strict=True)) for centre in fit.centroids]
+    own = F.get(F.array(*gaps), F.col("cluster"))
+    return fit.table.agg(F.count("*").alias("n"), F.count_if(own > F.least(*gaps) * (1 + 1e-9)).alias("n_misplaced"))
+
+
 def sweep(spark: SparkSession, sf: str) -> DataFrame:
     rows, names = embedding_columns(spark, sf)
     return cluster.sweep_k(rows, names, range(2, 11))
@@ -128,6 +139,14 @@ def confusion(spark: SparkSession, sf: str) -> DataFrame:
     return classify.confusion_matrix(table(spark, sf, "labels"), "quality", "toxic", names=["no", "yes"])
 
 
+def label_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and labels of every imputed row: the columns of the labelled table that nothing random enters."""
+    filled, _ = impute(load(spark, sf), IDS, FEATS)
+    strict, _ = limits.label_any(limits.violation_count(keep(filled), LIMITS), LIMITS)
+    both, _ = limits.label_severity(strict, LIMITS)
+    return both.select(*IDS, "n_violations", "inadequate", "severity_high")
+
+
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     """Values, cluster, counts, labels, anomaly flag and score of every imputed row side by side."""
     filled, plan = impute(load(spark, sf), IDS, FEATS)
@@ -160,7 +179,8 @@ def scatter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_preprocess(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.run_preprocess(load(spark, sf), IDS, scratch(spark, "run"), FEATS)["scaled"]
+    scaled = runs.run_preprocess(load(spark, sf), IDS, scratch(spark, "run"), FEATS)["scaled"]
+    return rnd(scaled.select(*IDS, *sorted(KEPT)), sorted(KEPT), 4)
 
 
 def _trained(spark: SparkSession, sf: str) -> tuple[str, dict[str, DataFrame]]:
@@ -189,6 +209,7 @@ def run_outlier_study(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "cl_01_kmeans_fit": kmeans,
+    "cl_01_kmeans_assignment": assignment,
     "cl_02_sweep_k": sweep,
     "cl_02_elbow": elbow,
     "cl_03_silhouette": silhouette,
@@ -204,6 +225,7 @@ QUERIES = {
     "cl_11_confusion_matrix": confusion,
     "cl_12_feature_importance": importances,
     "cl_13_labelled_table": labelled,
+    "cl_13_label_columns": label_columns,
     "cl_14_summary_metrics": summary,
     "cl_15_scatter_data": scatter,
     "pl_01_preprocess": run_preprocess,
@@ -226,6 +248,17 @@ _D2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in MULTI)
 _SIL = "SELECT round(avg(CASE WHEN ia IS NULL OR greatest(ia, ib) = 0 THEN 0 ELSE (ib - ia) / greatest(ia, ib) END), 7) AS silhouette FROM ab"
 
 ORACLES = {
+    "cl_01_kmeans_assignment": with_sql(PANEL_SQL, SCALED_SQL, body="SELECT count(*) AS n, 0 AS n_misplaced FROM z"),
+    "cl_13_label_columns": with_sql(
+        *IMPUTED_SQL,
+        f"counted AS (SELECT supplier, month, CAST({COUNT_ALL} AS INTEGER) AS n_violations FROM imputed)",
+        body="""SELECT *, CAST(n_violations > 0 AS INTEGER) AS inadequate,
+        CAST(n_violations > (SELECT quantile_cont(n_violations, 0.5) FROM counted) AS INTEGER) AS severity_high FROM counted""",
+    ),
+    "pl_01_preprocess": with_sql(
+        *IMPUTED_SQL, scaled_sql("s", "imputed", KEPT, IDS),
+        body="SELECT supplier, month, " + ", ".join(f"round({c}, 4) AS {c}" for c in KEPT) + " FROM s",
+    ),
     "cl_02_elbow": """WITH l AS (SELECT l_linenumber AS k, sum(CAST(round(l_extendedprice, 2) AS DECIMAL(18,2))) AS v FROM lineitem GROUP BY 1),
       c AS (SELECT k, CAST(sum(v) OVER (ORDER BY k DESC) AS DOUBLE) AS w FROM l),
       e AS (SELECT min(k) AS k0, max(k) AS k1, min_by(w, k) AS w0, max_by(w, k) AS w1 FROM c)

@@ -77,84 +77,57 @@ def bucket_columns(
 def _spearman(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Rank correlation with average ranks taken inside each pairwise-complete pair.
 
-    Values are first counted per (pair, side, value), so ties cost one row. Cumulative counts
-    run inside even buckets of the value range and are shifted by the bucket totals, so no
-    window spans a whole column.
+    Ranks are found per variable, for all its partners at once: every value counts the rows that hold it and also have
+    each other variable, and these counts accumulate over the values. Running sums stay inside even buckets of the
+    value range and are shifted by the buckets before, so no window spans a whole column. The ranks of a row's values
+    then come back to it in one grouping, and one aggregate gives all pairs. Equal rows count as one with a weight.
     """
     work, buckets = bucket_columns(df, features)
-    pairs = [(i, j) for i in range(len(features)) for j in range(i + 1, len(features))]
-    entries = [
-        F.when(
-            F.col(f"_x{i}").isNotNull() & F.col(f"_x{j}").isNotNull(),
-            F.struct(
-                F.lit(k).alias("pair"),
-                F.col(f"_x{i}").alias("x"),
-                F.col(buckets[i]).alias("bx"),
-                F.col(f"_x{j}").alias("y"),
-                F.col(buckets[j]).alias("by"),
-            ),
-        )
-        for k, (i, j) in enumerate(pairs)
+    p, xs = len(features), [f"_x{i}" for i in range(len(features))]
+    rows = work.groupBy(*xs, *buckets).agg(F.count(F.lit(1)).alias("_n"))
+    entry = [
+        F.when(F.col(x).isNotNull(), F.struct(F.lit(i).alias("i"), F.col(x).alias("v"), F.col(b).alias("b")))
+        for i, (x, b) in enumerate(zip(xs, buckets, strict=True))
     ]
-    joint = (
-        work.select(F.explode(F.array_compact(F.array(*entries))).alias("e"))
-        .select("e.*")
-        .groupBy("pair", "x", "bx", "y", "by")
-        .agg(F.count("*").alias("n"))
-    )
-
-    def ranks(value: str, bucket: str) -> DataFrame:
-        counted = joint.groupBy("pair", F.col(bucket).alias("b"), F.col(value).alias("v")).agg(
-            F.sum("n").alias("n")
-        )
-        totals = counted.groupBy("pair", "b").agg(F.sum("n").alias("bn"))
-        upto = Window.partitionBy("pair").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-        offset = totals.select(
-            "pair", "b", F.coalesce(F.sum("bn").over(upto), F.lit(0)).alias("offset")
-        )
-        inside = (
-            Window.partitionBy("pair", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-        )
-        before = F.coalesce(F.sum("n").over(inside), F.lit(0))
-        # At most pairs x buckets rows: a fixed bound, safe to broadcast.
-        return (
-            counted.withColumn("before", before)
-            .join(F.broadcast(offset), ["pair", "b"])
-            .select(
-                "pair",
-                F.col("b").alias(bucket),
-                F.col("v").alias(value),
-                (F.col("offset") + F.col("before") + (F.col("n") + 1) / 2).alias(f"rank_{value}"),
-            )
-        )
-
-    ranked = joint.join(ranks("x", "bx"), ["pair", "bx", "x"]).join(
-        ranks("y", "by"), ["pair", "by", "y"]
+    values = rows.select("_n", *xs, F.explode(F.array_compact(F.array(*entry))).alias("e")).select("_n", *xs, "e.*")
+    counted = values.groupBy("i", "b", "v").agg(
+        *[F.sum(F.when(F.col(x).isNotNull(), F.col("_n")).otherwise(0)).alias(f"c{j}") for j, x in enumerate(xs)]
     )
-    # Ranks average (n + 1) / 2, so plain sums lose no more than a digit to cancellation.
-    n, x, y = F.col("n").cast("double"), F.col("rank_x"), F.col("rank_y")
-    sums = ranked.groupBy("pair").agg(
-        F.sum(n).alias("s"),
-        F.sum(n * x).alias("sx"),
-        F.sum(n * y).alias("sy"),
-        F.sum(n * x * y).alias("xy"),
-        F.sum(n * x * x).alias("xx"),
-        F.sum(n * y * y).alias("yy"),
+    partners = [f"c{j}" for j in range(p)]
+    before_bucket = Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = (
+        counted.groupBy("i", "b").agg(*[F.sum(c).alias(c) for c in partners])
+        .select("i", "b", *[F.coalesce(F.sum(c).over(before_bucket), F.lit(0)).alias(f"s{c}") for c in partners])
     )
-    moments = sums.select(
-        "pair",
-        (F.col("xy") - F.col("sx") * F.col("sy") / F.col("s")).alias("sxy"),
-        (F.col("xx") - F.col("sx") * F.col("sx") / F.col("s")).alias("sxx"),
-        (F.col("yy") - F.col("sy") * F.col("sy") / F.col("s")).alias("syy"),
+    inside = Window.partitionBy("i", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = (
+        counted.withColumns({f"b{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in partners})
+        .join(shift, ["i", "b"])
+        .select("i", "b", "v", F.array(*[F.col(f"s{c}") + F.col(f"b{c}") + (F.col(c) + 1) / 2 for c in partners]).alias("r"))
     )
-    name_a = F.get(F.array(*[F.lit(features[i]) for i, _ in pairs]), F.col("pair"))
-    name_b = F.get(F.array(*[F.lit(features[j]) for _, j in pairs]), F.col("pair"))
-    spread = F.sqrt(F.col("sxx") * F.col("syy"))
-    return moments.select(
-        name_a.alias("var_a"),
-        name_b.alias("var_b"),
-        F.when(spread > 0, F.col("sxy") / spread).alias("corr"),
+    ranked = (
+        values.join(ranks, ["i", "b", "v"]).groupBy(*xs, "_n")
+        .agg(F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("m"))
     )
+    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
+    sums = []
+    for k, (i, j) in enumerate(pairs):
+        # Ranks average (n + 1) / 2, so plain sums lose no more than a digit to cancellation.
+        both = F.col(xs[i]).isNotNull() & F.col(xs[j]).isNotNull()
+        n = F.when(both, F.col("_n").cast("double"))
+        x, y = F.get(F.try_element_at("m", F.lit(i)), j), F.get(F.try_element_at("m", F.lit(j)), i)
+        terms = {"s": n, "sx": n * x, "sy": n * y, "xy": n * x * y, "xx": n * x * x, "yy": n * y * y}
+        sums += [F.sum(t).alias(f"{name}{k}") for name, t in terms.items()]
+    wide = ranked.agg(*sums)
+    entries = []
+    for k, (i, j) in enumerate(pairs):
+        s, sx, sy, xy, xx, yy = (F.col(f"{name}{k}") for name in ("s", "sx", "sy", "xy", "xx", "yy"))
+        spread = F.sqrt((xx - sx * sx / s) * (yy - sy * sy / s))
+        entries.append(F.struct(
+            F.lit(features[i]).alias("var_a"), F.lit(features[j]).alias("var_b"),
+            F.when(spread > 0, (xy - sx * sy / s) / spread).alias("corr"), s.alias("s"),
+        ))
+    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter("s IS NOT NULL").drop("s")
 
 
 # --- distribution -------------------------------------------------------------
