@@ -129,9 +129,20 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray,
     return marginal[valid], came[valid], comes[valid]
 
 
-def _keys(word: str) -> tuple[str, ...]:
-    """A word and its stems, told apart by a mark that no word holds."""
-    return (word, word[:4] + "-", word[:5] + "-") if len(word) > 4 else (word,)
+def _stems(word: str) -> tuple[str, ...]:
+    return (word[:4] + "-", word[:5] + "-") if len(word) > 4 else ()
+
+
+def _inflected(words: list[list[str]]) -> set[str]:
+    """Stems of several word forms, none of which makes up over four fifths of them: of one form, a stem says nothing."""
+    texts = Counter(w for part in words for w in set(part))
+    forms, total, most = Counter(), Counter(), Counter()
+    for word, n in texts.items():
+        for stem in _stems(word):
+            forms[stem] += 1
+            total[stem] += n
+            most[stem] = max(most[stem], n)
+    return {s for s, n in forms.items() if n >= 3 and most[s] <= 0.8 * total[s]}
 
 
 def _toxic_keys(bags: list[set[str]], labels: np.ndarray) -> set[str]:
@@ -179,21 +190,25 @@ def _doc_features(marginal: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(lengths)), np.log(top / (1 - top)) / 4, np.log1p(total)], axis=1)
 
 
-def fit(texts: list[str | None], labels: list[int], *, rounds: int = 50, window: int = 10, ridge: float = 0.1, seed: int = 3) -> SpanModel:
+def fit(texts: list[str | None], labels: list[int], *, rounds: int = 120, window: int = 10, ridge: float = 0.05, seed: int = 3) -> SpanModel:
     """Fit on labelled texts (1 toxic). Equal texts count once; with one class only, nothing is learnt."""
     pairs = sorted({(t or "", int(y)) for t, y in zip(texts, labels, strict=True) if y is not None})
     y = np.array([b for _, b in pairs], int)
     if not len(y) or y.min() == y.max():
         return SpanModel()
     words = [[w.lower() for w in _WORD.findall(t)] for t, _ in pairs]
-    marks = _toxic_keys([{k for x in set(w) for k in _keys(x)} for w in words], y)
+    inflected = _inflected(words)
+    keys_of: dict[str, tuple[str, ...]] = {}  # a word and its stems, told apart by a mark that no word holds
+    for w in {x for part in words for x in part}:
+        keys_of[w] = (w, *[k for k in _stems(w) if k in inflected])
+    marks = _toxic_keys([{k for x in set(w) for k in keys_of[x]} for w in words], y)
     rng = np.random.default_rng(seed)
     pieces: list[tuple[list[str], np.ndarray]] = []
     for w, toxic in zip(words, y, strict=True):
-        hot = np.array([i for i, x in enumerate(w) if not marks.isdisjoint(_keys(x))] if toxic else [], int)
+        hot = np.array([i for i, x in enumerate(w) if not marks.isdisjoint(keys_of[x])] if toxic else [], int)
         for i in rng.permutation(hot)[:3]:
             part = w[max(0, i - window) : i + window + 1]
-            pieces.append((part, np.array([not marks.isdisjoint(_keys(x)) for x in part])))
+            pieces.append((part, np.array([not marks.isdisjoint(keys_of[x]) for x in part])))
         for i in rng.integers(0, max(1, len(w)), 2 if not toxic else 0):
             part = w[i : i + 4 * window]
             if part:
@@ -201,7 +216,7 @@ def fit(texts: list[str | None], labels: list[int], *, rounds: int = 50, window:
     if not any(t.any() for _, t in pieces):
         return SpanModel()
     seen = Counter(x for part, _ in pieces for x in set(part))
-    stem_seen = Counter(k[:-1] for part, _ in pieces for k in {k for x in part for k in _keys(x)[1:]})
+    stem_seen = Counter(k[:-1] for part, _ in pieces for k in {k for x in part for k in keys_of[x][1:]})
     known = sorted(w for w, n in seen.items() if n >= 3)
     stems = sorted(k for k, n in stem_seen.items() if n >= 3)
     model = SpanModel(ids={w: i + 1 for i, w in enumerate(known)})
@@ -210,7 +225,7 @@ def fit(texts: list[str | None], labels: list[int], *, rounds: int = 50, window:
     up = np.zeros((2, size), np.int64)  # the rows of a row's stems; row 0, without weight, where there is none
     for word, i in (model.ids | model.stems).items():
         for j, n in enumerate((4, 5)):
-            stem = model.stems.get(word[:n], 0) if len(word) > 4 or word in model.stems else 0
+            stem = model.stems.get(word[:n], 0) if len(word) >= n else 0
             up[j, i] = stem if stem != i else 0
     look = WordIds(model)
     rows = [np.fromiter(map(look.__getitem__, part), np.int64, len(part)) for part, _ in pieces]
@@ -245,7 +260,8 @@ def fit(texts: list[str | None], labels: list[int], *, rounds: int = 50, window:
                          (before_truth * (1 - truth)).sum(), (before_truth * truth).sum()])
         grads["move"] = (real - pair.sum(axis=1)).reshape(2, 2)
         for k in w:
-            g = grads[k] - ridge * w[k]
+            # Neighbours say little, so their weights are held back more.
+            g = grads[k] - (ridge if k == "word" else 100 * ridge) * w[k]
             g[0] = 0
             memory[k] += g * g
             w[k] = w[k] + rate * g / np.sqrt(memory[k])
