@@ -54,7 +54,7 @@ class WordNumbers(dict):
 
 
 def word_counts(docs: DataFrame, text: str, size: int) -> tuple[dict[str, int], np.ndarray]:
-    """Numbers of the ``size`` most frequent lower-cased words (ties to the smaller word) and the counts by number."""
+    """Numbers of the lower-cased words that are more frequent than the one of rank ``size + 1``, and the counts by number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -75,10 +75,14 @@ def word_counts(docs: DataFrame, text: str, size: int) -> tuple[dict[str, int],
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([total], pa.int64())], names=["word", "n"])
 
     counted = docs.select(col(text)).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    # The null word holds the number of all words, so it stands first.
-    top = counted.orderBy(F.desc("n"), F.col("word").asc_nulls_first()).limit(size + 1).collect()
-    total = next((r["n"] for r in top if r["word"] is None), 0)
-    words = [(r["word"], r["n"]) for r in top if r["word"] is not None][:size]
+    counted = store(counted, "word-counts")
+    total = counted.filter("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # the null word counts them all
+    # How many words have each count: at most about the root of twice the number of words.
+    spread = counted.filter("word IS NOT NULL").groupBy("n").agg(F.count(F.lit(1)).alias("k")).toPandas().sort_values("n", ascending=False)
+    fits = spread["n"].to_numpy()[np.cumsum(spread["k"].to_numpy()) <= size]
+    least = int(fits[-1]) if len(fits) else int(total) + 1
+    top = counted.filter("word IS NOT NULL").filter(F.col("n") >= least).collect()  # at most ``size`` rows
+    words = sorted(((r["word"], r["n"]) for r in top), key=lambda x: (-x[1], x[0]))
     counts = np.array([total - sum(n for _, n in words), *[n for _, n in words]], np.int64)
     return {w: i + 1 for i, (w, _) in enumerate(words)}, counts
 
@@ -92,7 +96,7 @@ def _numbered(batches: Iterator[pa.RecordBatch], at: int, look: WordNumbers, wor
             rows.append([c[i].as_py() for j, c in enumerate(batch.columns) if j != at])
             parts.append(np.fromiter(map(look.__getitem__, found), np.int64, len(found)))
             size += len(found)
-            if size >= words:
+            if size >= words or len(rows) >= 50_000:
                 yield rows, parts
                 rows, parts, size = [], [], 0
     if rows:
@@ -221,46 +225,48 @@ def score_documents(
             log, back = scored(top_counts[at[known]], m[known], own1[known], own2[known], p[known], n_doc[d[known]])
             score += np.bincount(d[known], log, len(parts))
             backs += np.bincount(d[known], back, len(parts)).astype(np.int64)
-            uid = np.array([g[0] for g in given], np.int64)
-            names = [g[1] for g in given]
-            out = [(-1 - int(uid[0] % parts_n), uid, names, None, score, backs, n_doc)]
-            part = part_of(p)
-            for k, chosen in cut(np.flatnonzero(~known), part):
-                block = pack_columns(d[chosen], p[chosen], m[chosen], own1[chosen], own2[chosen])
-                out.append((k, uid, names, block, None, None, n_doc))
+            chunk = int(given[0][0])
+            base_row = (-1 - chunk % parts_n, chunk, [g[1] for g in given], None, score, backs, n_doc)
+            out = [base_row] + [
+                (k, chunk, None, pack_columns(d[c], p[c], m[c], own1[c], own2[c]), None, None, n_doc)
+                for k, c in cut(np.flatnonzero(~known), part_of(p))
+            ]
             yield pa.RecordBatch.from_arrays([
-                pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())),
-                pa.array([o[2] for o in out], pa.list_(name_type)), pa.array([o[3] for o in out], pa.binary()),
-                pa.array([o[4] for o in out], pa.list_(pa.float64())), pa.array([o[5] for o in out], pa.list_(pa.int64())),
-                pa.array([o[6] for o in out], pa.list_(pa.int64())),
-            ], names=["part", "uids", "ids", "block", "scores", "backs", "sizes"])
+                pa.array([o[i] for o in out], t) for i, t in enumerate((
+                    pa.int64(), pa.int64(), pa.list_(name_type), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())))
+            ], names=["part", "chunk", "ids", "block", "scores", "backs", "sizes"])
 
-    exploded = rows.mapInArrow(explode, f"part bigint, uids array<bigint>, ids array<{kind}>, block binary, scores array<double>, "
+    exploded = rows.mapInArrow(explode, f"part bigint, chunk bigint, ids array<{kind}>, block binary, scores array<double>, "
                                         "backs array<bigint>, sizes array<bigint>")
+    summed = f"chunk bigint, ids array<{kind}>, places array<int>, scores array<double>, backs array<bigint>, sizes array<bigint>"
 
-    def join(counted: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def join(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        """A row per block: the sums of its documents, by their place in the chunk."""
         keys = n = np.empty(0, np.int64)
         if len(counted):
             keys, n = unpack_columns(counted["block"].iloc[0], 2).astype(np.int64)
         out = []
-        for uids, ids, block, scores, backs, sizes in zip(*[asked[x] for x in ("uids", "ids", "block", "scores", "backs", "sizes")], strict=True):
+        for chunk, ids, block, scores, backs, sizes in asked[["chunk", "ids", "block", "scores", "backs", "sizes"]].itertuples(index=False):
             if block is None:
-                out.append(pd.DataFrame({"_uid": uids, "_id": ids, "log_score": scores, "n_backoff": backs, "n_words": sizes}))
+                out.append((chunk, ids, None, scores, backs, sizes))
                 continue
             d, p, m, own1, own2 = unpack_columns(block, 5).astype(np.int64)
             log, back = scored(n[np.searchsorted(keys, p)], m, own1, own2, p, np.asarray(sizes)[d])
             present, place = np.unique(d, return_inverse=True)
-            out.append(pd.DataFrame({
-                "_uid": np.asarray(uids)[present], "_id": np.asarray(ids, object)[present], "log_score": np.bincount(place, log),
-                "n_backoff": np.bincount(place, back).astype(np.int64), "n_words": 0,
-            }))
-        return pd.concat(out) if out else pd.DataFrame({k: [] for k in ("_uid", "_id", "log_score", "n_backoff", "n_words")})
-
-    sums = exploded.groupBy("part").cogroup(table.select("part", "block").groupBy("part")).applyInPandas(
-        lambda asked, counted: join(counted, asked), f"_uid bigint, _id {kind}, log_score double, n_backoff bigint, n_words bigint"
-    )
+            out.append((chunk, None, present.astype(np.int32), np.bincount(place, log), np.bincount(place, back).astype(np.int64), None))
+        return pd.DataFrame(out, columns=["chunk", "ids", "places", "scores", "backs", "sizes"])
+
+    def add_documents(group: pd.DataFrame) -> pd.DataFrame:
+        first = group[group["places"].isna()].iloc[0]
+        score, back = np.array(first["scores"]), np.array(first["backs"])
+        for places, scores, backs in group.loc[group["places"].notna(), ["places", "scores", "backs"]].itertuples(index=False):
+            score[places] += scores
+            back[places] += backs
+        return pd.DataFrame({id: pd.Series(list(first["ids"]), dtype=object), "n_words": first["sizes"], "n_backoff": back, "log_score": score})
+
+    # A chunk holds a bounded number of words, so its documents and their sums are few.
+    sums = exploded.groupBy("part").cogroup(table.select("part", "block").groupBy("part")).applyInPandas(join, summed)
     return (
-        sums.groupBy("_uid").agg(F.any_value("_id").alias(id), F.sum("n_words").alias("n_words"), F.sum("n_backoff").alias("n_backoff"),
-                                 F.sum("log_score").alias("log_score"))
-        .drop("_uid").withColumn("mean_log_score", F.col("log_score") / F.nullif("n_words", F.lit(0)))
+        sums.groupBy("chunk").applyInPandas(add_documents, f"`{id}` {kind}, n_words bigint, n_backoff bigint, log_score double")
+        .withColumn("mean_log_score", F.col("log_score") / F.nullif("n_words", F.lit(0)))
     )

@@ -159,7 +159,8 @@ def test_lm_scores(spark, docs):
     words = [re.findall(r"\w+", (t or "").lower()) for _, t in rows]
     one = collections.Counter(w for v in words for w in v)
     size = 40
-    known = set(sorted(one, key=lambda w: (-one[w], w))[:size])
+    cut = sorted(one.values(), reverse=True)[size]
+    known = {w for w, n in one.items() if n > cut}
     words = [[w if w in known else None for w in v] for v in words]
     one = collections.Counter(w for v in words for w in v)
     two = collections.Counter(x for v in words for x in zip(v, v[1:], strict=False))
@@ -198,12 +199,12 @@ def test_secrets(spark, docs):
 
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
-    bad = ["scoundrelly", "scoundrelish", "vermin"]
+    bad = ["scoundrelly", "scoundrelish", "scoundrelette", "vermin"]
 
     def make(i: int, toxic: bool) -> tuple:
         words = prose(300 + i, int(rng.integers(20, 400)))
         for _ in range(3 if toxic else 0):
-            words.insert(int(rng.integers(0, len(words))), bad[int(rng.integers(0, 3))])
+            words.insert(int(rng.integers(0, len(words))), bad[int(rng.integers(0, 4))])
         return i, " ".join(words), int(toxic)
 
     rows = [make(i, i % 3 == 0) for i in range(240)]
