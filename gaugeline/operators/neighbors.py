@@ -93,17 +93,21 @@ def knn_join(
     )
 
 
-def _self_neighbors(
-    df: DataFrame, id_cols: Sequence[str], features: Sequence[str], k: int, cell_rows: int
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows, distinct vectors with counts, and the k+1 nearest vectors (itself included)."""
+#: Distinct vectors with counts, and the nearest vectors of each (itself included).
+SelfSearch = tuple[DataFrame, DataFrame]
+
+
+def self_search(
+    df: DataFrame, id_cols: Sequence[str], features: Sequence[str], k: int, cell_rows: int = CELL_ROWS
+) -> SelfSearch:
+    """The k + 1 nearest vectors of every distinct vector; one search serves all detectors of up to ``k`` neighbours."""
     names = xcols(len(features))
     rows = _vectors(df, features, {"id": row_id(id_cols)})
     distinct = keep(rows.groupBy(*names).agg(F.min("id").alias("qid"), F.count("*").alias("n")))
     base = distinct.select(
         F.col("qid").alias("nid"), F.least("n", F.lit(k + 1)).alias("w"), *names
     )
-    return rows, distinct, search(distinct, base, len(features), k + 1, cell_rows=cell_rows)
+    return distinct, search(distinct, base, len(features), k + 1, cell_rows=cell_rows)
 
 
 def _back_to_rows(
@@ -130,15 +134,17 @@ def knn_scores(
     include_self: bool = False,
     name: str = "knn_score",
     cell_rows: int = CELL_ROWS,
+    searched: SelfSearch | None = None,
 ) -> DataFrame:
     """Add the distance to the k-th neighbour.
 
-    ``include_self`` counts the row itself as its first neighbour.
+    ``include_self`` counts the row itself as its first neighbour. ``searched`` is a search of the same rows for as many
+    neighbours or more.
     """
     k = min(k, max(1, df.count() - 1))
-    reach = k - 1 if include_self else k
-    _, distinct, found = _self_neighbors(df, id_cols, features, max(reach, 0), cell_rows)
-    scores = found.groupBy("qid").agg(F.max("dist").alias("score"))
+    reach = max(k - 1 if include_self else k, 0)
+    distinct, found = searched or self_search(df, id_cols, features, reach, cell_rows)
+    scores = found.filter(F.col("before") < reach + 1).groupBy("qid").agg(F.max("dist").alias("score"))
     return _back_to_rows(df, id_cols, features, distinct, scores, name)
 
 
@@ -160,10 +166,13 @@ def flag_knn(
     include_self: bool = False,
     name: str = "flag_KNN",
     cell_rows: int = CELL_ROWS,
+    searched: SelfSearch | None = None,
 ) -> DataFrame:
     """Neighbour-distance detector: adds ``knn_score`` and the flag."""
     scored = keep(
-        knn_scores(df, id_cols, features, k, include_self=include_self, cell_rows=cell_rows)
+        knn_scores(
+            df, id_cols, features, k, include_self=include_self, cell_rows=cell_rows, searched=searched
+        )
     )
     return flag_above(scored, "knn_score", contamination, name=name)
 
@@ -176,10 +185,11 @@ def lof_scores(
     *,
     name: str = "lof_score",
     cell_rows: int = CELL_ROWS,
+    searched: SelfSearch | None = None,
 ) -> DataFrame:
-    """Add the local outlier factor."""
+    """Add the local outlier factor; ``searched`` as in :func:`knn_scores`."""
     k = min(k, max(1, df.count() - 1))
-    _, distinct, found = _self_neighbors(df, id_cols, features, k, cell_rows)
+    distinct, found = searched or self_search(df, id_cols, features, k, cell_rows)
     # Weight of each neighbour vector within the k: one copy of the row itself is not counted.
     used = F.least("w", F.lit(k + 1) - F.col("before")) - (F.col("nid") == F.col("qid")).cast("int")
     near = keep(
@@ -214,9 +224,10 @@ def flag_lof(
     *,
     name: str = "flag_LOF",
     cell_rows: int = CELL_ROWS,
+    searched: SelfSearch | None = None,
 ) -> DataFrame:
     """Local-density detector: adds ``lof_score`` and the flag."""
-    scored = keep(lof_scores(df, id_cols, features, k, cell_rows=cell_rows))
+    scored = keep(lof_scores(df, id_cols, features, k, cell_rows=cell_rows, searched=searched))
     cut = exact_quantiles(scored, {"s": -F.col("lof_score")}, [contamination])["s"][0]
     return scored.withColumn(name, -F.col("lof_score") < F.lit(cut))
 

@@ -171,3 +171,18 @@ def test_votes_of_detectors(spark):
     assert len(out) == 100 and out.votes.between(0, 3).all()
     assert (out.outlier == (out.votes >= 2)).all() and out.outlier.sum() >= 1
     assert ensemble.anomaly_rate(spark.createDataFrame([], "f boolean"), "f").first().rate == 0.0
+
+
+def test_one_search_serves_both_neighbour_detectors(spark):
+    import numpy as np
+
+    from gaugeline.operators.neighbors import knn_scores, lof_scores, self_search
+
+    x = np.random.default_rng(3).normal(size=(60, 2))
+    x[5] = x[6] = x[7]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, a double, b double")
+    shared = self_search(df, ["id"], ["a", "b"], 12)
+    for fn, k, name in ((knn_scores, 3, "knn_score"), (lof_scores, 8, "lof_score")):
+        own = {r["id"]: r[name] for r in fn(df, ["id"], ["a", "b"], k).collect()}
+        got = {r["id"]: r[name] for r in fn(df, ["id"], ["a", "b"], k, searched=shared).collect()}
+        assert len(got) == 60 and all(abs(got[i] - own[i]) < 1e-9 for i in own)
