@@ -23,7 +23,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import col, mix64, store
 
@@ -184,9 +183,9 @@ def score_documents(
     frequent = table.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("p.pairs", "p.counts").toPandas()
     frequent = frequent.sort_values("pairs")
     top = spark.sparkContext.broadcast((frequent["pairs"].to_numpy(np.int64), frequent["counts"].to_numpy(np.int64)))
-    rows = docs.select(F.monotonically_increasing_id().alias("_uid"), col(id).alias("_id"), col(text).alias("_t"))
-    kind = rows.schema["_id"].dataType.simpleString()
-    name_type = to_arrow_type(rows.schema["_id"].dataType)
+    # Ids travel as text, because numbers beside a null would become floating point.
+    rows = docs.select(F.monotonically_increasing_id().alias("_uid"), col(id).cast("string").alias("_id"), col(text).alias("_t"))
+    kind = docs.select(col(id)).schema[0].dataType.simpleString()
 
     def scored(seen: np.ndarray, m: np.ndarray, own1: np.ndarray, own2: np.ndarray, pair: np.ndarray, n_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sum of log S and number of backoffs of each pair's occurrences in one document."""
@@ -233,12 +232,12 @@ def score_documents(
             ]
             yield pa.RecordBatch.from_arrays([
                 pa.array([o[i] for o in out], t) for i, t in enumerate((
-                    pa.int64(), pa.int64(), pa.list_(name_type), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())))
+                    pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())))
             ], names=["part", "chunk", "ids", "block", "scores", "backs", "sizes"])
 
-    exploded = rows.mapInArrow(explode, f"part bigint, chunk bigint, ids array<{kind}>, block binary, scores array<double>, "
+    exploded = rows.mapInArrow(explode, "part bigint, chunk bigint, ids array<string>, block binary, scores array<double>, "
                                         "backs array<bigint>, sizes array<bigint>")
-    summed = f"chunk bigint, ids array<{kind}>, places array<int>, scores array<double>, backs array<bigint>, sizes array<bigint>"
+    summed = "chunk bigint, ids array<string>, places array<int>, scores array<double>, backs array<bigint>, sizes array<bigint>"
 
     def join(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
         """A row per block: the sums of its documents, by their place in the chunk."""
@@ -262,11 +261,12 @@ def score_documents(
         for places, scores, backs in group.loc[group["places"].notna(), ["places", "scores", "backs"]].itertuples(index=False):
             score[places] += scores
             back[places] += backs
-        return pd.DataFrame({id: pd.Series(list(first["ids"]), dtype=object), "n_words": first["sizes"], "n_backoff": back, "log_score": score})
+        return pd.DataFrame({"_id": pd.Series(list(first["ids"]), dtype=object), "n_words": first["sizes"], "n_backoff": back, "log_score": score})
 
     # A chunk holds a bounded number of words, so its documents and their sums are few.
     sums = exploded.groupBy("part").cogroup(table.select("part", "block").groupBy("part")).applyInPandas(join, summed)
     return (
-        sums.groupBy("chunk").applyInPandas(add_documents, f"`{id}` {kind}, n_words bigint, n_backoff bigint, log_score double")
-        .withColumn("mean_log_score", F.col("log_score") / F.nullif("n_words", F.lit(0)))
+        sums.groupBy("chunk").applyInPandas(add_documents, "_id string, n_words bigint, n_backoff bigint, log_score double")
+        .select(F.col("_id").cast(kind).alias(id), "n_words", "n_backoff", "log_score",
+                (F.col("log_score") / F.nullif("n_words", F.lit(0))).alias("mean_log_score"))
     )
