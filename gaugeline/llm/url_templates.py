@@ -125,8 +125,8 @@ def template_verdicts(
 
 def judge_urls(pages: DataFrame, *, id: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str, str]] = RULES,
                **options) -> DataFrame:
-    """One row per row: ``id``, ``host``, ``path``, ``rule`` (the longest that fits, else null), ``template`` and ``verdict``: the
-    rule's, else ``block`` for a rejected template and ``allow`` otherwise.
+    """One row per row: ``id``, ``host``, ``path``, ``rule`` (the longest that fits, else null), ``verdict`` (the rule's, else
+    ``block`` for a rejected template and ``allow`` otherwise) and ``template``.
 
     A null URL, or one without ``://``, has an empty host and path. Repeated rows count as often as they stand; an empty
     table gives no rows. Without labels a template is allowed.
@@ -145,5 +145,5 @@ def judge_urls(pages: DataFrame, *, id: str = "page_id", url: str = "url", rules
     )
     known = template_verdicts(store(shapes, "url-shapes"), **options)
     return rows.join(known, ["host", "shape"], "left").select(
-        F.col("_id").alias(id), "host", "path", "rule", "template", F.coalesce("_action", "verdict", F.lit("allow")).alias("verdict")
+        F.col("_id").alias(id), "host", "path", "rule", F.coalesce("_action", "verdict", F.lit("allow")).alias("verdict"), "template"
     )
