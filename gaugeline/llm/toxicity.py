@@ -196,7 +196,9 @@ def fit(texts: list[str | None], labels: list[int], *, rounds: int = 120, window
     y = np.array([b for _, b in pairs], int)
     if not len(y) or y.min() == y.max():
         return SpanModel()
-    words = [[w.lower() for w in _WORD.findall(t)] for t, _ in pairs]
+    one: dict[str, str] = {}  # one object per different word
+    words = [[one.setdefault(w, w) for w in _WORD.findall(t.lower())] for t, _ in pairs]
+    del pairs, one
     inflected = _inflected(words)
     keys_of: dict[str, tuple[str, ...]] = {}  # a word and its stems, told apart by a mark that no word holds
     for w in {x for part in words for x in part}:
@@ -272,10 +274,13 @@ def fit(texts: list[str | None], labels: list[int], *, rounds: int = 120, window
         bias += rate * wrong.sum() / np.sqrt(memory["bias"])
     model.here = bias + w["word"] + w["word"][up[0]] + w["word"][up[1]]
     model.before, model.after, model.moves = w["before"], w["after"], np.exp(move)
-    whole = [np.fromiter(map(look.__getitem__, x), np.int64, len(x)) for x in words]
-    lengths = np.array([len(r) for r in whole])
-    marginal, _, _ = forward_backward(emissions(whole, model), lengths, model.moves)
-    model.doc = _logistic(_doc_features(marginal, lengths), y, 0.1)
+    features = []
+    for lo in range(0, len(words), 128):
+        whole = [np.fromiter(map(look.__getitem__, x), np.int64, len(x)) for x in words[lo : lo + 128]]
+        lengths = np.array([len(r) for r in whole])
+        marginal, _, _ = forward_backward(emissions(whole, model), lengths, model.moves)
+        features.append(_doc_features(marginal, lengths))
+    model.doc = _logistic(np.concatenate(features), y, 0.1)
     return model
 
 
