@@ -18,7 +18,7 @@ from ..functions.columns import (
     num,
     total,
 )
-from ..functions.fixed_values import DROP_ABOVE, SIMPLE_BELOW, SKEW_ABOVE
+from ..functions.fixed_values import ANNUAL, DROP_ABOVE, SIMPLE_BELOW, SKEW_ABOVE
 from ..functions.quantiles import medians
 
 
@@ -31,9 +31,15 @@ def missing_rate(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return out.orderBy(F.desc("missing"), "position").select("variable", "missing")
 
 
-def coverage(df: DataFrame, features: Sequence[str], period: str) -> DataFrame:
-    """Period by variable: 1 where the variable was measured at least once."""
-    return df.groupBy(col(period)).agg(
+def coverage(
+    df: DataFrame, features: Sequence[str], period: str, *, month: str | None = None
+) -> DataFrame:
+    """Period by variable: 1 where the variable was measured at least once.
+
+    On a long table, name its ``month`` column: annual summary rows measure nothing and are left out.
+    """
+    rows = df if month is None else df.filter(~col(month).eqNullSafe(F.lit(ANNUAL)))
+    return rows.groupBy(col(period)).agg(
         *[F.max(num(c).isNotNull().cast("int")).alias(c) for c in features]
     )
 

@@ -67,3 +67,11 @@ def test_forest_gives_no_score_to_a_gap(points):
     model = IsolationForest(n_trees=5).fit(points.filter("b IS NOT NULL"), ["id"], ["a", "b"])
     got = {r["id"]: r["iforest_score"] for r in model.score(points).collect()}
     assert got[5] is None and all(v is not None for i, v in got.items() if i != 5)
+
+
+def test_annual_rows_are_no_coverage(spark):
+    from gaugeline.operators.missing import coverage
+
+    df = spark.createDataFrame([(2020, "Ano", 5.0), (2020, "Jan", None), (2021, "Jan", 1.0), (2021, None, None)], "y int, m string, a double")
+    assert {r["y"]: r["a"] for r in coverage(df, ["a"], "y", month="m").collect()} == {2020: 0, 2021: 1}
+    assert {r["y"]: r["a"] for r in coverage(df, ["a"], "y").collect()} == {2020: 1, 2021: 1}
