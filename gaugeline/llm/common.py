@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import col
 from ..functions.session import checkpoint_dir, ship_package
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Groups beyond a block that are broadcast at most.
+_MOST_HOT = 10_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,10 @@ def block_pairs(df: DataFrame, keys: Sequence[str], member: Column, limit: int)
         .filter(F.col("_n") > limit)
         .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_n") / limit).cast("int").alias("_c"))
     )
+    # Few groups are large. Up to a fixed number they are broadcast, so the rows are shuffled once less; beyond it, joined.
+    few = hot.limit(_MOST_HOT + 1).collect()
+    if len(few) <= _MOST_HOT:
+        hot = F.broadcast(df.sparkSession.createDataFrame(few, hot.schema))
     on = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
     chunks = F.coalesce(F.col("_c"), F.lit(1))
     return (
