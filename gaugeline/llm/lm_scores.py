@@ -1,18 +1,18 @@
-"""Language-model scores by stupid backoff, from n-gram count tables over all documents.
+"""Language-model scores by stupid backoff, from n-gram counts over all documents and all words.
 
 S(w | v) = c(v w) / c(v) if the pair v w is seen, else ``backoff`` * c(w) / N. A document is scored by the counts of all other
-documents: its own occurrences are taken off, so no text vouches for itself. Words outside the ``vocabulary`` most
-frequent ones count as one unknown word.
-
-Three relations are built over all texts: word counts; pair counts, combined per task and partitioned by a hash of the
-pair; and the documents' pairs, exploded, partitioned by the same hash, joined to their counts there and summed per document.
-Rows of the last two travel as compressed column blocks, so the shuffle holds a few bytes a pair. Pairs that make up
-more than ``heavy`` of all words are at most ``1 / heavy``; they are looked up on the map side, so no partition fills with
-the documents of one frequent pair.
+documents: its own occurrences are taken off, so no text vouches for itself.
+
+Words and pairs are keyed by 64-bit hashes; among a thousand million keys a clash is expected in one table of forty. Texts are written once
+as chunks of a bounded number of words, numbered within the chunk. Each chunk sends its distinct words and pairs with their
+counts, partitioned by ranges of the key; a partition adds them up and answers every chunk with the totals, and chunks are
+scored by themselves. A key travels once per chunk at most, so no partition fills with one frequent word or pair, and
+keys and counts travel as compressed column blocks of a few bytes each.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,88 +30,96 @@ _WORD = re.compile(r"\w+")
 
 
 def pack_columns(*columns: np.ndarray) -> bytes:
-    """Columns of unsigned 32-bit numbers as one compressed block."""
-    return zstandard.compress(np.stack(columns).astype("<u4").tobytes(), 1)
+    """Columns of unsigned numbers, all of one length, as one compressed block of byte planes."""
+    return zstandard.compress(b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns), 1)
 
 
-def unpack_columns(block: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(block), "<u4").reshape(n, -1)
+def unpack_columns(block: bytes, *kinds: str) -> list[np.ndarray]:
+    flat = np.frombuffer(zstandard.decompress(block), np.uint8)
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    n = len(flat) // sum(sizes)
+    edges = np.cumsum([0, *sizes]) * n
+    return [np.ascontiguousarray(flat[at : at + n * s].reshape(s, n).T).view(k).reshape(n) for k, s, at in zip(kinds, sizes, edges, strict=False)]
 
 
-class WordNumbers(dict):
-    """Number of a word as written in the vocabulary, 0 for an unknown one."""
+class WordKeys(dict):
+    """64-bit key of a lower-cased word; 0 for a word that is not in ``known``, where that is given."""
 
-    def __init__(self, numbers: dict[str, int], limit: int = 400_000):
+    def __init__(self, known: set[str] | None = None, limit: int = 400_000):
         super().__init__()
-        self.numbers, self.limit = numbers, limit
+        self.known, self.limit = known, limit
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        out = self[word] = self.numbers.get(word.lower(), 0)
+        fits = self.known is None or word in self.known
+        out = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little") if fits else 0
         return out
 
 
-def word_counts(docs: DataFrame, text: str, size: int) -> tuple[dict[str, int], np.ndarray]:
-    """Numbers of the lower-cased words that are more frequent than the one of rank ``size + 1``, and the counts by number."""
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """64-bit keys of pairs of word keys."""
+    return mix64(mix64(first ^ np.uint64(0x9E3779B97F4A7C15)) + second)
+
+
+def frequent_words(docs: DataFrame, text: str, size: int) -> set[str]:
+    """The lower-cased words that are more frequent than the one of rank ``size + 1``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
-        total = 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for t in batch.column(0):
-                words = _WORD.findall((t.as_py() or "").lower())
-                seen.update(words)
-                total += len(words)
+                seen.update(_WORD.findall((t.as_py() or "").lower()))
             if len(seen) > 500_000:
                 yield out()
                 seen.clear()
         yield out()
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([total], pa.int64())], names=["word", "n"])
 
     counted = docs.select(col(text)).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counted = store(counted, "word-counts")
-    total = counted.filter("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]  # the null word counts them all
     # How many words have each count: at most about the root of twice the number of words.
-    spread = counted.filter("word IS NOT NULL").groupBy("n").agg(F.count(F.lit(1)).alias("k")).toPandas().sort_values("n", ascending=False)
+    spread = counted.groupBy("n").agg(F.count(F.lit(1)).alias("k")).toPandas().sort_values("n", ascending=False)
     fits = spread["n"].to_numpy()[np.cumsum(spread["k"].to_numpy()) <= size]
-    least = int(fits[-1]) if len(fits) else int(total) + 1
-    top = counted.filter("word IS NOT NULL").filter(F.col("n") >= least).collect()  # at most ``size`` rows
-    words = sorted(((r["word"], r["n"]) for r in top), key=lambda x: (-x[1], x[0]))
-    counts = np.array([total - sum(n for _, n in words), *[n for _, n in words]], np.int64)
-    return {w: i + 1 for i, (w, _) in enumerate(words)}, counts
+    if not len(fits):
+        return set()
+    return {r["word"] for r in counted.filter(F.col("n") >= int(fits[-1])).select("word").collect()}  # at most ``size`` rows
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], at: int, look: WordNumbers, words: int = 1_000_000):
-    """Chunks of texts: their rows, and the numbers and text positions of their words."""
-    rows, parts, size = [], [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], look: WordKeys, words: int = 1_000_000):
+    """Chunks of texts (``_uid``, ``_id``, text): the first row's number, the ids, and the word keys of each text."""
+    uid, ids, parts, size = None, [], [], 0
     for batch in batches:
-        for i, t in enumerate(batch.column(at)):
-            found = _WORD.findall(t.as_py() or "")
-            rows.append([c[i].as_py() for j, c in enumerate(batch.columns) if j != at])
-            parts.append(np.fromiter(map(look.__getitem__, found), np.int64, len(found)))
+        for u, i, t in zip(*batch.columns, strict=True):
+            found = _WORD.findall((t.as_py() or "").lower())
+            uid = u.as_py() if uid is None else uid
+            ids.append(i.as_py())
+            parts.append(np.fromiter(map(look.__getitem__, found), np.uint64, len(found)))
             size += len(found)
-            if size >= words or len(rows) >= 50_000:
-                yield rows, parts
-                rows, parts, size = [], [], 0
-    if rows:
-        yield rows, parts
+            if size >= words or len(ids) >= 50_000:
+                yield uid, ids, parts
+                uid, ids, parts, size = None, [], [], 0
+    if ids:
+        yield uid, ids, parts
 
 
-def _pairs(parts: list[np.ndarray], base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers, text positions, and the pair that each word ends (-1 for a text's first word)."""
-    lengths = np.array([len(p) for p in parts], np.int64)
-    words = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    text = np.repeat(np.arange(len(parts)), lengths)
-    pair = np.full(len(words), -1, np.int64)
-    if len(words) > 1:
-        inside = text[1:] == text[:-1]
-        pair[1:][inside] = (words[:-1] * base + words[1:])[inside]
-    return words, text, pair
+class Chunk:
+    """A chunk's words and pairs: ``local`` (number of each word), ``doc`` (its text's place), ``second`` (places of words that end
+    a pair), ``pair`` (their pair's number), ``keys`` (of the ``n_words`` distinct words, then of the pairs) and ``times``."""
+
+    def __init__(self, keys: bytes, words: bytes, sizes: np.ndarray):
+        word_keys = np.cumsum(unpack_columns(keys, "<u8")[0], dtype=np.uint64)
+        self.local = unpack_columns(words, "<u4")[0].astype(np.int64)
+        self.n_words = n = len(word_keys)
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.second = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
+        code = self.local[self.second - 1] * n + self.local[self.second]
+        pairs, self.pair, times = np.unique(code, return_inverse=True, return_counts=True)
+        self.keys = np.concatenate([word_keys, pair_keys(word_keys[pairs // max(n, 1)], word_keys[pairs % max(n, 1)])])
+        self.times = np.concatenate([np.bincount(self.local, minlength=n), times])
 
 
 def score_documents(
@@ -119,7 +127,7 @@ def score_documents(
     *,
     id: str = "doc_id",
     text: str = "text",
-    vocabulary: int = 32_768,
+    vocabulary: int | None = None,
     backoff: float = 0.4,
     heavy: float = 1e-4,
     part_words: int = 4_000_000,
@@ -127,146 +135,85 @@ def score_documents(
     """One row per row: ``id``, ``n_words``, ``n_backoff`` (words scored by backoff), ``log_score`` (sum of log S; a text's first word
     is scored as backoff without its factor) and ``mean_log_score`` (per word, null without words).
 
-    The vocabulary must stay below 65,536 words. A count that is 0 once the document's own occurrences are off counts as 1. Null and empty texts have no words and a
+    All words are counted. Only where a caller gives a ``vocabulary``, words outside that many most frequent ones count as one
+    unknown word. A count that is 0 once the document's own occurrences are off counts as 1. Null and empty texts have no words and a
     log score of 0. Repeated rows are scored each, by all others; an empty table gives no rows. ``part_words`` sets the
-    number of hash partitions from the number of words; it changes no score.
+    number of hash partitions from the number of words; it changes no score. ``heavy`` is accepted for older callers and has no effect:
+    frequent pairs need no path of their own.
     """
-    spark = docs.sparkSession
-    numbers, counts = word_counts(docs, text, vocabulary)
-    total, base = int(counts.sum()), len(counts)
-    parts_n = max(1, -(-total // part_words))
-    shared = spark.sparkContext.broadcast((numbers, counts))
+    known = None if vocabulary is None else docs.sparkSession.sparkContext.broadcast(frequent_words(docs, text, vocabulary))
 
-    def part_of(pair: np.ndarray) -> np.ndarray:
-        return (mix64(pair.astype(np.uint64)) % np.uint64(parts_n)).astype(np.int64)
-
-    def cut(order: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = order[np.argsort(part[order], kind="stable")]
-        edges = np.flatnonzero(np.diff(part[order])) + 1
-        for chosen in np.split(order, edges):
-            if len(chosen):
-                yield int(part[chosen[0]]), chosen
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = WordNumbers(shared.value[0])
-        keys, n = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            blocks = [(p, pack_columns(keys[c], n[c])) for p, c in cut(np.arange(len(keys)), part_of(keys))]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in blocks], pa.int64()), pa.array([b for _, b in blocks], pa.binary())],
-                                              names=["part", "block"])
-
-        for _, parts in _numbered(batches, 0, look):
-            _, _, pair = _pairs(parts, base)
-            new, times = np.unique(pair[pair >= 0], return_counts=True)
-            both, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            keys, n = both, np.bincount(back, np.concatenate([n, times]), len(both)).astype(np.int64)
-            if len(keys) > 3_000_000:
-                yield out()
-                keys, n = keys[:0], n[:0]
-        yield out()
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = WordKeys(None if known is None else known.value)
+        for uid, ids, parts in _chunks(batches, look):
+            keys, local = np.unique(np.concatenate(parts), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([uid], pa.int64()), pa.array([ids], pa.list_(pa.string())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())),
+                pa.array([len(local)], pa.int64()), pa.array([pack_columns(np.diff(keys, prepend=np.uint64(0)))], pa.binary()),
+                pa.array([pack_columns(local.astype("<u4"))], pa.binary()),
+            ], names=["chunk", "ids", "sizes", "n", "keys", "words"])
 
-    def add_up(group: pd.DataFrame) -> pd.DataFrame:
-        both = [unpack_columns(b, 2) for b in group["block"]]
-        keys, back = np.unique(np.concatenate([b[0] for b in both]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([b[1] for b in both])).astype(np.int64)
-        often = np.flatnonzero(n > heavy * total)
-        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "block": [pack_columns(keys, np.minimum(n, 2**32 - 1))],
-                             "pairs": [keys[often].astype(np.int64)], "counts": [n[often]]})
-
-    table = store(
-        docs.select(col(text)).mapInArrow(combine, "part bigint, block binary").groupBy("part")
-        .applyInPandas(add_up, "part bigint, block binary, pairs array<bigint>, counts array<bigint>"),
-        "pair-counts",
-    )
-    # At most 1 / heavy pairs in all.
-    frequent = table.select(F.explode(F.arrays_zip("pairs", "counts")).alias("p")).select("p.pairs", "p.counts").toPandas()
-    frequent = frequent.sort_values("pairs")
-    top = spark.sparkContext.broadcast((frequent["pairs"].to_numpy(np.int64), frequent["counts"].to_numpy(np.int64)))
     # Ids travel as text, because numbers beside a null would become floating point.
     rows = docs.select(F.monotonically_increasing_id().alias("_uid"), col(id).cast("string").alias("_id"), col(text).alias("_t"))
     kind = docs.select(col(id)).schema[0].dataType.simpleString()
+    chunks = store(
+        rows.mapInArrow(encode, "chunk bigint, ids array<string>, sizes array<bigint>, n bigint, keys binary, words binary"), "lm-chunks")
+    total = int(chunks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    parts_n = max(1, -(-total // part_words))
 
-    def scored(seen: np.ndarray, m: np.ndarray, own1: np.ndarray, own2: np.ndarray, pair: np.ndarray, n_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of log S and number of backoffs of each pair's occurrences in one document."""
-        c = shared.value[1]
-        rest = seen - m
-        context = np.maximum(c[pair // base] - own1, 1)
-        word = np.maximum(c[pair % base] - own2, 1)
-        others = np.maximum(total - n_doc, 1)
-        back = rest <= 0
-        log = np.where(back, np.log(backoff * word / others), np.log(np.maximum(rest, 1) / context))
-        return m * log, np.where(back, m, 0)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = WordNumbers(shared.value[0])
-        c = shared.value[1]
-        top_pairs, top_counts = top.value
-        for given, parts in _numbered(batches, 2, look):
-            words, doc, pair = _pairs(parts, base)
-            n_doc = np.bincount(doc, minlength=len(parts)).astype(np.int64)
-            own, own_n = np.unique(doc * base + words, return_counts=True)
-
-            def mine(d: np.ndarray, w: np.ndarray) -> np.ndarray:
-                return own_n[np.searchsorted(own, d * base + w)]  # noqa: B023
-
-            first = np.flatnonzero(pair < 0)
-            score, backs = np.zeros(len(parts)), np.zeros(len(parts), np.int64)
-            d, w = doc[first], words[first]
-            score[d] = np.log(np.maximum(c[w] - mine(d, w), 1) / np.maximum(total - n_doc[d], 1))
-            backs[d] = 1
-            square = base * base
-            code, m = np.unique((doc * square + pair)[pair >= 0], return_counts=True)
-            d, p = code // square, code % square
-            own1, own2 = mine(d, p // base), mine(d, p % base)
-            at = np.minimum(np.searchsorted(top_pairs, p), max(0, len(top_pairs) - 1))
-            known = top_pairs[at] == p if len(top_pairs) else np.zeros(len(p), bool)
-            log, back = scored(top_counts[at[known]], m[known], own1[known], own2[known], p[known], n_doc[d[known]])
-            score += np.bincount(d[known], log, len(parts))
-            backs += np.bincount(d[known], back, len(parts)).astype(np.int64)
-            chunk = int(given[0][0])
-            base_row = (-1 - chunk % parts_n, chunk, [g[1] for g in given], None, score, backs, n_doc)
-            out = [base_row] + [
-                (k, chunk, None, pack_columns(d[c], p[c], m[c], own1[c], own2[c]), None, None, n_doc)
-                for k, c in cut(np.flatnonzero(~known), part_of(p))
-            ]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([o[i] for o in out], t) for i, t in enumerate((
-                    pa.int64(), pa.int64(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64())))
-            ], names=["part", "chunk", "ids", "block", "scores", "backs", "sizes"])
-
-    exploded = rows.mapInArrow(explode, "part bigint, chunk bigint, ids array<string>, block binary, scores array<double>, "
-                                        "backs array<bigint>, sizes array<bigint>")
-    summed = "chunk bigint, ids array<string>, places array<int>, scores array<double>, backs array<bigint>, sizes array<bigint>"
-
-    def join(asked: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        """A row per block: the sums of its documents, by their place in the chunk."""
-        keys = n = np.empty(0, np.int64)
-        if len(counted):
-            keys, n = unpack_columns(counted["block"].iloc[0], 2).astype(np.int64)
-        out = []
-        for chunk, ids, block, scores, backs, sizes in asked[["chunk", "ids", "block", "scores", "backs", "sizes"]].itertuples(index=False):
-            if block is None:
-                out.append((chunk, ids, None, scores, backs, sizes))
-                continue
-            d, p, m, own1, own2 = unpack_columns(block, 5).astype(np.int64)
-            log, back = scored(n[np.searchsorted(keys, p)], m, own1, own2, p, np.asarray(sizes)[d])
-            present, place = np.unique(d, return_inverse=True)
-            out.append((chunk, None, present.astype(np.int32), np.bincount(place, log), np.bincount(place, back).astype(np.int64), None))
-        return pd.DataFrame(out, columns=["chunk", "ids", "places", "scores", "backs", "sizes"])
-
-    def add_documents(group: pd.DataFrame) -> pd.DataFrame:
-        first = group[group["places"].isna()].iloc[0]
-        score, back = np.array(first["scores"]), np.array(first["backs"])
-        for places, scores, backs in group.loc[group["places"].notna(), ["places", "scores", "backs"]].itertuples(index=False):
-            score[places] += scores
-            back[places] += backs
-        return pd.DataFrame({"_id": pd.Series(list(first["ids"]), dtype=object), "n_words": first["sizes"], "n_backoff": back, "log_score": score})
-
-    # A chunk holds a bounded number of words, so its documents and their sums are few.
-    sums = exploded.groupBy("part").cogroup(table.select("part", "block").groupBy("part")).applyInPandas(join, summed)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, sizes, keys, words in zip(*batch.columns, strict=True):
+                c = Chunk(keys.as_py(), words.as_py(), np.array(sizes.as_py(), np.int64))
+                order = np.argsort(c.keys)
+                keys, times = c.keys[order], c.times[order].astype("<u4")
+                part = ((keys >> np.uint64(32)) * np.uint64(parts_n) >> np.uint64(32)).astype(np.int64)
+                edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)] if len(part) else [0]
+                cuts = list(zip(edges[:-1], edges[1:], strict=True))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([part[a] for a, _ in cuts], pa.int64()), pa.array([chunk.as_py()] * len(cuts), pa.int64()),
+                    pa.array([pack_columns(np.diff(keys[a:b], prepend=np.uint64(0)), times[a:b]) for a, b in cuts], pa.binary()),
+                ], names=["part", "chunk", "block"])
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        """The totals of each chunk's keys, in the order of the keys."""
+        both = [unpack_columns(b, "<u8", "<u4") for b in group["block"]]
+        keys, back = np.unique(np.concatenate([np.cumsum(d, dtype=np.uint64) for d, _ in both]), return_inverse=True)
+        totals = np.bincount(back, np.concatenate([n for _, n in both]), len(keys)).astype("<u8")
+        edges = np.cumsum([0, *[len(d) for d, _ in both]])
+        return pd.DataFrame({"chunk": group["chunk"], "part": group["part"],
+                             "block": [pack_columns(totals[back[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]})
+
+    def score(asked: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        ids, sizes, keys, words = asked[["ids", "sizes", "keys", "words"]].iloc[0]
+        sizes = np.asarray(sizes, np.int64)
+        c = Chunk(keys, words, sizes)
+        totals = np.empty(len(c.keys), np.int64)
+        if len(totals):
+            blocks = answers.sort_values("part")["block"]
+            totals[np.argsort(c.keys)] = np.concatenate([unpack_columns(b, "<u8")[0] for b in blocks])
+        others = np.maximum(total - sizes, 1)[c.doc]
+        _, back, mine = np.unique(c.doc * c.n_words + c.local, return_inverse=True, return_counts=True)
+        rest = np.maximum(totals[c.local] - mine[back], 1)  # of each word among the other documents
+        log = np.log(rest / others)
+        doc, n_pairs = c.doc[c.second], len(c.keys) - c.n_words
+        _, back, mine = np.unique(doc * n_pairs + c.pair, return_inverse=True, return_counts=True)
+        seen = totals[c.n_words :][c.pair] - mine[back]
+        log[c.second] = np.where(seen > 0, np.log(np.maximum(seen, 1) / rest[c.second - 1]), np.log(backoff) + log[c.second])
+        backs = np.ones(len(log), np.int64)
+        backs[c.second] = seen <= 0
+        return pd.DataFrame({
+            "_id": pd.Series(list(ids), dtype=object), "n_words": sizes, "n_backoff": np.bincount(c.doc, backs, len(sizes)).astype(np.int64),
+            "log_score": np.bincount(c.doc, log, len(sizes)),
+        })
+
+    answers = (
+        chunks.select("chunk", "sizes", "keys", "words").mapInArrow(ask, "part bigint, chunk bigint, block binary")
+        .groupBy("part").applyInPandas(answer, "chunk bigint, part bigint, block binary")
+    )
     return (
-        sums.groupBy("chunk").applyInPandas(add_documents, "_id string, n_words bigint, n_backoff bigint, log_score double")
+        chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+        .applyInPandas(score, "_id string, n_words bigint, n_backoff bigint, log_score double")
         .select(F.col("_id").cast(kind).alias(id), "n_words", "n_backoff", "log_score",
                 (F.col("log_score") / F.nullif("n_words", F.lit(0))).alias("mean_log_score"))
     )
