@@ -21,8 +21,10 @@ _CODE = "A-Za-z0-9+/_-"
 CANDIDATE = rf"(?<![{_CODE}])(?=[A-Za-z+/_-]*+[0-9])[{_CODE}]{{16,}}+"
 
 # Words that speak for or against a secret, provider formats, and the dictionary of the coverage feature.
-KEY_WORDS = r"(?i)(api|auth\w*|bearer|cred\w*|key|passphrase|passw\w*|pwd|secret|token)\W{0,6}$"
-DIGEST_WORDS = r"(?i)(checksum|commit|digest|etag|guid|md5|rev|revision|sha\d*|uuid|version)\W{0,6}$"
+_KEYS = r"(?:api|auth\w{0,16}|bearer|cred\w{0,16}|key|passphrase|passw\w{0,16}|pwd|secret|token)"
+_TAIL = r"(?:[_-]?(?:[0-9]{1,8}|v[0-9]{1,3}|dev|key|live|new|old|prod|production|stage|staging|test|value))?"  # API_KEY_2024
+KEY_WORDS = rf"(?i){_KEYS}{_TAIL}\W{{0,6}}$"
+DIGEST_WORDS = rf"(?i)(checksum|commit|digest|etag|guid|md5|rev|revision|sha\d*|uuid|version){_TAIL}\W{{0,6}}$"
 PROVIDER_FORMATS = r"^(A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{16,})$"
 DICTIONARY = (
     "account", "address", "admin", "article", "build", "cache", "client", "commit", "config", "content", "data", "default",
@@ -38,7 +40,7 @@ FEATURES = (
 
 def candidates(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Candidates of whole texts: ``id``, ``text_key``, ``start`` (characters before it), ``value``, ``left``, ``right`` (up to 48
-    characters of context). Null and empty texts have none."""
+    characters of the text around it, other candidates among them). Null and empty texts have none."""
     t = F.col("_t")
     pattern = F.lit(CANDIDATE)
     found = (
@@ -50,10 +52,18 @@ def candidates(docs: DataFrame, *, id: str = "doc_id", text: str = "text") -> Da
     ahead = F.aggregate(F.slice("_gaps", F.lit(1), F.col("_i") + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(
         F.slice("_hits", F.lit(1), F.col("_i")), F.lit(0), lambda n, g: n + F.length(g)
     )
+
+    def text_of(first: Column, n: Column) -> Column:
+        """The text of ``n`` gaps from ``first`` (from 0), each with the candidate behind it."""
+        pieces = F.zip_with(F.slice("_gaps", first + 1, n), F.slice("_hits", first + 1, n), lambda g, h: F.concat(g, F.coalesce(h, F.lit(""))))
+        return F.array_join(pieces, "")
+
+    # A candidate has 6 characters at least, so 8 of them and their gaps hold 48 characters.
+    before = F.greatest(F.col("_i") - 8, F.lit(0))
     return found.select(
         F.col("_id").alias(id), "text_key", ahead.cast("bigint").alias("start"), "value",
-        F.substring(F.get("_gaps", F.col("_i")), -48, 48).alias("left"),
-        F.substring(F.get("_gaps", F.col("_i") + 1), 1, 48).alias("right"),
+        F.substring(F.concat(text_of(before, F.col("_i") - before), F.get("_gaps", F.col("_i"))), -48, 48).alias("left"),
+        F.substring(text_of(F.col("_i") + 1, F.lit(9)), 1, 48).alias("right"),
     )
 
 
@@ -84,7 +94,8 @@ def with_features(found: DataFrame) -> DataFrame:
         "quoted": (left.rlike("[\"']$") & right.rlike("^[\"']")).cast("double"),
     }
     secret = v.rlike(PROVIDER_FORMATS) | (left.rlike(KEY_WORDS) & left.rlike(r"[=:]\s*[\"']?$") & ~v.contains("/"))
-    harmless = v.rlike(r"^[0-9_-]+$|^/") | left.rlike(DIGEST_WORDS) | left.rlike(r"://\S*$") | right.rlike(r"^[@.]\w")
+    name = v.rlike("^[A-Za-z]\\w*_\\w+$") & right.rlike(r"^[\"']?\s*[=:]\s*[\"']?[^\s=\"']")  # what a value is assigned to
+    harmless = v.rlike(r"^[0-9_-]+$|^/") | name | left.rlike(DIGEST_WORDS) | left.rlike(r"://\S*$") | right.rlike(r"^[@.]\w")
     return found.withColumns(features).withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
 
 

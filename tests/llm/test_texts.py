@@ -220,6 +220,18 @@ def test_secrets(spark, docs):
     assert secret_scan.drop_leaking(docs).count() == docs.count()
 
 
+def test_secret_context_is_text_around_it(spark):
+    value, digest = "0123abcd4567ef890123abcd4567ef89", "89ef45670123abcd89ef45670123abcd"
+    text = f'PROD_API_KEY_2024="{value}"\nrelease_sha256_2024: {digest}'
+    found = secret_scan.with_features(secret_scan.candidates(spark.createDataFrame([(1, text)], "doc_id int, text string"))).collect()
+    for r in found:
+        end = r["start"] + len(r["value"])
+        assert r["left"] == text[max(0, r["start"] - 48) : r["start"]] and r["right"] == text[end : end + 48]
+    by = {r["value"]: r for r in found}
+    assert (by[value]["key_word"], by[value]["label"]) == (1.0, 1.0)
+    assert (by[digest]["digest_word"], by[digest]["label"]) == (1.0, 0.0)
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     bad = ["scoundrelly", "scoundrelish", "scoundrelette", "vermin"]
