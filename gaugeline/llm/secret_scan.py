@@ -1,6 +1,7 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest. DataFrame operations only.
 
-A candidate is a run of 16 or more characters of keys and codes that holds a digit. The forest sees its length, its
+A candidate is a run of 16 or more characters of keys and codes that holds a digit or is of mixed case, or any value of 6 or
+more characters assigned after a key word: in quotes up to the closing one, else up to a blank. The forest sees its length, its
 character classes and transitions, how much of it words of a small dictionary cover, whether it stands in a path, and the
 words around it. It is trained on a bounded sample of findings that are labelled by what is known of them: provider formats and
 values assigned to a key word are secrets; card and order numbers, digests named as such and paths are not; other
@@ -17,14 +18,20 @@ from pyspark.sql import functions as F
 
 from .common import col, store, text_key
 
-_CODE = "A-Za-z0-9+/_-"
-CANDIDATE = rf"(?<![{_CODE}])(?=[A-Za-z+/_-]*+[0-9])[{_CODE}]{{16,}}+"
-
 # Words that speak for or against a secret, provider formats, and the dictionary of the coverage feature.
 _KEYS = r"(?:api|auth\w{0,16}|bearer|cred\w{0,16}|key|passphrase|passw\w{0,16}|pwd|secret|token)"
 _TAIL = r"(?:[_-]?(?:[0-9]{1,8}|v[0-9]{1,3}|dev|key|live|new|old|prod|production|stage|staging|test|value))?"  # API_KEY_2024
 KEY_WORDS = rf"(?i){_KEYS}{_TAIL}\W{{0,6}}$"
 DIGEST_WORDS = rf"(?i)(checksum|commit|digest|etag|guid|md5|rev|revision|sha\d*|uuid|version){_TAIL}\W{{0,6}}$"
+_CODE = "A-Za-z0-9+/_-"
+_JOIN = r"[\"'\])]{0,2}\s{0,3}(?:=>|:=|==?|:)\s{0,3}[\"']?"
+_VALUE = r"""(?:(?<=")[^"\r\n]{6,}+(?=")|(?<=')[^'\r\n]{6,}+(?=')|[^\s"'=:>][^\s"']{4,}[^\s"',;)}\]])"""
+# The short look back is for speed only.
+_ASSIGNED = rf"""(?<=[=:>]\s{{0,3}}["']?)(?<=(?i:{_KEYS}{_TAIL}){_JOIN}){_VALUE}"""
+_RUN = rf"(?<![{_CODE}])(?:(?=[A-Za-z+/_-]*+[0-9])|(?=[{_CODE}]+[A-Z])(?=[{_CODE}]*[a-z]))[{_CODE}]{{16,}}+"
+CANDIDATE = f"(?:{_ASSIGNED}|{_RUN})"
+#: Stand-ins and calls, such as <your-token>, ${TOKEN}, ****** and getenv("TOKEN").
+STAND_INS = r"^(<.*>|[$%]?\{.*\}|\[.*\]|\$\w+|(.)\2*|[A-Za-z_][\w.]*[(\[].*)$"
 PROVIDER_FORMATS = r"^(A[KS]IA[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|xox[abpr]-[A-Za-z0-9-]{16,})$"
 DICTIONARY = (
     "account", "address", "admin", "article", "build", "cache", "client", "commit", "config", "content", "data", "default",
@@ -81,8 +88,8 @@ def with_features(found: DataFrame) -> DataFrame:
         "digits": _count(v, "[0-9]") / n,
         "uppers": _count(v, "[A-Z]") / n,
         "lowers": _count(v, "[a-z]") / n,
-        "others": _count(v, "[+/_-]") / n,
-        "runs": _count(v, "[0-9]+|[a-z]+|[A-Z]+|[+/_-]+") / n,
+        "others": _count(v, "[^A-Za-z0-9]") / n,
+        "runs": _count(v, "[0-9]+|[a-z]+|[A-Z]+|[^A-Za-z0-9]+") / n,
         "pairs": _count(v, "(?i)[aeiou][b-df-hj-np-tv-z]") / n,
         "hex": v.rlike("^([0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "dictionary": (n - F.length(F.regexp_replace(F.lower(v), words, ""))) / n,
@@ -90,12 +97,15 @@ def with_features(found: DataFrame) -> DataFrame:
         "before_host": right.rlike(r"^[@.]\w").cast("double"),
         "key_word": left.rlike(KEY_WORDS).cast("double"),
         "digest_word": left.rlike(DIGEST_WORDS).cast("double"),
-        "assigned": left.rlike(r"[=:]\s*[\"']?$").cast("double"),
+        "assigned": left.rlike(r"[=:>]\s*[\"']?$").cast("double"),
         "quoted": (left.rlike("[\"']$") & right.rlike("^[\"']")).cast("double"),
     }
-    secret = v.rlike(PROVIDER_FORMATS) | (left.rlike(KEY_WORDS) & left.rlike(r"[=:]\s*[\"']?$") & ~v.contains("/"))
+    assigned = left.rlike(KEY_WORDS) & left.rlike(r"[=:>]\s*[\"']?$")
+    stand_in = assigned & v.rlike(STAND_INS)
+    mixed = v.rlike(r"[0-9]|[a-z].*[A-Z]|[A-Z]{2}.*[a-z]|[^\w\s.-]")  # plain words have no label
+    secret = v.rlike(PROVIDER_FORMATS) | (assigned & mixed & ~stand_in & ~v.contains("/"))
     name = v.rlike("^[A-Za-z]\\w*_\\w+$") & right.rlike(r"^[\"']?\s*[=:]\s*[\"']?[^\s=\"']")  # what a value is assigned to
-    harmless = v.rlike(r"^[0-9_-]+$|^/") | name | left.rlike(DIGEST_WORDS) | left.rlike(r"://\S*$") | right.rlike(r"^[@.]\w")
+    harmless = v.rlike(r"^[0-9_-]+$|^/") | name | stand_in | left.rlike(DIGEST_WORDS) | left.rlike(r"://\S*$") | right.rlike(r"^[@.]\w")
     return found.withColumns(features).withColumn("label", F.when(secret, 1.0).when(harmless, 0.0))
 
 

@@ -232,6 +232,18 @@ def test_secret_context_is_text_around_it(spark):
     assert (by[digest]["digest_word"], by[digest]["label"]) == (1.0, 0.0)
 
 
+def test_secrets_that_are_short_or_without_digits_or_broken_by_symbols(spark, docs):
+    secrets = {1: ('password = "', "Tr0ub4dor&3", '"'), 2: ('api_key = "', "qWertyUiopAsDfghJkLz", '"'), 3: ("DB_PWD=", "x7$kQ.9!mZ@2", "\nnext line"),
+               4: ("'token': '", "ab.Cd9~ef%Gh", "', 'n': 1")}
+    plain = {5: "token: string, password: required", 6: "the key: patience and time", 7: 'secret = "<your-secret>"', 8: "call getDefaultSessionValue() first"}
+    rows = [(i, "".join(x)) for i, x in secrets.items()] + list(plain.items())
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = secret_scan.scan(table.unionByName(docs.select("doc_id", "text").filter("doc_id >= 10"))).collect()
+    assert {(r["doc_id"], r["value"], r["start"]) for r in got if r["is_secret"]} == {(i, v, len(a)) for i, (a, v, _) in secrets.items()}
+    runs = secret_scan.candidates(spark.createDataFrame([(1, "see qWertyUiopAsDfghJkLz and plainlowercasewords")], "doc_id int, text string"))
+    assert [r["value"] for r in runs.collect()] == ["qWertyUiopAsDfghJkLz"]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     bad = ["scoundrelly", "scoundrelish", "scoundrelette", "vermin"]
