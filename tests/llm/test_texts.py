@@ -244,6 +244,13 @@ def test_secrets_that_are_short_or_without_digits_or_broken_by_symbols(spark, do
     assert [r["value"] for r in runs.collect()] == ["qWertyUiopAsDfghJkLz"]
 
 
+def test_secrets_of_one_class_do_not_decide_the_others(spark):
+    plain, key = "id 550e8400-e29b-41d4-a716-446655440000 ok", 'token = "9f2c1e7ab04d5583e6c7f1b2a3948576d0e1f2a3"'
+    for texts in ([plain, key], [plain, "card 4111111111111111"], [plain], [key]):
+        got = secret_scan.drop_leaking(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+        assert [r["text"] for r in got.collect()] == [t for t in texts if t != key]
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     bad = ["scoundrelly", "scoundrelish", "scoundrelette", "vermin"]
