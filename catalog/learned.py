@@ -11,7 +11,7 @@ from gaugeline.operators.descriptive import Scaler
 from gaugeline.operators.missing import impute_simple
 from gaugeline.operators.neighbors import impute
 from gaugeline.plans import runs
-from gaugeline.sources.tables import write_table
+from gaugeline.sources.tables import read_table, write_table
 
 from .base import (
     EVENT,
@@ -161,16 +161,6 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
     return both.join(clusters, IDS).join(marks, IDS)
 
 
-def summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = scratch(spark, "summary")
-    tables = f"{out}/tables"
-    write_table(metrics(spark, sf), "classifier_metrics", tables)
-    write_table(labelled(spark, sf), "labelled", out)
-    rows = scaled_panel(spark, sf)
-    write_table(cluster.sweep_k(rows, MULTI, range(2, 11), method="squared"), "k_sweep", tables)
-    return runs.summary_metrics(spark, out)
-
-
 def scatter(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.scatter_data(load(spark, sf), "rev_open", "wsum", "season", IDS)
 
@@ -190,6 +180,15 @@ def _trained(spark: SparkSession, sf: str) -> tuple[str, dict[str, DataFrame]]:
     return out, runs.run_train(spark, IDS, out, LIMITS)
 
 
+def summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part, from the tables of the preprocessing and training runs and the calibration of the contamination."""
+    out, _ = _trained(spark, sf)
+    features = Scaler.load(spark, f"{out}/scaler").features
+    calibrated = iforest.calibrate_contamination(read_table(spark, "scaled", out), IDS, features, forest=FOREST)
+    write_table(calibrated, "contamination_calibration", f"{out}/tables")
+    return runs.summary_metrics(spark, out)
+
+
 def run_train(spark: SparkSession, sf: str) -> DataFrame:
     return _trained(spark, sf)[1]["labelled"]
 

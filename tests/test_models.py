@@ -124,3 +124,22 @@ def test_fitted_operators_run_on_a_stream(spark, tmp_path, blobs):
     got = spark.table("marked")
     assert got.count() == 100 and got.filter("iforest_score is null").count() == 0
     assert got.filter("n_violations = 1").count() == df.filter("u > 5").count()
+
+
+def test_summary_query_reports_the_trained_run(spark, sf, monkeypatch):
+    from catalog import learned
+    from gaugeline.sources.tables import read_table
+
+    out = []
+    trained = learned._trained
+    monkeypatch.setattr(learned, "_trained", lambda *a: out.append(trained(*a)) or out[-1])
+    got = {(r.section, r.metric): r.value for r in learned.summary(spark, sf).collect()}
+    folder, tables = out[0]
+    best = tables["k_sweep"].orderBy(F.desc_nulls_last("silhouette"), "k").first()
+    assert (got["k-means", "best_k"], got["k-means", "silhouette"]) == (best.k, best.silhouette)
+    forest = tables["classifier_metrics"].first().asDict()
+    assert {m: v for (s, m), v in got.items() if s == "random forest"} == forest
+    calibrated = read_table(spark, "contamination_calibration", f"{folder}/tables").orderBy(F.desc("stability_jaccard"), "contamination").first()
+    assert got["isolation forest", "calibrated_contamination"] == calibrated.contamination
+    impact = {r["set"]: r.silhouette for r in read_table(spark, "imputation_impact", f"{folder}/tables").collect()}
+    assert (got["imputation", "silhouette_complete"], got["imputation", "silhouette_imputed"]) == (impact["complete-case"], impact["imputed"])
