@@ -10,7 +10,6 @@ Only the histogram and the patterns, bounded by ``classes``, pass through the dr
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,70 +17,100 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import col, store
 
-_SINGLE_BLANK = re.compile(r"(?<=\S) (?=\S)")
-_UNSAFE = re.compile(r"\s | \s|^ | $")
+#: Texts with a blank beside another one, or other white space, or at an end.
+_ODD_BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\pZ] | [\s\x0b\x1c-\x1f\x{85}\pZ]|^ | $"
 
 
-@lru_cache(maxsize=2)
-def _encoders(name: str):
-    """The tokenizer and, for its ordinary units, a faster encoder over the same vocabulary where there is one."""
-    import public_tokenizers
-    from tokenizers import Tokenizer
+class BatchIds:
+    """Ids of a batch of texts: every distinct unit of the batch is encoded once, all in one call.
 
-    whole = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
-    fast = None
-    if name == "byte_bpe_50k.json":
-        import tiktoken
+    A unit of byte-level BPE is cut at single blanks between two other characters, where no token crosses, and starts
+    with its blank; in the ids of all units in a row, each token that starts with a blank opens a unit. First units, units
+    that hold a special string and texts with other blanks are encoded by themselves.
+    """
 
-        with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        fast = tiktoken.Encoding("ordinary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    specials = [t.content for t in whole.get_added_tokens_decoder().values()]
-    return whole, fast, specials
+    def __init__(self, name: str):
+        import public_tokenizers
+        from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_file(name if "/" in name else public_tokenizers.path(name))
+        self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.fast, self.opens = None, None
+        if name == "byte_bpe_50k.json":  # a faster encoder over the same vocabulary
+            import tiktoken
 
-class UnitIds(dict):
-    """Ids of a unit as little-endian 32-bit bytes; kept up to ``limit`` units.
+            with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            self.fast = tiktoken.Encoding("ordinary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.opens = np.zeros(max(ranks.values()) + 1, bool)
+            self.opens[[i for token, i in ranks.items() if token.startswith(b" ")]] = True
 
-    A unit of byte-level BPE is cut at single blanks between two other characters, where no token crosses, and starts
-    with its blank. Units that hold a special string go through the tokenizer itself.
-    """
+    def encode(self, text: str) -> list[int]:
+        if self.fast is None or any(s in text for s in self.specials):
+            return self.whole.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
+    def units(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different units, each with its blank, in a row, and how many each has."""
+        own = np.full(len(units), self.fast is None)
+        for s in self.specials:
+            own |= pc.match_substring(units, s).to_numpy(zero_copy_only=False)
+        ids, size = np.empty(0, np.uint32), np.zeros(len(units), np.int64)
+        if not own.all():
+            plain = units.filter(pa.array(~own))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), " ")[0].as_py()
+            ids = np.asarray(self.fast.encode_ordinary(" " + joined), np.uint32)
+            size[~own] = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+        if own.any():
+            parts = [self.encode(" " + u) for u in units.filter(pa.array(own)).to_pylist()]
+            size[own] = [len(p) for p in parts]
+            every = np.empty(size.sum(), np.uint32)
+            mine = np.repeat(own, size)
+            every[mine], every[~mine] = np.concatenate([np.asarray(p, np.uint32) for p in parts]), ids
+            ids = every
+        return ids, size
+
+    def texts(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with ``end_id`` behind them, and where each text's ids start (one entry more than texts)."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD_BLANKS).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")  # an odd text stands as one empty first unit
+        flat, bounds = split.flatten(), split.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        first = np.zeros(len(flat), bool)
+        first[bounds[:-1]] = True
+        coded = flat.filter(pa.array(~first)).dictionary_encode()
+        known, size = self.units(coded.dictionary)
+        heads = [self.encode(h) for h in pc.if_else(pa.array(odd), texts, flat.filter(pa.array(first))).to_pylist()]
+        # One pool of ids: the distinct units, then the heads, then the end.
+        pool = np.concatenate([known, *[np.asarray(h, np.uint32) for h in heads], [end_id]]).astype("<u4")
+        size = np.concatenate([size, [len(h) for h in heads], [1]]).astype(np.int64)
+        start = np.cumsum(size) - size
+        code = np.empty(len(flat), np.int64)
+        code[~first] = coded.indices.to_numpy()
+        code[first] = len(coded.dictionary) + np.arange(len(heads))
+        code = np.insert(code, bounds[1:], len(size) - 1)
+        taken = size[code]
+        after = np.cumsum(taken)
+        ids = pool[np.repeat(start[code] - after + taken, taken) + np.arange(after[-1] if len(after) else 0)]
+        return ids, np.concatenate([[0], after[bounds[1:] + np.arange(len(texts))]])
 
-    def __init__(self, name: str, limit: int):
-        super().__init__()
-        self.whole, self.fast, self.specials = _encoders(name)
-        self.limit = limit
 
-    def encode(self, text: str) -> bytes:
-        if self.fast is None or any(s in text for s in self.specials):
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return np.asarray(ids, "<u4").tobytes()
-
-    def __missing__(self, unit: str) -> bytes:
-        out = self.encode(" " + unit)
-        if len(self) >= self.limit:
-            self.clear()
-        if len(unit) <= 64:
-            self[unit] = out
-        return out
-
-    def text(self, text: str) -> bytes:
-        if not text:
-            return b""
-        units = _SINGLE_BLANK.split(text) if _UNSAFE.search(text) else text.split(" ")
-        return self.encode(units[0]) + b"".join(map(self.__getitem__, units[1:]))
+@lru_cache(maxsize=2)
+def _batch_ids(name: str) -> BatchIds:
+    """Loaded once a worker."""
+    return BatchIds(name)
 
 
 def cut_pieces(docs: DataFrame, *, id: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k.json",
-               capacity: int = 2048, end_id: int = 1, cache_size: int = 300_000) -> DataFrame:
+               capacity: int = 2048, end_id: int = 1) -> DataFrame:
     """Pieces of at most ``capacity`` ids: ``id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``.
 
     A document's ids are its text's ids and ``end_id``. It is cut at multiples of ``capacity``, so only its last piece is
@@ -89,24 +118,22 @@ def cut_pieces(docs: DataFrame, *, id: str = "doc_id", text: str = "text", token
     """
     rows = docs.select(col(id).alias("_id"), col(text).alias("_t"))
     kind = rows.schema["_id"].dataType
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = UnitIds(tokenizer, cache_size)
+        ids_of = _batch_ids(tokenizer)
         for batch in batches:
-            take, start, length, crc, total = [], [], [], [], []
-            for row, t in enumerate(batch.column(1)):
-                ids = memoryview(ids_of.text(t.as_py() or "") + end)
-                n = len(ids) // 4
-                for s in range(0, n, capacity):
-                    part = ids[4 * s : 4 * (s + capacity)]
-                    take.append(row)
-                    start.append(s)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    total.append(n)
-            columns = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *columns],
+            if not batch.num_rows:
+                continue
+            ids, begin = ids_of.texts(batch.column(1), end_id)
+            total = np.diff(begin)
+            pieces = -(-total // capacity)
+            row = np.repeat(np.arange(len(total)), pieces)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+            length = np.minimum(capacity, total[row] - start)
+            raw, at = memoryview(ids).cast("B"), 4 * (begin[row] + start)
+            crc = [zlib.crc32(raw[lo:hi]) for lo, hi in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            columns = [pa.array(x, pa.int64()) for x in (start, length, crc, total[row])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *columns],
                                              names=[id, "start", "length", "ids_crc32", "doc_tokens"])
 
     return rows.mapInArrow(

@@ -5,7 +5,10 @@ import math
 import re
 import zlib
 
+import random
+
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -322,3 +325,19 @@ def test_urls(spark):
     assert url_templates.judge_urls(pages.limit(0)).count() == 0
     stay = url_templates.template_verdicts(spark.createDataFrame([("h", "/p/{n}", 50, 48, 0), ("h", "/q", 9, 0, 9)], "host string, shape string, n bigint, blocked bigint, allowed bigint"))
     assert {r["shape"]: r["verdict"] for r in stay.collect()} == {"/p/{n}": "block", "/q": "allow"}
+
+
+def test_batch_ids():
+    """Ids of a batch are the library's, whatever blanks, scripts and special strings its texts hold."""
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    bits = ["a", "b ", "  ", " ", "\n", "\t", "　", " ", "\x85", "\x1c", "<|endoftext|>", "é", "😀 x", "1", " the", " of", ".", "\x0b", " "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(4000)] + [None, "", "word " * 50_000]
+    for name in ("byte_bpe_50k.json",):
+        ids, begin = packing.BatchIds(name).texts(pa.array(texts), 1)
+        whole = Tokenizer.from_file(path(name))
+        for i, t in enumerate(texts):
+            assert ids[begin[i] : begin[i + 1]].tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 1]
+    assert len(packing.BatchIds("byte_bpe_50k.json").texts(pa.array([], pa.string()), 1)[0]) == 0
