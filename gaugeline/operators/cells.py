@@ -1,15 +1,21 @@
-"""Exact nearest-neighbour search over box cells.
-
-The base rows are cut into axis-aligned cells of similar size (median splits learned from a
-bounded sample). A query first looks into one promising cell, which bounds its k-th distance,
-and then visits every other cell whose box lies within that bound and no further one. Both visits are
-cogrouped by cell, and a cell meets its queries in blocks of fixed size, so no task holds more
-than one block of each side whatever the data look like. Only the k best of a block leave it.
-
-Missing coordinates follow the NaN-aware Euclidean rule: squared differences over the shared
-coordinates, times (all coordinates / shared coordinates). Cells then hold rows of one presence
-pattern, for which the same scaling gives a valid lower bound; rare patterns share cells that
-are always visited.
+"""Exact nearest-neighbour search over a hierarchy of cells.
+
+**Order.** Base rows are sorted over the cluster by presence pattern (the columns missing most often decide first) and,
+within a pattern, along a space-filling curve over their main directions. Tasks cut their stretch of that order into cells
+of at most ``cell_rows`` rows: a pattern with enough rows is cut at medians, rare patterns that follow each other share
+cells. A cell knows the box of the columns that *all* its rows have, the columns that *some* have, and the range of its
+rows' distances to a few pivots.
+
+**Bounds.** Missing coordinates follow the NaN-aware Euclidean rule: squared differences over the shared coordinates, times
+(all coordinates / shared coordinates). A query shares with a row at least the cell's common columns and at most those
+that some row has, so gaps over the first, scaled by the number of the second, never exceed a true distance. Where nothing
+is missing, the triangle inequality over the pivots bounds a cell as well, which counts where dimensions are many.
+
+**Search.** A query looks into one promising cell, which bounds its k-th distance, and then visits every other cell whose
+bound lies within. Cells are numbered along the order, so runs of numbers form the nodes above them; both walks descend
+through that hierarchy. Only the boxes of its top, ``TOP`` at most, travel inside functions; all levels below are tables,
+joined by node, and no number of cells or patterns is set. Cells meet their queries in blocks of fixed size. Inside a
+block, matrix products with a certified rounding error pick the pairs whose exact distance is worked out.
 """
 
 from __future__ import annotations
@@ -20,235 +26,370 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import cut_lineage, keep
 
 CELL_ROWS = 1024
-MAX_CELLS = 16_384
-SAMPLE_PER_CELL = 32
-MAX_PATTERNS = 256
-BASE_BLOCK = 8_192
+#: Boxes that travel inside functions at most.
+TOP = 2048
+#: Rows of a stretch of the order that a task cuts at a time.
+STRETCH = 65_536
+#: Rows (smallest id hash) that set the order's directions and the pivots; they have no say in the result.
+SAMPLE = 4096
 QUERY_BLOCK = 4_096
+_SHIFT = 6
+_AXES, _BITS, _PIVOTS, _MANY_DIMS = 8, 7, 16, 12
+
+
+def xcols(dims: int) -> list[str]:
+    return [f"_gx{i}" for i in range(dims)]
+
+
+# ---- order ----
 
 
 @dataclass(frozen=True)
-class Tree:
-    """Median splits of one presence pattern; leaves are numbered from ``first``."""
-
-    axis: np.ndarray
-    cut: np.ndarray
-    child: np.ndarray
-    leaf: np.ndarray
-    depth: int
-
-    def assign(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), dtype=np.int64)
-        rows = np.arange(len(x))
-        for _ in range(self.depth):
-            axis = self.axis[node]
-            right = x[rows, np.maximum(axis, 0)] > self.cut[node]
-            node = np.where(axis >= 0, self.child[node] + right, node)
-        return self.leaf[node]
-
-
-def grow_tree(sample: np.ndarray, leaves: int, first: int) -> Tree:
-    """Split the widest coordinate at its median until there are ``leaves`` cells."""
-    axis, cut, child, leaf = [-1], [0.0], [0], [-1]
-    depth = max(0, math.ceil(math.log2(max(1, leaves))))
-    level = [(0, np.arange(len(sample)))]
-    for _ in range(depth):
-        following = []
-        for node, rows in level:
-            part = sample[rows]
-            if len(rows) < 2:
-                continue
-            spread = part.max(axis=0) - part.min(axis=0)
-            spread = np.where(np.isnan(spread), -1.0, spread)
-            a = int(np.argmax(spread))
-            if spread[a] <= 0:
-                continue
-            middle = float(np.median(part[:, a]))
-            goes = part[:, a] > middle
-            if not goes.any():
-                middle = float(np.max(part[part[:, a] < middle, a]))
-                goes = part[:, a] > middle
-            axis[node], cut[node], child[node] = a, middle, len(axis)
-            for side in (rows[~goes], rows[goes]):
-                axis.append(-1)
-                cut.append(0.0)
-                child.append(0)
-                leaf.append(-1)
-                following.append((len(axis) - 1, side))
-        level = following
-    number = first
-    for node in range(len(axis)):
-        if axis[node] < 0:
-            leaf[node] = number
+class Order:
+    """Measures a row is placed by; of fixed size."""
+
+    missing_first: np.ndarray
+    mean: np.ndarray
+    axes: np.ndarray
+    cuts: np.ndarray
+    pivots: np.ndarray
+
+    @classmethod
+    def learn(cls, sample: np.ndarray) -> Order:
+        dims = sample.shape[1]
+        gaps = np.isnan(sample)
+        rate = gaps.mean(axis=0) if len(sample) else np.zeros(dims)
+        known = np.maximum((~gaps).sum(axis=0), 1)
+        mean = np.where(gaps, 0.0, sample).sum(axis=0) / known
+        centred = np.where(gaps, 0.0, sample - mean)
+        _, turned = np.linalg.eigh(centred.T @ centred)
+        axes = turned[:, ::-1][:, :_AXES]
+        along = centred @ axes if len(sample) else np.zeros((1, axes.shape[1]))
+        cuts = np.quantile(along, np.arange(1, 2**_BITS) / 2**_BITS, axis=0).T
+        whole = sample[~gaps.any(axis=1)]
+        pivots = [whole[0]] if len(whole) and dims > _MANY_DIMS else []
+        near = np.full(len(whole), np.inf)
+        while pivots and len(pivots) < min(_PIVOTS, len(whole)):
+            near = np.minimum(near, np.sqrt(((whole - pivots[-1]) ** 2).sum(axis=1)))
+            pivots.append(whole[int(near.argmax())])
+        return cls(np.argsort(-rate, kind="stable"), mean, axes, cuts, np.array(pivots).reshape(len(pivots), dims))
+
+    def pattern(self, x: np.ndarray) -> np.ndarray:
+        """Presence as a text of bits."""
+        bits, inverse = np.unique(~np.isnan(x[:, self.missing_first]), axis=0, return_inverse=True)
+        return np.array(["".join("1" if b else "0" for b in row) for row in bits], object)[inverse.ravel()]
+
+    def curve(self, x: np.ndarray) -> np.ndarray:
+        """Place on the curve: the bits of the places along the axes, interleaved; a missing value counts as the mean."""
+        along = np.where(np.isnan(x), 0.0, x - self.mean) @ self.axes
+        place = np.stack([np.searchsorted(c, along[:, i]) for i, c in enumerate(self.cuts)], axis=1)
+        out = np.zeros(len(x), np.int64)
+        for bit in reversed(range(_BITS)):
+            for i in range(place.shape[1]):
+                out = out << 1 | (place[:, i] >> bit & 1)
+        return out
+
+    def to_pivots(self, x: np.ndarray) -> np.ndarray:
+        """Distances to the pivots; NaN for rows with gaps."""
+        return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in self.pivots], axis=1) if len(self.pivots) else np.empty((len(x), 0))
+
+
+def cut_stretch(x: np.ndarray, pattern: np.ndarray, far: np.ndarray, cell_rows: int) -> np.ndarray:
+    """Cell number of each row of a stretch in order; cells hold at most ``cell_rows`` rows."""
+    starts = np.flatnonzero(np.append(True, pattern[1:] != pattern[:-1]))
+    ends = np.append(starts[1:], len(x))
+    groups: list[np.ndarray] = []
+    rare: list[np.ndarray] = []
+    shared = None
+
+    def close() -> None:
+        nonlocal rare, shared
+        if rare:
+            groups.append(np.concatenate(rare))
+        rare, shared = [], None
+
+    for lo, hi in zip(starts, ends, strict=True):
+        rows = np.arange(lo, hi)
+        if hi - lo >= cell_rows // 2:
+            groups.append(rows)
+            continue
+        has = ~np.isnan(x[lo])
+        held = sum(map(len, rare))
+        # A group that fills half a cell keeps its shared columns rather than taking in another pattern.
+        if held + len(rows) > cell_rows or (2 * held >= cell_rows and (shared & ~has).any()):
+            close()
+        rare.append(rows)
+        shared = has if shared is None else shared & has
+    close()
+    cell = np.empty(len(x), np.int64)
+    number = 0
+    while groups:
+        rows = groups.pop()
+        if len(rows) <= cell_rows:
+            cell[rows] = number
             number += 1
-    return Tree(np.array(axis), np.array(cut), np.array(child), np.array(leaf), depth)
+            continue
+        # Cut at the median of the widest measure that all rows have.
+        part = np.concatenate([x[rows], far[rows]], axis=1)
+        spread = part.max(axis=0) - part.min(axis=0)
+        spread = np.where(np.isnan(spread), -1.0, spread)
+        by = np.argsort(part[:, int(spread.argmax())], kind="stable") if spread.max() > 0 else np.arange(len(rows))
+        groups += [rows[by[len(rows) // 2 :]], rows[by[: len(rows) // 2]]]
+    return cell
 
 
-@dataclass(frozen=True)
-class Cells:
-    """Cell layout: trees per pattern, and per cell its box, weight and row count.
+# ---- cells and the nodes above them ----
+
+_BOX = "id bigint, low array<double>, high array<double>, have array<bigint>, near array<double>, far array<double>, weight bigint"
+
+
+def box_of(x: np.ndarray, far: np.ndarray, w: np.ndarray, id: int) -> dict:
+    """Box of rows: ends of common columns (NaN elsewhere), weight having each column, ranges of pivot distances."""
+    return {
+        "id": id, "low": x.min(axis=0), "high": x.max(axis=0), "have": (~np.isnan(x) * w[:, None]).sum(axis=0),
+        "near": far.min(axis=0), "far": far.max(axis=0), "weight": int(w.sum()),
+    }
+
+
+def _stack(column: pd.Series, kind=float) -> np.ndarray:
+    return np.array([np.asarray(v, kind) for v in column]) if len(column) else np.empty((0, 0), kind)
 
-    Size is bounded by ``MAX_CELLS`` boxes; it travels to the tasks inside the functions.
-    """
 
-    dims: int
-    trees: dict[bytes, Tree]
-    overflow: int
+def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One box around several."""
+    low, high, near, far = (_stack(pdf[c]) for c in ("low", "high", "near", "far"))
+    return pd.DataFrame([{
+        "id": pdf["id"].iloc[0], "low": low.min(axis=0), "high": high.max(axis=0), "have": _stack(pdf["have"], np.int64).sum(axis=0),
+        "near": near.min(axis=0), "far": far.max(axis=0), "weight": int(pdf["weight"].sum()),
+    }])
+
+
+@dataclass(frozen=True)
+class Boxes:
+    """Boxes of some nodes as arrays."""
+
+    id: np.ndarray
     low: np.ndarray
     high: np.ndarray
-    seen: np.ndarray
-    mixed: np.ndarray
+    have: np.ndarray
+    near: np.ndarray
+    far: np.ndarray
     weight: np.ndarray
-    rows: np.ndarray
+    pivots: np.ndarray
 
-    def assign(self, x: np.ndarray) -> np.ndarray:
-        return assign_cells(self.trees, self.overflow, x)
+    @classmethod
+    def of(cls, pdf: pd.DataFrame, order: Order) -> Boxes:
+        dims = order.pivots.shape[1]
+        stacks = [_stack(pdf[c], np.int64 if c == "have" else float).reshape(len(pdf), -1 if len(pdf) else dims) for c in ("low", "high", "have", "near", "far")]
+        return cls(pdf["id"].to_numpy(np.int64), *stacks, pdf["weight"].to_numpy(np.int64), order.pivots)
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """Lower bound of the distance from each query to any row of each cell."""
-        acc = np.zeros((len(q), len(self.low)))
-        shared = np.zeros((len(q), len(self.low)))
-        for d in range(self.dims):
+        """Lower bound of the distance from each query to any row of each node; infinite where no column is shared."""
+        dims = q.shape[1]
+        acc, most = np.zeros((len(q), len(self.id))), np.zeros((len(q), len(self.id)))
+        for d in range(dims):
             x = q[:, d][:, None]
             gap = np.maximum(np.maximum(self.low[:, d] - x, x - self.high[:, d]), 0.0)
-            both = ~np.isnan(x) & self.seen[:, d]
-            acc += np.where(both, gap, 0.0) ** 2
-            shared += both
+            acc += np.where(np.isnan(gap), 0.0, gap) ** 2
+            most += ~np.isnan(x) & (self.have[:, d] > 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.sqrt(acc * (self.dims / shared))
-        out = np.where(shared == 0, np.inf, out)
-        return np.where(self.mixed, 0.0, out)
+            out = np.where(most == 0, np.inf, np.sqrt(acc * (dims / most)))
+        for j, p in enumerate(self.pivots):
+            to = np.sqrt(((q - p) ** 2).sum(axis=1))[:, None]  # NaN for a query with gaps
+            gap = np.maximum(self.near[:, j] - to, to - self.far[:, j]) - 1e-12 * (to + self.far[:, j])
+            out = np.maximum(out, np.where(np.isnan(gap), 0.0, gap))
+        return out
 
     def centre_gap(self, q: np.ndarray) -> np.ndarray:
         centre = (self.low + self.high) / 2
-        acc = np.zeros((len(q), len(self.low)))
-        for d in range(self.dims):
+        acc = np.zeros((len(q), len(self.id)))
+        for d in range(q.shape[1]):
             gap = q[:, d][:, None] - centre[:, d]
             acc += np.where(np.isnan(gap), 0.0, gap) ** 2
         return acc
 
-
-def assign_cells(trees: dict[bytes, Tree], overflow: int, x: np.ndarray) -> np.ndarray:
-    out = np.full(len(x), overflow, dtype=np.int64)
-    present = np.packbits(~np.isnan(x), axis=1)
-    keys, inverse = np.unique(present, axis=0, return_inverse=True)
-    for i, key in enumerate(keys):
-        tree = trees.get(key.tobytes())
-        if tree is not None:
-            mine = inverse.ravel() == i
-            out[mine] = tree.assign(x[mine])
-    return out
+    def best(self, q: np.ndarray, k: int, targets: Sequence[int] | None) -> np.ndarray:
+        """A node for each query that looks near and holds enough rows; -1 where none does."""
+        bound = self.bounds(q)
+        gap = np.where(np.isfinite(bound), bound**2 + 1e-6 * self.centre_gap(q), np.inf)
+        enough = np.broadcast_to(self.weight >= k, gap.shape)
+        for t in targets or []:
+            enough = enough & (~np.isnan(q[:, t])[:, None] | (self.have[:, t] >= k))
+        gap = np.where(enough, gap, np.inf)
+        at = gap.argmin(axis=1)
+        return np.where(np.isfinite(gap[np.arange(len(q)), at]), self.id[at], -1)
+
+    def within(self, q: np.ndarray, reach: dict[int, np.ndarray]) -> np.ndarray:
+        """Nodes that may hold a neighbour within the reach of a target (-1: of the search)."""
+        bound = self.bounds(q)
+        go = np.zeros(bound.shape, bool)
+        for t, r in reach.items():
+            hit = (bound <= r[:, None]) & np.isfinite(bound)
+            go |= hit & np.isnan(q[:, t])[:, None] & (self.have[:, t] > 0) if t >= 0 else hit
+        return go
 
 
-def xcols(dims: int) -> list[str]:
-    return [f"_gx{i}" for i in range(dims)]
+@dataclass(frozen=True)
+class Index:
+    """Placed rows and the hierarchy over their cells: the top as arrays, levels below as tables by ``parent``."""
 
+    placed: DataFrame
+    order: Order
+    cells: int
+    top: Boxes
+    levels: list[DataFrame]
+    kept: list[DataFrame]
 
-def presence(dims: int) -> Column:
-    return F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in xcols(dims)])
+    def release(self) -> None:
+        for part in self.kept:
+            part.unpersist()
 
 
-def build_cells(base: DataFrame, dims: int, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, Cells]:
-    """Assign ``base (nid, w, x0..)`` to cells; returns the assigned rows and the layout."""
+def build_index(base: DataFrame, dims: int, cell_rows: int = CELL_ROWS, top: int = TOP, stretch: int = STRETCH) -> Index:
+    """Index of ``base (nid, w, x0..)``."""
     names = xcols(dims)
-    patterns = (
-        base.groupBy(presence(dims).alias("pattern"))
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "pattern")
-        .limit(MAX_PATTERNS)
-        .collect()
-    )
-    n = sum(r.n for r in patterns)
-    leaves = int(min(MAX_CELLS, max(1, math.ceil(n / cell_rows))))
-    wanted = leaves * SAMPLE_PER_CELL
-    share = min(1.0, wanted / max(n, 1))
-    ticket = F.pmod(F.xxhash64("nid"), F.lit(1_000_000))
-    sample = (
-        base.filter(ticket < math.ceil(share * 1_000_000))
-        .select(*names)
-        .limit(4 * MAX_CELLS * SAMPLE_PER_CELL)
-        .toPandas()
-        .to_numpy(float)
-    )
-    sample = sample[np.lexsort(sample.T)] if len(sample) else sample.reshape(0, dims)
-    trees: dict[bytes, Tree] = {}
-    first = 0
-    for r in patterns:
-        shown = np.array([ch == "1" for ch in r.pattern])
-        mine = sample[(~np.isnan(sample) == shown).all(axis=1)]
-        tree = grow_tree(mine, max(1, round(leaves * r.n / n)), first)
-        trees[np.packbits(shown[None, :], axis=1).tobytes()] = tree
-        first = int(tree.leaf.max()) + 1
-    overflow = first
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    base = keep(base)
+    order = Order.learn(base.orderBy(F.xxhash64("nid"), "nid").limit(SAMPLE).select(*names).toPandas().to_numpy(float).reshape(-1, dims))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(cell=assign_cells(trees, overflow, pdf[names].to_numpy(float)))
+            if len(pdf):
+                x = pdf[names].to_numpy(float)
+                yield pdf.assign(_pattern=order.pattern(x), _curve=order.curve(x))
+
+    parts = max(1, math.ceil(base.count() / stretch))
+    along = ["_pattern", "_curve", "nid"]
+    measured = base.mapInPandas(measure, f"{fields}, _pattern string, _curve bigint")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Numbers rise along the order, and near numbers share the nodes above.
+        first, held, n = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> pd.DataFrame:
+            nonlocal first, held, n
+            pdf = pd.concat(held, ignore_index=True)
+            x = pdf[names].to_numpy(float)
+            cell = cut_stretch(x, pdf["_pattern"].to_numpy(), order.to_pivots(x), cell_rows)
+            out = pdf.drop(columns=["_pattern", "_curve"]).assign(cell=first + cell)
+            first, held, n = first + int(cell.max()) + 1, [], 0
+            return out.sort_values("cell", kind="stable")
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    placed = keep(base.mapInPandas(place, f"{fields}, cell bigint"))
-    boxes = (
-        placed.groupBy("cell")
-        .agg(
-            F.count("*").alias("rows"),
-            F.sum("w").alias("weight"),
-            *[f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max)],
-        )
-        .toPandas()
-        .set_index("cell")
-        .reindex(range(overflow + 1))
-    )
-    low = boxes[[f"min_{c}" for c in names]].to_numpy(float)
-    high = boxes[[f"max_{c}" for c in names]].to_numpy(float)
-    mixed = np.zeros(overflow + 1, dtype=bool)
-    mixed[overflow] = boxes["rows"].notna().iloc[overflow]
-    layout = Cells(
-        dims,
-        trees,
-        overflow,
-        low,
-        high,
-        ~np.isnan(low),
-        mixed,
-        boxes["weight"].fillna(0).to_numpy(np.int64),
-        boxes["rows"].fillna(0).to_numpy(np.int64),
+        for pdf in batches:
+            if len(pdf):
+                held.append(pdf)
+                n += len(pdf)
+                if n >= 2 * stretch:
+                    yield flush()
+        if n:
+            yield flush()
+
+    placed = keep(
+        measured.repartitionByRange(parts, *along).sortWithinPartitions(*along).mapInPandas(cut, f"{fields}, cell bigint")
     )
-    return placed, layout
+
+    def boxes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                x, w, cell = pdf[names].to_numpy(float), pdf["w"].to_numpy(np.int64), pdf["cell"].to_numpy()
+                far = order.to_pivots(x)
+                starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+                yield pd.DataFrame([box_of(x[a:b], far[a:b], w[a:b], cell[a]) for a, b in zip(starts, np.append(starts[1:], len(x)), strict=True)])
+
+    cells = keep(placed.mapInPandas(boxes, _BOX).groupBy("id").applyInPandas(fold, _BOX))
+    n_cells = cells.count()
+    levels, kept, node, n, shift = [], [base, placed, cells], cells, n_cells, 0
+    while n > top:
+        # Runs of numbers become nodes, until there are a few times fewer of them.
+        for up in range(shift + _SHIFT, 64, _SHIFT):
+            fewer = node.select(F.shiftright("id", up - shift)).distinct().count()
+            if fewer <= max(top, n // 4) or up + _SHIFT >= 63:
+                break
+        levels.insert(0, node.withColumn("parent", F.shiftright("id", up - shift)))
+        node = keep(node.withColumn("id", F.shiftright("id", up - shift)).groupBy("id").applyInPandas(fold, _BOX))
+        kept.append(node)
+        n, shift = node.count(), up
+    return Index(placed, order, n_cells, Boxes.of(node.toPandas(), order), levels, kept)
+
+
+# ---- blocks ----
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """NaN-aware Euclidean distances of all rows of two blocks, summed in coordinate order."""
+    """NaN-aware Euclidean distances of paired rows, summed in coordinate order."""
     dims = q.shape[1]
-    acc = np.zeros((len(q), len(x)))
-    gaps_q, gaps_x = np.isnan(q).any(axis=0), np.isnan(x).any(axis=0)
-    if not (gaps_q | gaps_x).any():
-        for d in range(dims):
-            diff = q[:, d][:, None] - x[:, d]
-            acc += diff * diff
-        return np.sqrt(acc)
-    shared = np.zeros((len(q), len(x)))
+    acc, shared = np.zeros(len(q)), np.zeros(len(q))
     for d in range(dims):
-        diff = q[:, d][:, None] - x[:, d]
-        if gaps_q[d] or gaps_x[d]:
-            both = ~np.isnan(diff)
-            shared += both
-            diff[~both] = 0.0
-        else:
-            shared += 1
+        diff = q[:, d] - x[:, d]
+        both = ~np.isnan(diff)
+        shared += both
+        diff = np.where(both, diff, 0.0)
         acc += diff * diff
     with np.errstate(divide="ignore", invalid="ignore"):
         return np.sqrt(acc * (dims / shared))
 
 
-def block_best(
-    q: pd.DataFrame, b: pd.DataFrame, dims: int, k: int, targets: Sequence[int] | None
-) -> Iterator[pd.DataFrame]:
+class Filter:
+    """Squared distances of a block by matrix products, each with a bound of its rounding error."""
+
+    def __init__(self, x: np.ndarray):
+        known = ~np.isnan(x)
+        # Coordinates around the block's own middle keep the products, and so their error, small.
+        self.middle = np.where(known, x, 0.0).sum(axis=0) / np.maximum(known.sum(axis=0), 1)
+        self.full = bool(known.all())
+        self.value = np.where(known, x - self.middle, 0.0)
+        self.known = known.astype(float)
+        self.square = self.value**2
+
+    def squares(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = ~np.isnan(q)
+        value = np.where(known, q - self.middle, 0.0)
+        dims = q.shape[1]
+        unit = 2.0**-52 * (4 * dims + 16)
+        if self.full and known.all():
+            size = (value**2).sum(axis=1)[:, None] + self.square.sum(axis=1)
+            return size - 2.0 * (value @ self.value.T), unit * size
+        size = (value**2) @ self.known.T + known.astype(float) @ self.square.T
+        scale = known.astype(float) @ self.known.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            scale = dims / scale  # infinite where nothing is shared; the product is NaN there
+            return scale * (size - 2.0 * (value @ self.value.T)), scale * (unit * size)
+
+
+def nearest(
+    q: np.ndarray, x: np.ndarray, picker: Filter, k: int, reach: np.ndarray, allowed: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and distance of the k nearest rows of ``x`` within the reach of each query, ties by column."""
+    square, error = picker.squares(q)
+    low, high = square - error, square + error
+    bad = np.isnan(square)
+    if allowed is not None:
+        bad |= ~allowed
+    low = np.where(bad, np.inf, low)
+    limit = reach**2 * (1 + 1e-12)
+    fits = (low <= limit[:, None]) & ~bad
+    crowded = np.flatnonzero(fits.sum(axis=1) > k)
+    if len(crowded):
+        ceiling = np.partition(np.where(bad[crowded], np.inf, high[crowded]), k - 1, axis=1)[:, k - 1]
+        fits[crowded] &= low[crowded] <= ceiling[:, None]
+    row, column = np.nonzero(fits)
+    dist = distances(q[row], x[column])
+    inside = dist <= reach[row]
+    row, column, dist = row[inside], column[inside], dist[inside]
+    order = np.lexsort((column, dist, row))
+    row, column, dist = row[order], column[order], dist[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[best], column[best], dist[best]
+
+
+def block_best(q: pd.DataFrame, b: pd.DataFrame, dims: int, k: int, targets: Sequence[int] | None) -> Iterator[pd.DataFrame]:
     """The k nearest base rows of each query of a block, ties by base id.
 
     Where the block carries a reach per query, farther rows cannot be among its k nearest
@@ -258,25 +399,28 @@ def block_best(
     b = b.sort_values("nid", kind="stable")
     x, nid, w = b[names].to_numpy(float), b.nid.to_numpy(), b.w.to_numpy()
     qx, qid = q[names].to_numpy(float), q.qid.to_numpy()
+    picker = Filter(x)
     wanted = [-1] if targets is None else list(targets)
-    reach = {
-        t: allowance(q[f"r{j}"]) if f"r{j}" in q else np.full(len(q), np.inf)
-        for j, t in enumerate(wanted)
-    }
-    step = max(1, 2_000_000 // max(1, len(x)))
+    reach = {t: allowance(q[f"r{j}"]) if f"r{j}" in q else np.full(len(q), np.inf) for j, t in enumerate(wanted)}
+    step = max(1, 1_000_000 // max(1, len(x)))
     for at in range(0, len(qx), step):
         part, ids = qx[at : at + step], qid[at : at + step]
-        d = distances(part, x)
-        if targets is None:
-            yield _smallest(d, k, ids, nid, w, None, -1, reach[-1][at : at + step])
-            continue
-        for t in targets:
-            need, have = np.isnan(part[:, t]), ~np.isnan(x[:, t])
-            if need.any() and have.any():
-                yield _smallest(
-                    d[np.ix_(need, have)], k, ids[need], nid[have], w[have], x[have, t], t,
-                    reach[t][at : at + step][need],
-                )
+        for t in wanted:
+            need = np.isnan(part[:, t]) if t >= 0 else np.ones(len(part), bool)
+            if not need.any():
+                continue
+            allowed = np.broadcast_to(~np.isnan(x[:, t]), (int(need.sum()), len(x))) if t >= 0 else None
+            row, column, dist = nearest(part[need], x, picker, k, reach[t][at : at + step][need], allowed)
+            yield pd.DataFrame(
+                {
+                    "qid": ids[need][row],
+                    "target": np.full(len(row), t, dtype=np.int32),
+                    "nid": nid[column],
+                    "w": w[column],
+                    "dist": dist,
+                    "value": x[column, t] if t >= 0 else np.full(len(row), np.nan),
+                }
+            )
 
 
 def allowance(reach: pd.Series) -> np.ndarray:
@@ -285,64 +429,30 @@ def allowance(reach: pd.Series) -> np.ndarray:
     return np.where(np.isnan(r), np.inf, r * (1 + 1e-12) + 1e-300)
 
 
-def _smallest(d, k, qid, nid, w, value, target, reach) -> pd.DataFrame:
-    if d.shape[1] > k:
-        # A missing distance (no shared coordinate) sorts last.
-        kth = np.partition(d, k - 1, axis=1)[:, k - 1]
-        kth = np.where(np.isnan(kth), np.inf, kth)
-    else:
-        kth = np.full(len(d), np.inf)
-    row, column = np.nonzero(d <= np.minimum(kth, reach)[:, None])
-    dist = d[row, column]
-    order = np.lexsort((column, dist, row))
-    row, column, dist = row[order], column[order], dist[order]
-    start = np.searchsorted(row, row, side="left")
-    best = np.arange(len(row)) - start < k
-    row, column, dist = row[best], column[best], dist[best]
-    return pd.DataFrame(
-        {
-            "qid": qid[row],
-            "target": np.full(len(row), target, dtype=np.int32),
-            "nid": nid[column],
-            "w": w[column],
-            "dist": dist,
-            "value": np.full(len(row), np.nan) if value is None else value[column],
-        }
-    )
+def _dealt(queries: DataFrame, by: str, few: bool) -> tuple[DataFrame, DataFrame]:
+    """Queries in blocks ``qs`` of a node, and the number of blocks of each node."""
+    counts = queries.groupBy(by).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("nq"))
+    if few:  # one row per box of the top
+        counts = F.broadcast(queries.sparkSession.createDataFrame(counts.collect(), counts.schema))
+    return queries.join(counts, by).withColumn("qs", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int")).drop("nq"), counts
 
 
-def _visit(
-    queries: DataFrame, placed: DataFrame, layout: Cells, k: int, targets: Sequence[int] | None
-) -> DataFrame:
+def _spread(counts: DataFrame, rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` once per block of queries of their node."""
+    return rows.join(counts, by).withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("nq") - 1))).drop("nq")
+
+
+def _visit(queries: DataFrame, index: Index, dims: int, k: int, targets: Sequence[int] | None, top: int) -> DataFrame:
     """Run queries ``(qid, x0.., cell)`` against their cells, block against block."""
+    names = xcols(dims)
+    reaches = [f"r{j}" for j in range(len(targets) if targets is not None else 1)]
+    keys = ["cell", "qs"]
+    left, counts = _dealt(queries, "cell", index.cells <= top)
+    left = left.select(*keys, "qid", *names, *[c for c in queries.columns if c in reaches])
+    right = _spread(counts, index.placed, "cell").select(*[F.col(c).alias(c) for c in (*keys, "nid", "w", *names)])
     spark = queries.sparkSession
-    names = xcols(layout.dims)
-    reaches = {f"r{j}" for j in range(len(targets) if targets is not None else 1)}
-    asked = {r.cell: r.n for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    splits = [
-        (c, math.ceil(int(layout.rows[c]) / BASE_BLOCK), math.ceil(n / QUERY_BLOCK))
-        for c, n in asked.items()
-        if layout.rows[c]
-    ]
-    # One row per cell, so never more than MAX_CELLS plus the patterns.
-    plan = F.broadcast(spark.createDataFrame(splits, "cell bigint, nb int, nq int"))
-    keys = ["cell", "bs", "qs"]
-    left = (
-        queries.join(plan, "cell")
-        .withColumn("qs", F.pmod(F.xxhash64("qid"), F.col("nq")).cast("int"))
-        .withColumn("bs", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        .select(*keys, "qid", *names, *[c for c in queries.columns if c in reaches])
-    )
-    right = (
-        placed.join(plan, "cell")
-        .withColumn("bs", F.pmod(F.xxhash64("nid"), F.col("nb")).cast("int"))
-        .withColumn("qs", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)))
-        .select(*[F.col(c).alias(c) for c in (*keys, "nid", "w", *names)])
-    )
-    groups = sum(nb * nq for _, nb, nq in splits)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(partitions, min(groups // 8, 8192))
-    dims, id_q, id_n = layout.dims, queries.schema["qid"], placed.schema["nid"]
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(index.cells // 8, 8192))
+    id_q, id_n = queries.schema["qid"].dataType.simpleString(), index.placed.schema["nid"].dataType.simpleString()
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         parts = list(block_best(q, b, dims, k, targets)) if len(q) and len(b) else []
@@ -350,15 +460,11 @@ def _visit(
             return pd.DataFrame(columns=["qid", "target", "nid", "w", "dist", "value"])
         return pd.concat(parts, ignore_index=True)
 
-    schema = (
-        f"qid {id_q.dataType.simpleString()}, target int, "
-        f"nid {id_n.dataType.simpleString()}, w bigint, dist double, value double"
-    )
     return (
         left.repartition(partitions, *keys)
         .groupBy(*keys)
         .cogroup(right.repartition(partitions, *keys).groupBy(*keys))
-        .applyInPandas(best, schema)
+        .applyInPandas(best, f"qid {id_q}, target int, nid {id_n}, w bigint, dist double, value double")
     )
 
 
@@ -371,6 +477,41 @@ def top_k(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("before", before).filter(F.col("before") < k)
 
 
+def _descend(queries: DataFrame, index: Index, step, fields: str, dims: int) -> DataFrame:
+    """Queries with the ``cell`` each goes to: ``step`` picks nodes of the top, then children of a node, level by level."""
+    names = xcols(dims)
+    chunk = max(1, 2_000_000 // max(1, len(index.top.id)))
+    order, top = index.order, index.top
+
+    def pick(boxes: Boxes, pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(pdf), chunk):
+            part = pdf.iloc[at : at + chunk]
+            row, node = step(boxes, part, part[names].to_numpy(float))
+            yield part.iloc[row].assign(cell=node)
+
+    def from_top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield from pick(top, pdf)
+
+    def below(q: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        parts = list(pick(Boxes.of(nodes, order), q)) if len(q) and len(nodes) else []
+        out = pd.concat(parts, ignore_index=True) if parts else q.iloc[:0].assign(cell=np.empty(0, np.int64))
+        return out.drop(columns=["parent", "qs"])
+
+    found = queries.mapInPandas(from_top, fields)
+    for level in index.levels:
+        found = keep(found)
+        index.kept.append(found)
+        asked, counts = _dealt(found.withColumnRenamed("cell", "parent"), "parent", False)
+        children = _spread(counts, level, "parent")
+        children = children.select(*[F.col(c).alias(c) for c in children.columns])
+        lost = found.filter("cell < 0")  # no node holds enough rows: such a query starts nowhere
+        found = (
+            asked.groupBy("parent", "qs").cogroup(children.groupBy("parent", "qs")).applyInPandas(below, fields).unionByName(lost)
+        )
+    return found
+
+
 def search(
     queries: DataFrame,
     base: DataFrame,
@@ -379,44 +520,36 @@ def search(
     *,
     targets: Sequence[int] | None = None,
     cell_rows: int = CELL_ROWS,
+    top: int = TOP,
+    stretch: int = STRETCH,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """The k nearest of ``base (nid, w, x0..)`` for ``queries (qid, x0..)``.
 
     Returns ``qid, target, nid, w, dist, value, before``: ``before`` is the weight of nearer
     rows. With ``targets``, each missing target coordinate of a query has its own neighbours,
-    taken among rows that have it, and ``value`` is their coordinate.
+    taken among rows that have it, and ``value`` is their coordinate. ``observation`` gets ``visits``, the pairs of query
+    and cell of the second round.
     """
     names = xcols(dims)
-    placed, layout = build_cells(base, dims, cell_rows)
+    index = build_index(base, dims, cell_rows, top, stretch)
     id_type = queries.schema["qid"].dataType.simpleString()
     wanted = [-1] if targets is None else list(targets)
-    fields = f"qid {id_type}, " + ", ".join(f"{c} double" for c in names)
-    chunk = max(1, 2_000_000 // len(layout.low))
-
-    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enough = layout.weight >= k
-        for pdf in batches:
-            for at in range(0, len(pdf), chunk):
-                part = pdf.iloc[at : at + chunk]
-                q = part[names].to_numpy(float)
-                if targets is None:
-                    yield part.assign(cell=layout.assign(q))
-                    continue
-                gap = np.where(enough & ~layout.mixed, layout.centre_gap(q), np.inf)
-                for t in targets:
-                    gap = np.where(np.isnan(q[:, t])[:, None] & ~layout.seen[:, t], np.inf, gap)
-                gap = np.where(np.isfinite(layout.bounds(q)), gap, np.inf)
-                cell = np.argmin(gap, axis=1)
-                none = ~np.isfinite(gap[np.arange(len(q)), cell])
-                yield part.assign(cell=np.where(none, -1, cell))
-
-    started = keep(queries.select("qid", *names).mapInPandas(start, f"{fields}, cell bigint"))
-    opening = top_k(_visit(started, placed, layout, k, targets), k)
-    if int((layout.rows > 0).sum()) == 1 and targets is None:
-        # One cell holds everything: there is nowhere else to look.
-        out = cut_lineage(opening)
+    points = f"qid {id_type}, " + ", ".join(f"{c} double" for c in names)
+
+    def start(boxes: Boxes, part: pd.DataFrame, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(boxes.id):
+            return np.arange(len(q)), np.full(len(q), -1)
+        return np.arange(len(q)), boxes.best(q, k, targets)
+
+    started = keep(_descend(queries.select("qid", *names), index, start, f"{points}, cell bigint", dims))
+    opening = top_k(_visit(started, index, dims, k, targets, top), k)
+    if index.cells == 1 and targets is None:
+        # One cell holds everything: there is nowhere else to look, unless it has fewer rows than are wanted.
+        whole = started.withColumn("cell", F.lit(index.top.id[0]))
+        out = cut_lineage(top_k(_visit(whole, index, dims, k, targets, top), k))
         started.unpersist()
-        placed.unpersist()
+        index.release()
         return out
     first = keep(opening)
     reach = first.groupBy("qid").agg(
@@ -428,33 +561,21 @@ def search(
             for j, t in enumerate(wanted)
         ]
     )
-
-    reaches = [f"r{j}" for j in range(len(wanted))]
-    more = ", ".join(f"{r} double" for r in reaches)
-
-    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filled = layout.rows > 0
-        for pdf in batches:
-            for at in range(0, len(pdf), chunk):
-                part = pdf.iloc[at : at + chunk]
-                q = part[names].to_numpy(float)
-                bound = layout.bounds(q)
-                go = np.zeros(bound.shape, dtype=bool)
-                for j, t in enumerate(wanted):
-                    hit = (bound <= allowance(part[f"r{j}"])[:, None]) & np.isfinite(bound)
-                    if t >= 0:
-                        hit &= np.isnan(q[:, t])[:, None] & (layout.seen[:, t] | layout.mixed)
-                    go |= hit
-                go &= filled & (np.arange(len(filled)) != part.cell.to_numpy()[:, None])
-                row, cell = np.nonzero(go)
-                yield part[["qid", *names, *reaches]].iloc[row].assign(cell=cell)
-
-    further = keep(
-        started.join(reach, "qid", "left").mapInPandas(probe, f"{fields}, {more}, cell bigint")
-    )
-    rest = _visit(further, placed, layout, k, targets)
+    more = ", ".join(f"r{j} double" for j in range(len(wanted)))
+
+    def probe(boxes: Boxes, part: pd.DataFrame, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        limits = {t: allowance(part[f"r{j}"]) for j, t in enumerate(wanted)}
+        row, node = np.nonzero(boxes.within(q, limits))
+        return row, boxes.id[node]
+
+    asking = started.withColumnRenamed("cell", "seen").join(reach, "qid", "left")
+    further = _descend(asking, index, probe, f"{points}, seen bigint, {more}, cell bigint", dims).filter("cell <> seen").drop("seen")
+    if observation is not None:
+        further = further.observe(observation, F.count(F.lit(1)).alias("visits"))
+    further = keep(further)
+    rest = _visit(further, index, dims, k, targets, top)
     out = cut_lineage(top_k(first.drop("before").unionByName(rest), k))
-    for part in (further, first, started, placed):
+    for part in (further, first, started):
         part.unpersist()
+    index.release()
     return out
-
