@@ -1,33 +1,95 @@
-"""Exact quantiles of whole columns with bounded memory in every task.
-
-The built-in exact ``percentile`` ships one value-to-count map of the column to a single
-reducer. Here each round is one wide aggregate with constant-size state: a quantile sketch
-proposes two candidate values per wanted rank, exact counts tell on which side the rank lies,
-and the open interval around it shrinks by the sketch accuracy. When an interval holds few enough values
-they are sorted in one array. The result does not depend on the sketch being right, and a value
-that fills a large share of the rows ends the search at once.
+"""Exact quantiles of whole columns by radix selection.
+
+A number's 64 bits, turned so that their order is the number's, are read from the front. A pass counts, for every
+column and every bracket of values still in question, the values by their next digit; counts are added up inside each
+task before a row is shuffled, and the digit that holds a wanted rank becomes the next bracket. Sixteen bits a pass make
+four passes at most, for all columns and ranks together and whatever the values are (five or six where so many columns and
+ranks are asked for that digits are shorter). A bracket of few rows is listed instead, which ends its search. Nothing is
+sorted, sketched or sampled; tasks and driver hold a fixed number of counters, and a value that fills a large share of the
+rows is one counter.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SKETCH_ACCURACY = 10_000
-SORT_BUDGET = 2_000_000
+#: Counters per bracket and pass.
+COUNTERS = 65_536
+#: A bracket of at most so many rows is listed by value.
+LIST_ROWS = 262_144
+#: Counters and listed values of a pass over all columns; digits get shorter where there are many brackets.
+_IN_ALL = 2**21
 
+_TOP = np.uint64(1 << 63)
 
-def _inside(c: Column, low: float | None, high: float | None) -> Column:
-    """``c`` where it lies strictly between the bounds, else NULL."""
-    cond = F.lit(True)
-    if low is not None:
-        cond = cond & (c > F.lit(low))
-    if high is not None:
-        cond = cond & (c < F.lit(high))
-    return F.when(cond, c)
+
+def to_code(values: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the values: of 64-bit integers, or of doubles with -0 as 0 and NaN last."""
+    if values.dtype.kind == "f":
+        values = np.where(np.isnan(values), np.nan, values + 0.0)
+        bits = values.view(np.int64)
+        return np.where(bits < 0, ~bits.view(np.uint64), bits.view(np.uint64) | _TOP)
+    return values.astype(np.int64).view(np.uint64) ^ _TOP
+
+
+def from_code(code: int, floating: bool) -> float | int:
+    """The value of a code."""
+    if not floating:
+        return code - 2**63
+    bits = code - 2**63 if code >= 2**63 else 2**64 - 1 - code
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def _tally(df: DataFrame, columns: list[Column], brackets: list[list[tuple[int, int, bool]]], digit: int) -> DataFrame:
+    """``c, g, d, n``: number of values by column, bracket and next digit (or whole code, where the bracket is listed).
+
+    A bracket is the codes that start with ``known`` bits of ``prefix``.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense: dict[tuple[int, int], np.ndarray] = {}
+        listed: dict[tuple[int, int], list] = {}
+        for batch in batches:
+            for c, groups in enumerate(brackets):
+                column = batch.column(c).drop_null()
+                if not groups or not len(column):
+                    continue
+                code = to_code(column.to_numpy(zero_copy_only=False))
+                for g, (prefix, known, whole) in enumerate(groups):
+                    mine = code[code >> np.uint64(64 - known) == np.uint64(prefix)] if known else code
+                    if whole:
+                        values, n = np.unique(mine, return_counts=True)
+                        listed.setdefault((c, g), []).append((values, n))
+                    else:
+                        width = min(digit, 64 - known)
+                        place = (mine >> np.uint64(64 - known - width) & np.uint64((1 << width) - 1)).astype(np.int64)
+                        dense.setdefault((c, g), np.zeros(1 << width, np.int64))
+                        dense[c, g] += np.bincount(place, minlength=1 << width)
+        parts = []
+        for key, counters in dense.items():
+            at = np.flatnonzero(counters)
+            parts.append((key, at.astype(np.int64), counters[at]))
+        for key, found in listed.items():
+            values, at = np.unique(np.concatenate([v for v, _ in found]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([m for _, m in found]), minlength=len(values)).astype(np.int64)
+            parts.append((key, (values ^ _TOP).view(np.int64), n))
+        for (c, g), place, n in parts:
+            if len(n):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), c, np.int32)), pa.array(np.full(len(n), g, np.int32)), pa.array(place), pa.array(n)],
+                    names=["c", "g", "d", "n"],
+                )
+
+    values = df.select(*[x.alias(f"v{i}") for i, x in enumerate(columns)])
+    return values.mapInArrow(count, "c int, g int, d bigint, n bigint").groupBy("c", "g", "d").agg(F.sum("n").alias("n"))
 
 
 def order_statistics(
@@ -36,87 +98,56 @@ def order_statistics(
     ranks: dict[str, Sequence[int]],
     counts: dict[str, int],
     *,
-    accuracy: int = SKETCH_ACCURACY,
-    budget: int = SORT_BUDGET,
+    accuracy: int = COUNTERS,
+    budget: int = LIST_ROWS,
 ) -> dict[tuple[str, int], float]:
-    """Value at each zero-based rank of each column (NULLs are not ranked)."""
+    """Value at each zero-based rank of each column (NULLs are not ranked).
+
+    ``accuracy`` is the number of counters per bracket and pass, ``budget`` the rows of a bracket that is listed.
+    """
+    digit = max(1, min(16, int(math.log2(accuracy))))
+    labels = list(columns)
+    whole_numbers = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    kinds = df.select(*[columns[x].alias(f"v{i}") for i, x in enumerate(labels)]).schema
+    floating = {x: not isinstance(kinds[i].dataType, whole_numbers) for i, x in enumerate(labels)}
+    casts = [columns[x].cast("double" if floating[x] else "bigint") for x in labels]
     found: dict[tuple[str, int], float] = {}
-    # (low, high, ranked at or below low, values strictly inside)
-    state: dict[tuple[str, int], tuple] = {
-        (label, r): (None, None, 0, counts[label])
-        for label, rs in ranks.items()
-        for r in set(rs)
-        if 0 <= r < counts[label]
+    # (prefix, known bits, ranked before the bracket, rows in the bracket)
+    state = {
+        (label, r): (0, 0, 0, counts[label]) for label, rs in ranks.items() for r in set(rs) if 0 <= r < counts[label]
     }
     while state:
-        brackets = {(label, s[0], s[1]) for (label, _), s in state.items()}
-        cap = max(20_000, budget // len(brackets))
-        small = {k: s for k, s in state.items() if s[3] <= cap}
-        large = {k: s for k, s in state.items() if s[3] > cap}
-        if small:
-            keys = sorted({(k[0], s[0], s[1]) for k, s in small.items()}, key=repr)
-            index = {key: i for i, key in enumerate(keys)}
-            lists = df.agg(
-                *[
-                    F.sort_array(F.collect_list(_inside(columns[lb], lo, hi))).alias(f"l{i}")
-                    for i, (lb, lo, hi) in enumerate(keys)
-                ]
-            )
-            wanted = list(small.items())
-            row = lists.select(
-                *[
-                    F.get(F.col(f"l{index[(k[0], s[0], s[1])]}"), k[1] - s[2]).alias(f"v{j}")
-                    for j, (k, s) in enumerate(wanted)
-                ]
-            ).first()
-            for j, (k, _) in enumerate(wanted):
-                found[k] = row[j]
-        if not large:
-            break
-        margin = 2.0 / accuracy
-        spans: dict[tuple, list[float]] = {}
-        for (label, r), (lo, hi, below, inside) in large.items():
-            at = (r - below + 0.5) / inside
-            spans.setdefault((label, lo, hi), []).extend(
-                [max(0.0, at - margin), min(1.0, at + margin)]
-            )
-        cand = df.agg(
-            *[
-                F.percentile_approx(_inside(columns[lb], lo, hi), at, accuracy).alias(f"p{i}")
-                for i, ((lb, lo, hi), at) in enumerate(spans.items())
-            ]
-        ).first()
-        proposals = {span: iter(cand[i]) for i, span in enumerate(spans)}
-        tally_keys = sorted(
-            {(span, v) for i, span in enumerate(spans) for v in cand[i]}, key=repr
-        )
-        tally_row = df.agg(
-            *[
-                agg.alias(f"t{i}_{side}")
-                for i, ((lb, lo, hi), v) in enumerate(tally_keys)
-                for side, agg in (
-                    ("lt", F.count_if(_inside(columns[lb], lo, hi) < F.lit(v))),
-                    ("eq", F.count_if(_inside(columns[lb], lo, hi) == F.lit(v))),
-                )
-            ]
-        ).first()
-        tally = {key: (tally_row[2 * i], tally_row[2 * i + 1]) for i, key in enumerate(tally_keys)}
-        state = {}
-        for (label, r), (lo, hi, below, inside) in large.items():
-            span = (label, lo, hi)
-            a, b = next(proposals[span]), next(proposals[span])
-            (lt_a, eq_a), (lt_b, eq_b) = tally[(span, a)], tally[(span, b)]
-            at = r - below
-            if at < lt_a:
-                state[(label, r)] = (lo, a, below, lt_a)
-            elif at < lt_a + eq_a:
-                found[(label, r)] = a
-            elif at < lt_b:
-                state[(label, r)] = (a, b, below + lt_a + eq_a, lt_b - lt_a - eq_a)
-            elif at < lt_b + eq_b:
-                found[(label, r)] = b
+        several = len({(label, s[0], s[1]) for (label, _), s in state.items()})
+        width = max(1, min(digit, int(math.log2(max(2, _IN_ALL // several)))))
+        short = min(budget, _IN_ALL // several)
+        brackets: list[list[tuple[int, int, bool]]] = [[] for _ in labels]
+        asked = {}
+        for (label, r), (prefix, known, below, inside) in state.items():
+            c = labels.index(label)
+            bracket = (prefix, known, inside <= short)
+            if bracket not in brackets[c]:
+                brackets[c].append(bracket)
+            asked[label, r] = (c, brackets[c].index(bracket), r - below)
+        tally = _tally(df, casts, brackets, digit)
+        # At most ``_IN_ALL`` counters, whatever the table's size.
+        table = _tally(df, casts, brackets, width).toArrow().to_pandas().sort_values(["c", "g", "d"])
+        groups = {key: (part["d"].to_numpy(), np.cumsum(part["n"].to_numpy())) for key, part in table.groupby(["c", "g"])}
+        following = {}
+        for (label, r), (c, g, at) in asked.items():
+            digits, upto = groups[c, g]
+            row = int(np.searchsorted(upto, at, side="right"))
+            value, before = int(digits[row]), int(upto[row - 1]) if row else 0
+            prefix, known, below, _ = state[label, r]
+            if brackets[c][g][2]:
+                found[label, r] = from_code(value + 2**63, floating[label])
+                continue
+            bits = min(width, 64 - known)
+            prefix, known = prefix << bits | value, known + bits
+            if known == 64:
+                found[label, r] = from_code(prefix, floating[label])
             else:
-                state[(label, r)] = (b, hi, below + lt_b + eq_b, inside - lt_b - eq_b)
+                following[label, r] = (prefix, known, below + before, int(upto[row]) - before)
+        state = following
     return found
 
 
@@ -126,8 +157,8 @@ def exact_quantiles(
     probs: Sequence[float],
     *,
     counts: dict[str, int] | None = None,
-    accuracy: int = SKETCH_ACCURACY,
-    budget: int = SORT_BUDGET,
+    accuracy: int = COUNTERS,
+    budget: int = LIST_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles of every column, ignoring NULLs.
 
