@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.functions.fixed_values import MONTHS, STATISTICS
 from gaugeline.functions.session import keep
 from gaugeline.operators import classify, cluster, iforest, limits
 from gaugeline.operators.descriptive import Scaler
@@ -32,6 +33,7 @@ from .base import (
     with_sql,
 )
 from .base import panel as load
+from .detectors import ORACLES as DETECTORS
 from .gaps import IMPUTED_SQL
 from .tables import COUNT_ALL, COUNTED_SQL
 
@@ -173,6 +175,24 @@ def run_preprocess(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(scaled.select(*IDS, *sorted(KEPT)), sorted(KEPT), 4)
 
 
+def run_preprocess_files(spark: SparkSession, sf: str) -> DataFrame:
+    """From text files on: two statistics, and two folders whose headers differ in order."""
+    out = scratch(spark, "run")
+    ids = {"supplier": "bigint", "Ano": "int", "Mes": "string", "Calc": "string"}
+    text = load(spark, sf).select(
+        "supplier", F.col("year").alias("Ano"), F.get(F.array(*[F.lit(m) for m in MONTHS]), F.col("month_no") - 1).alias("Mes"),
+        F.explode(F.array(*[F.lit(s) for s in STATISTICS[:2]])).alias("Calc"),
+        *[F.coalesce(F.translate(F.format_number(c, 12), ",.", ".,"), F.lit("--")).alias(c) for c in FEATS],
+    )
+    even = F.col("supplier") % 2 == 0
+    files = [write_table(text.filter(even), "even", out, fmt="csv"), write_table(text.filter(~even).select(*text.columns[::-1]), "odd", out, fmt="csv")]
+    scaled = runs.run_preprocess_files(spark, files, out, FEATS, id_types=ids, keys=["supplier"])["scaled"]
+    scaled = scaled.withColumn("month", F.col("date").cast("string"))
+    rounded = rnd(scaled.select(*IDS, *sorted(KEPT)), sorted(KEPT), 4)
+    # A filled value lies within rounding of the mean: minus zero counts as zero.
+    return rounded.withColumns({c: F.col(c) + F.lit(0.0) for c in sorted(KEPT)})
+
+
 def _trained(spark: SparkSession, sf: str) -> tuple[str, dict[str, DataFrame]]:
     """The training run on the tables of the preprocessing run."""
     out = scratch(spark, "run")
@@ -198,6 +218,10 @@ def run_evaluate(spark: SparkSession, sf: str) -> DataFrame:
     return runs.run_evaluate(spark, out)["summary"]
 
 
+def variable_flags(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.variable_flags(load(spark, sf), FEATS)
+
+
 def run_outlier_study(spark: SparkSession, sf: str) -> DataFrame:
     got = runs.run_outlier_study(
         load(spark, sf), IDS, scratch(spark, "run"), FEATS, LIMITS, year="year", date="month",
@@ -228,9 +252,11 @@ QUERIES = {
     "cl_14_summary_metrics": summary,
     "cl_15_scatter_data": scatter,
     "pl_01_preprocess": run_preprocess,
+    "pl_01_preprocess_files": run_preprocess_files,
     "pl_02_train": run_train,
     "pl_03_evaluate": run_evaluate,
     "pl_04_outlier_study": run_outlier_study,
+    "pl_04_flags_per_variable": variable_flags,
 }
 
 
@@ -258,6 +284,11 @@ ORACLES = {
         *IMPUTED_SQL, scaled_sql("s", "imputed", KEPT, IDS),
         body="SELECT supplier, month, " + ", ".join(f"round({c}, 4) AS {c}" for c in KEPT) + " FROM s",
     ),
+    "pl_01_preprocess_files": with_sql(
+        *IMPUTED_SQL, scaled_sql("s", "imputed", KEPT, IDS),
+        body="SELECT supplier, month, " + ", ".join(f"round({c}, 4) + 0.0::DOUBLE AS {c}" for c in KEPT) + " FROM s",
+    ),
+    "pl_04_flags_per_variable": DETECTORS["ou_10_flag_counts_by_variable"],
     "cl_02_elbow": """WITH l AS (SELECT l_linenumber AS k, sum(CAST(round(l_extendedprice, 2) AS DECIMAL(18,2))) AS v FROM lineitem GROUP BY 1),
       c AS (SELECT k, CAST(sum(v) OVER (ORDER BY k DESC) AS DOUBLE) AS w FROM l),
       e AS (SELECT min(k) AS k0, max(k) AS k1, min_by(w, k) AS w0, max_by(w, k) AS w1 FROM c)

@@ -248,9 +248,20 @@ def harmonised(spark: SparkSession, sf: str) -> DataFrame:
 
 def harmonised_totals(spark: SparkSession, sf: str) -> DataFrame:
     """All pages as one table: rows written per year."""
-    where = scratch(spark, "sheets")
-    tables.write_table(harmonised(spark, sf), "all", where)
-    return tables.read_table(spark, "all", where).groupBy("year").agg(F.count("*").alias("n"))
+    done = sheets.union_sheets(sheet_cells(spark, sf), "all", scratch(spark, "sheets"), features=SHEET_FEATS)
+    return spark.read.parquet(done.location).groupBy("year").agg(F.count("*").alias("n"))
+
+
+def union_report(spark: SparkSession, sf: str) -> DataFrame:
+    """What the write of the union counted, where some pages lost their title and some their header."""
+    title, header = F.col("row_no") == 0, F.col("row_no") == 2
+    supplier = F.floor(F.col("page_id") / 10000)
+    cells = sheet_cells(spark, sf).filter(~(title & (supplier % 7 == 0)) & ~(header & (supplier % 5 == 0)))
+    done = sheets.union_sheets(cells, "all", scratch(spark, "sheets"), features=SHEET_FEATS)
+    return spark.createDataFrame(
+        [(done.rows, done.pages, done.without_year, done.without_header)],
+        "n_rows bigint, pages bigint, without_year bigint, without_header bigint",
+    )
 
 
 _PAGE = "supplier * 10000 + Ano AS page_id"
@@ -279,6 +290,12 @@ SHEET_SQL = {
     "sh_07_union_pages": with_sql(
         LONG_SQL, body="SELECT Ano AS year, count(*) AS n FROM long_stats GROUP BY 1"
     ),
+    "sh_07_union_report": with_sql(
+        LONG_SQL,
+        body="""SELECT count(*) FILTER (supplier % 7 <> 0 AND supplier % 5 <> 0) AS n_rows,
+        count(DISTINCT (supplier, Ano)) AS pages, count(DISTINCT (supplier, Ano)) FILTER (supplier % 7 = 0) AS without_year,
+        count(DISTINCT (supplier, Ano)) FILTER (supplier % 7 <> 0 AND supplier % 5 = 0) AS without_header FROM long_stats""",
+    ),
 }
 
 
@@ -436,6 +453,7 @@ QUERIES = {
     "sh_05_fill_down_period": filled_periods,
     "sh_06_harmonise_sheets": harmonised_numbers,
     "sh_07_union_pages": harmonised_totals,
+    "sh_07_union_report": union_report,
     "ft_01_select_stat": select_stat,
     "ft_02_build_panel": build,
     "ft_03_add_time_features": time_features,

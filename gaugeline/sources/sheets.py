@@ -8,8 +8,9 @@ carry between them, so a page that holds a large share of all rows is still spre
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import (
@@ -19,6 +20,7 @@ from ..functions.fixed_values import (
     MONTHS,
     STATISTIC_SPELLINGS,
 )
+from .tables import write_table
 
 TITLE_ROWS = 3
 CHUNK_ROWS = 4096
@@ -113,11 +115,13 @@ def harmonise_sheets(
     periods: Sequence[str] = (*MONTHS, ANNUAL),
     marker: str = "COR",
     key_pattern: str = r"Ano:\s*(\d{4})",
+    seen: Observation | None = None,
 ) -> DataFrame:
     """All pages as one table ``page_id, row_no, year, period, stat`` plus text per feature.
 
     Pages without year or header are skipped, blank rows and rows without period or statistic
-    are dropped, unknown headers are ignored, absent cells become empty text.
+    are dropped, unknown headers are ignored, absent cells become empty text. ``seen`` gets the numbers
+    of ``pages`` and of those skipped for their year or header, from the job that uses the table.
     """
     headers = locate_header(sheets, marker)
     # At most one entry per known column, so the collected map is bounded by ``synonyms``.
@@ -126,11 +130,17 @@ def harmonise_sheets(
         .groupBy("page_id")
         .agg(F.map_from_entries(F.collect_list(F.struct("variable", "position"))).alias("at"))
     )
-    pages = (
-        extract_page_key(sheets, key_pattern)
-        .join(headers.select("page_id", "header_row"), "page_id")
-        .join(positions, "page_id", "left")
-    )
+    years, rows = extract_page_key(sheets, key_pattern), headers.select("page_id", "header_row")
+    if seen is None:
+        pages = years.join(rows, "page_id")
+    else:
+        every = sheets.select("page_id").distinct().join(years, "page_id", "left").join(rows, "page_id", "left")
+        lost, headless = F.col("year").isNull(), F.col("year").isNotNull() & F.col("header_row").isNull()
+        every = every.observe(
+            seen, F.count(F.lit(1)).alias("pages"), F.count_if(lost).alias("without_year"), F.count_if(headless).alias("without_header")
+        )
+        pages = every.filter(~lost & ~headless)
+    pages = pages.join(positions, "page_id", "left")
     body = (
         sheets.join(pages, "page_id")
         .filter(F.col("row_no") > F.col("header_row"))
@@ -147,3 +157,23 @@ def harmonise_sheets(
     return filled.filter(F.col("stat").isNotNull() & F.col("period").isNotNull()).select(
         "page_id", "row_no", "year", "period", "stat", *[cell(v) for v in features]
     )
+
+
+@dataclass(frozen=True)
+class Union:
+    """Where a union of pages was written, and what the write counted."""
+
+    location: str
+    rows: int
+    pages: int
+    without_year: int
+    without_header: int
+
+
+def union_sheets(sheets: DataFrame, name: str, directory: str, **how) -> Union:
+    """Write all pages as one table; the row count and the skipped pages come out of the write itself, with no second job."""
+    seen, written = Observation(), Observation()
+    table = harmonise_sheets(sheets, seen=seen, **how).observe(written, F.count(F.lit(1)).alias("rows"))
+    location = write_table(table, name, directory)
+    pages = seen.get
+    return Union(location, written.get["rows"], pages["pages"], pages["without_year"], pages["without_header"])
