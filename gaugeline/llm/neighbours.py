@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -86,8 +87,8 @@ def search(
 
     Columns ``query_id``, ``rank`` (from 1), ``id`` and ``score`` (double), ties to the smaller id. Candidates are all rows
     but the query's own, so every row with another id; all of them if there are fewer than ``k``. Vectors that are null,
-    zero, of another length than the longest, or hold null or non-finite components take no part, nor do rows with a null
-    id. Rows that repeat an id and its vector are found once each. ``sample`` rows (smallest id hash) fit the centroids;
+    zero, or hold null or non-finite components take no part, nor do rows with a null id. Vectors of different lengths have
+    no inner product, so each length has an index of its own. Rows that repeat an id and its vector are found once each. ``sample`` rows (smallest id hash) fit the centroids;
     every row is indexed. ``share`` of the rows, and at least ``10 * k``, is visited whatever their number; a larger one
     finds more.
     """
@@ -95,10 +96,20 @@ def search(
         col(id).alias("_id"), col(vector).cast("array<double>").alias("_v"), "_is_query"
     )
     rows = rows.filter(finite_vector(F.col("_v")) & F.col("_id").isNotNull())
+    lengths = {r[0]: r[1] for r in rows.groupBy(F.size("_v")).agg(F.count(F.lit(1))).collect()} or {0: 0}
+    how = (k, centroids, share, sample, seed, shard_rows, query_rows)
+    found = [_search(rows.filter(F.size("_v") == length), length, n, *how) for length, n in sorted(lengths.items())]
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "found"))
+    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).filter(F.col("rank") <= k).select(
+        "query_id", "rank", F.col("found").alias(id), "score"
+    )
+
+
+def _search(
+    rows: DataFrame, length: int, n: int, k: int, centroids: int, share: float, sample: int, seed: int, shard_rows: int, query_rows: int
+) -> DataFrame:
+    """``query_id, found, score`` of the ``n`` usable rows (``_id, _v, _is_query``) of one length: up to ``k`` a query and shard."""
     kind = rows.schema["_id"].dataType.simpleString()
-    length, n = rows.agg(F.max(F.size("_v")), F.count(F.lit(1))).first()
-    length = length or 0
-    rows = rows.filter(F.size("_v") == length)
     cut = (length + 1) // 2
 
     def matrix(column: pd.Series) -> np.ndarray:
@@ -164,10 +175,6 @@ def search(
                 out.append(pd.DataFrame({"query_id": q_id[lo + r], "found": x_id[at[best]], "score": exact[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "found": [], "score": []})
 
-    found = asked.groupBy("shard", "block").cogroup(stored.groupBy("shard", "block")).applyInPandas(
+    return asked.groupBy("shard", "block").cogroup(stored.groupBy("shard", "block")).applyInPandas(
         visit, f"query_id {kind}, found {kind}, score double"
     )
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "found"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(
-        "query_id", "rank", F.col("found").alias(id), "score"
-    )

@@ -13,6 +13,7 @@ Equal vectors are one weighted row from the start; crowded cells are cut into bl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -55,14 +56,23 @@ def near_vectors(
     reachable over links, its own included) and ``kept`` (``id`` is its component's).
 
     Rows are linked where labels are equal and not null and the cosine, in double precision, is ``threshold`` or more.
-    Vectors that are null, zero, of another length than the longest, or hold null or non-finite components link with
-    nothing; so do rows with a null id. Repeated rows each count. ``id`` identifies a row: rows that share one share a
+    Vectors that are null, zero, or hold null or non-finite components link with nothing; so do rows with a null id.
+    Vectors of different lengths have no cosine: each length is searched by itself. Repeated rows each count. ``id`` identifies a row: rows that share one share a
     component. ``sample`` vectors (those of smallest id hash) set the cells' middle values and have no say in the result.
     """
     rows = vectors.select(col(id).alias("_id"), col(vector).alias("_v"), col(label).alias("_l"))
-    length = rows.filter(finite_vector(F.col("_v"))).agg(F.max(F.size("_v"))).first()[0] or 0
-    fit = finite_vector(F.col("_v")) & (F.size("_v") == length) & F.col("_l").isNotNull() & F.col("_id").isNotNull()
-    able = rows.filter(fit)
+    fit = finite_vector(F.col("_v")) & F.col("_l").isNotNull() & F.col("_id").isNotNull()
+    fine = rows.filter(fit)
+    lengths = sorted(r[0] for r in fine.select(F.size("_v")).distinct().collect())
+    found = [_linked(fine.filter(F.size("_v") == n), n, threshold, block_dims, seed, sample, block) for n in lengths]
+    alone = rows.filter(~F.coalesce(fit, F.lit(False))).select("_id", F.lit(0).cast("bigint").alias("n_links"), F.col("_id").alias("component_id"))
+    return reduce(DataFrame.unionByName, found, alone).select(
+        F.col("_id").alias(id), "n_links", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def _linked(able: DataFrame, length: int, threshold: float, block_dims: int, seed: int, sample: int, block: int) -> DataFrame:
+    """``_id, n_links, component_id`` of usable vectors (``_id, _v, _l``) of one length."""
     unique = store(able.groupBy("_l", "_v").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("w")), "vectors")
     turn = rotation(length, seed)
     edges = np.arange(0, length + block_dims, block_dims).clip(max=length)
@@ -164,8 +174,4 @@ def near_vectors(
         .select("_l", "_v", (F.coalesce("_n", F.lit(0)) + F.col("w") - 1).alias("n_links"),
                 F.coalesce("component", "rep").alias("component_id"))
     )
-    linked = able.join(known, ["_l", "_v"]).select("_id", "n_links", "component_id")
-    alone = rows.filter(~F.coalesce(fit, F.lit(False))).select("_id", F.lit(0).cast("bigint").alias("n_links"), F.col("_id").alias("component_id"))
-    return linked.unionByName(alone).select(
-        F.col("_id").alias(id), "n_links", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+    return able.join(known, ["_l", "_v"]).select("_id", "n_links", "component_id")

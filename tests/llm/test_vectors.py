@@ -70,3 +70,22 @@ def test_search_recall(spark, sf):
         best = [i for i in ids[np.lexsort((ids, -s))] if i != q][:20]
         hits, total = hits + len(set(best) & set(group["vec_id"])), total + len(best)
     assert hits / total >= 0.9
+
+
+def test_three_lengths(spark):
+    """Vectors of other lengths neither join a search nor end one."""
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=(5, 8, 9)[i % 3]).tolist(), i % 2) for i in range(120)]
+    rows[9], rows[15] = (9, rows[3][1], 1), (15, rows[3][1], 1)
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    linked = {r["vec_id"]: r for r in vector_dups.near_vectors(table).collect()}
+    found = neighbours.search(table, F.col("vec_id") % 20 == 0, share=1.0).collect()
+    assert len(linked) == 120
+    for i, v, g in rows:
+        same = [(j, np.array(w)) for j, w, h in rows if len(w) == len(v) and j != i]
+        v = np.array(v)
+        near = [j for j, w in same if rows[j][2] == g and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93]
+        assert linked[i]["n_links"] == len(near)
+        if i % 20 == 0:
+            want = [j for _, j in sorted((-float((v * w).sum()), j) for j, w in same)][:20]
+            assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == i] == want
