@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..functions.columns import col
 from ..functions.session import checkpoint_dir, ship_package
@@ -35,6 +36,22 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as it takes to differ from all columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sortable(c: Column, kind: DataType) -> Column:
+    """``c``, as text where its type has no order (maps, variants, intervals)."""
+    return c.cast("string") if any(w in kind.simpleString() for w in ("map<", "variant", "interval")) else c
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (splitmix64), elementwise."""
     x = x.astype(np.uint64, copy=True)

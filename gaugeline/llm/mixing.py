@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, sortable
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,7 +75,7 @@ def mix_sources(
     text, so reruns agree. ``buckets`` (at most 4096) hash buckets a source bound the running sums; they only set where
     in the order a document stands.
     """
-    extra = [f"_carry_{c}" for c in carry]
+    extra = [sortable(F.col(f"_carry_{c}"), docs.schema[c].dataType) for c in carry]
     row_key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(col(id).cast("string"), F.lit("null")), F.md5(col(text)))
     rows = docs.select(
         col(id).alias("_id"), col(source).alias("_source"), word_count(col(text)).alias("size"), F.md5(row_key).alias("_h"),
@@ -116,16 +116,19 @@ def mix_sources(
 
 def apply_mix(docs: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: each as often as it is taken whole, and where a partial
-    repetition is due, once more with its text's first words, that many, joined by blanks. Documents without words go."""
-    rest = [c for c in docs.columns if c not in (id, text, source)]
-    mixed = mix_sources(docs, id=id, text=text, source=source, carry=[text, *rest], **options)
+    repetition is due, once more with its text's first words, that many, joined by blanks. Documents without words go;
+    columns of any name and type pass unchanged."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    whole = names[text]
+    carry = [n for c, n in names.items() if c not in (id, source)]
+    mixed = mix_sources(docs.toDF(*names.values()), id=names[id], text=whole, source=names[source], carry=carry, **options)
     copies = F.concat(
-        F.array_repeat(F.lit(-1).cast("bigint"), F.col("epochs").cast("int")),
+        F.array_repeat(F.lit(-1).cast("bigint"), F.when(F.col("size") > 0, F.col("epochs")).otherwise(0).cast("int")),
         F.when(F.col("part") > 0, F.array(F.col("part"))).otherwise(F.array().cast("array<bigint>")),
     )
-    words = F.expr(f"array_join(slice(regexp_extract_all(`{text}`, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, CAST(_words AS INT)), ' ')")
+    words = F.expr(f"array_join(slice(regexp_extract_all({whole}, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, CAST(_words AS INT)), ' ')")
     return (
         mixed.withColumn("_words", F.explode(copies))
-        .withColumn(text, F.when(F.col("_words") < 0, col(text)).otherwise(words))
-        .select(*[col(c) for c in docs.columns])
+        .withColumn(whole, F.when(F.col("_words") < 0, F.col(whole)).otherwise(words))
+        .select(*[F.col(n).alias(c) for c, n in names.items()])
     )

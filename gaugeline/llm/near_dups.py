@@ -20,10 +20,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import block_pairs, col, components, mix64, sorted_groups, store, text_key
+from .common import block_pairs, col, components, fresh, mix64, sortable, sorted_groups, store, text_key
 
 _WORDS = re.compile(r"\w+")
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -288,16 +289,18 @@ def class_of_rows(docs: DataFrame, classes: DataFrame, *, id: str = "doc_id", te
 
 
 def keep_one(docs: DataFrame, classes: DataFrame, *, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` less all but one of each class; rows with a null text stay."""
-    from pyspark.sql import Window as W
-
-    key = F.concat(F.hex("_node"), F.lit(":"), F.coalesce(F.col("_kid").cast("string"), F.lit("null")))
-    keepers = classes.groupBy("class_node", "class_id").agg(F.count(F.lit(1)).alias("_n")).select(
-        F.col("class_node").alias("_node"), F.col("class_id").alias("_kid")
-    ).select(key.alias("_key"))
-    with_key = docs.filter(col(text).isNotNull()).withColumns({"_node": text_key(col(text)), "_kid": col(id)})
-    with_key = with_key.withColumn("_key", key)
-    rest = [col(c) for c in docs.columns if c not in (id, text)]
-    one = F.row_number().over(W.partitionBy("_key").orderBy(*rest) if rest else W.partitionBy("_key").orderBy(F.lit(1)))
-    kept = with_key.join(keepers, "_key", "left_semi").withColumn("_row", one).filter("_row = 1")
+    """The rows of ``docs`` less all but one of each class: of rows with the kept id and text, the first by the other columns.
+
+    Rows with a null text stay; columns of any name and type pass unchanged; an empty table gives no rows.
+    """
+    key, place = fresh(docs, "_key", "_row")
+
+    def named(node: Column, number: Column) -> Column:
+        return F.concat(F.hex(node), F.lit(":"), F.coalesce(number.cast("string"), F.lit("null")))
+
+    keepers = classes.select(named(F.col("class_node"), F.col("class_id")).alias(key)).distinct()
+    with_key = docs.filter(col(text).isNotNull()).withColumn(key, named(text_key(col(text)), col(id)))
+    rest = [sortable(col(c), docs.schema[c].dataType) for c in docs.columns if c not in (id, text)]
+    one = F.row_number().over(W.partitionBy(key).orderBy(*rest or [F.lit(1)]))
+    kept = with_key.join(keepers, key, "left_semi").withColumn(place, one).filter(F.col(place) == 1)
     return kept.select(*[col(c) for c in docs.columns]).unionByName(docs.filter(col(text).isNull()))

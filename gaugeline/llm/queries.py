@@ -46,7 +46,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = toxicity.score_documents(docs, toxicity_model(spark, docs, sf_dir))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-                         F.size("spans").alias("n_spans"))
+                         F.size("spans").alias("n_spans"),
+                         F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s.start, s.end)), ",").alias("offsets"))
 
 
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, store, text_key
+from .common import col, fresh, store, text_key
 
 # Words that speak for or against a secret, provider formats, and the dictionary of the coverage feature.
 _KEYS = r"(?:api|auth\w{0,16}|bearer|cred\w{0,16}|key|passphrase|passw\w{0,16}|pwd|secret|token)"
@@ -161,6 +161,7 @@ def scan(docs: DataFrame, *, id: str = "doc_id", text: str = "text", threshold:
 
 
 def drop_leaking(docs: DataFrame, *, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose text holds no confirmed secret."""
-    leaking = scan(docs, id=id, text=text, **options).filter("is_secret").select(F.col("text_key").alias("_leak")).distinct()
-    return docs.join(leaking, text_key(col(text)) == F.col("_leak"), "left_anti")
+    """The rows of ``docs`` whose text holds no confirmed secret. Null texts stay; columns of any name and type pass unchanged."""
+    [leak] = fresh(docs, "_leak")
+    leaking = scan(docs, id=id, text=text, **options).filter("is_secret").select(F.col("text_key").alias(leak)).distinct()
+    return docs.join(leaking, text_key(col(text)) == F.col(leak), "left_anti")

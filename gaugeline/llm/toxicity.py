@@ -190,8 +190,13 @@ def _doc_features(marginal: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(lengths)), np.log(top / (1 - top)) / 4, np.log1p(total)], axis=1)
 
 
-def fit(texts: list[str | None], labels: list[int], *, rounds: int = 120, window: int = 10, ridge: float = 0.05, seed: int = 3) -> SpanModel:
-    """Fit on labelled texts (1 toxic). Equal texts count once; with one class only, nothing is learnt."""
+def fit(texts: list[str | None], labels: list[int], *, rounds: int = 120, window: int = 10, ridge: float = 0.05, seed: int = 3,
+        toxic_windows: int = 3, clean_windows: int = 2) -> SpanModel:
+    """Fit on labelled texts (1 toxic). Equal texts count once; with one class only, nothing is learnt.
+
+    All words of all texts mark the toxic ones; the field's weights are learnt on at most ``toxic_windows`` windows around such
+    words of a toxic text and ``clean_windows`` of a clean one. Scoring reads whole texts.
+    """
     pairs = sorted({(t or "", int(y)) for t, y in zip(texts, labels, strict=True) if y is not None})
     y = np.array([b for _, b in pairs], int)
     if not len(y) or y.min() == y.max():
@@ -208,10 +213,10 @@ def fit(texts: list[str | None], labels: list[int], *, rounds: int = 120, window
     pieces: list[tuple[list[str], np.ndarray]] = []
     for w, toxic in zip(words, y, strict=True):
         hot = np.array([i for i, x in enumerate(w) if not marks.isdisjoint(keys_of[x])] if toxic else [], int)
-        for i in rng.permutation(hot)[:3]:
+        for i in rng.permutation(hot)[:toxic_windows]:
             part = w[max(0, i - window) : i + window + 1]
             pieces.append((part, np.array([not marks.isdisjoint(keys_of[x]) for x in part])))
-        for i in rng.integers(0, max(1, len(w)), 2 if not toxic else 0):
+        for i in rng.integers(0, max(1, len(w)), clean_windows if not toxic else 0):
             part = w[i : i + 4 * window]
             if part:
                 pieces.append((part, np.zeros(len(part), bool)))
@@ -321,8 +326,14 @@ def _slices(texts: pa.Array, chars: int = 4_000_000) -> Iterator[list[str | None
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "toxic",
                     per_class: int = 1500) -> pd.DataFrame:
-    """Texts and labels of at most ``per_class`` labelled rows a class, those of smallest id hash."""
-    known = labels.select(col(id).alias("_id"), col(label).cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)")
+    """Texts and labels of at most ``per_class`` labelled ids a class, those of smallest id hash, in this order.
+
+    An id that is labelled both ways is left out; of several texts of one id the first in order stands for it.
+    """
+    known = (
+        labels.select(col(id).alias("_id"), col(label).cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IN (0, 1)")
+        .groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).filter("_y = _z").drop("_z")
+    )
     picked = None
     for y in (0, 1):
         part = known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(per_class)
@@ -330,7 +341,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", t
     # At most 2 * per_class rows, so this side is small whatever the input.
     return docs.select(col(id).alias("_d"), col(text).alias("text")).join(
         F.broadcast(picked), F.col("_d") == F.col("_id")
-    ).select("text", F.col("_y").alias("label")).limit(4 * per_class).toPandas()
+    ).groupBy("_id", "_y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("_id"), "_id").select(
+        "text", F.col("_y").alias("label")
+    ).toPandas()
 
 
 def score_documents(docs: DataFrame, model: SpanModel, *, id: str = "doc_id", text: str = "text") -> DataFrame:
