@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugeline.operators import mcar as textbook
 from gaugeline.operators import missing
 from gaugeline.operators.cluster import imputation_cluster_impact
 from gaugeline.operators.neighbors import impute, impute_knn
@@ -90,6 +91,16 @@ def mcar(spark: SparkSession, sf: str) -> DataFrame:
     return missing.little_mcar(load(spark, sf), FEATS)
 
 
+def mcar_em(spark: SparkSession, sf: str) -> DataFrame:
+    """A complete variable and one with gaps: the likeliest moments have a closed form, which the SQL states."""
+    return rnd(textbook.little_test(load(spark, sf), ["month_no", "rev_open"], min_observed=0.0).select("chi2", "df"), ["chi2"], 2)
+
+
+def mcar_pairwise(spark: SparkSession, sf: str) -> DataFrame:
+    out = textbook.little_test(load(spark, sf), ["rev_R", "rev_A"], moments="pairwise", min_observed=0.0)
+    return rnd(out.select("chi2", "df"), ["chi2"], 2)
+
+
 def patterns(spark: SparkSession, sf: str) -> DataFrame:
     return rnd(missing.missing_patterns(load(spark, sf), FEATS), FEATS, 7)
 
@@ -189,6 +200,8 @@ QUERIES = {
     "ms_12_validate_imputation": validation,
     "ms_13_imputation_cluster_impact": cluster_impact,
     "ms_14_little_mcar": mcar,
+    "ms_14_little_em": mcar_em,
+    "ms_14_little_pairwise": mcar_pairwise,
     "ms_15_missing_patterns": patterns,
 }
 
@@ -259,6 +272,28 @@ ORACLES = {
         CASE WHEN mb <> 0 THEN {rounded('(ma - mb) / abs(mb) * 100', 2)} END AS delta_mean_pct,
         CASE WHEN sb <> 0 THEN {rounded('(sa - sb) / abs(sb) * 100', 2)} END AS delta_std_pct FROM v""",
     ),
+    "ms_14_little_em": with_sql(
+        PANEL_SQL,
+        "slope AS (SELECT covar_pop(rev_open, month_no) / var_pop(month_no) AS b, avg(month_no) AS mx, avg(rev_open) AS my,"
+        " var_pop(rev_open) AS vy, var_pop(month_no) AS vx FROM panel WHERE rev_open IS NOT NULL)",
+        "whole AS (SELECT avg(month_no) AS mx, var_pop(month_no) AS sxx FROM panel)",
+        "ml AS (SELECT w.mx, w.sxx, s.my + b * (w.mx - s.mx) AS my, b * w.sxx AS sxy, vy - b * b * vx + b * b * w.sxx AS syy FROM slope s, whole w)",
+        "part AS (SELECT rev_open IS NULL AS gone, count(*) AS n, avg(month_no) - any_value(mx) AS dx, avg(rev_open) - any_value(my) AS dy"
+        " FROM panel, ml GROUP BY 1)",
+        body="SELECT round(sum(CASE WHEN gone THEN n * dx * dx / sxx ELSE"
+        " n * (dx * dx * syy - 2 * dx * dy * sxy + dy * dy * sxx) / (sxx * syy - sxy * sxy) END), 2) AS chi2,"
+        " CAST(greatest(sum(CASE WHEN gone THEN 1 ELSE 2 END) - 2, 1) AS BIGINT) AS df FROM part, ml",
+    ),
+    "ms_14_little_pairwise": with_sql(
+        PANEL_SQL,
+        "m AS (SELECT avg(rev_R) AS mx, avg(rev_A) AS my, var_samp(rev_R) AS sxx, var_samp(rev_A) AS syy,"
+        " covar_samp(rev_R, rev_A) AS sxy FROM panel)",
+        "part AS (SELECT rev_R IS NULL AS no_x, rev_A IS NULL AS no_y, count(*) AS n, avg(rev_R) - any_value(mx) AS dx,"
+        " avg(rev_A) - any_value(my) AS dy FROM panel, m WHERE rev_R IS NOT NULL OR rev_A IS NOT NULL GROUP BY 1, 2)",
+        body="SELECT round(sum(CASE WHEN no_x THEN n * dy * dy / syy WHEN no_y THEN n * dx * dx / sxx ELSE"
+        " n * (dx * dx * syy - 2 * dx * dy * sxy + dy * dy * sxx) / (sxx * syy - sxy * sxy) END), 2) AS chi2,"
+        " CAST(greatest(sum(CASE WHEN no_x OR no_y THEN 1 ELSE 2 END) - 2, 1) AS BIGINT) AS df FROM part, m",
+    ),
     "ms_15_missing_patterns": with_sql(
         PANEL_SQL,
         body="SELECT "
