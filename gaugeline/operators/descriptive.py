@@ -14,6 +14,7 @@ from ..functions.columns import aggregate_long, col, long_form, num
 from ..functions.fixed_values import IQR_FACTOR
 from ..functions.quantiles import exact_quantiles
 from .missing import df_of_values
+from .ranks import rank_correlation
 
 
 def describe(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -38,7 +39,7 @@ def describe(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def corr_matrix(df: DataFrame, features: Sequence[str], method: str = "pearson") -> DataFrame:
     """Pairwise-complete correlation, long form ``var_a, var_b, corr``, one row per pair."""
     if method == "spearman":
-        return _spearman(df, features)
+        return rank_correlation(df, features)
     if method != "pearson":
         raise ValueError(f"unknown method {method!r}")
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i + 1 :]]
@@ -74,62 +75,6 @@ def bucket_columns(
     return out, names
 
 
-def _spearman(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rank correlation with average ranks taken inside each pairwise-complete pair.
-
-    Ranks are found per variable, for all its partners at once: every value counts the rows that hold it and also have
-    each other variable, and these counts accumulate over the values. Running sums stay inside even buckets of the
-    value range and are shifted by the buckets before, so no window spans a whole column. The ranks of a row's values
-    then come back to it in one grouping, and one aggregate gives all pairs. Equal rows count as one with a weight.
-    """
-    work, buckets = bucket_columns(df, features)
-    p, xs = len(features), [f"_x{i}" for i in range(len(features))]
-    rows = work.groupBy(*xs, *buckets).agg(F.count(F.lit(1)).alias("_n"))
-    entry = [
-        F.when(F.col(x).isNotNull(), F.struct(F.lit(i).alias("i"), F.col(x).alias("v"), F.col(b).alias("b")))
-        for i, (x, b) in enumerate(zip(xs, buckets, strict=True))
-    ]
-    values = rows.select("_n", *xs, F.explode(F.array_compact(F.array(*entry))).alias("e")).select("_n", *xs, "e.*")
-    counted = values.groupBy("i", "b", "v").agg(
-        *[F.sum(F.when(F.col(x).isNotNull(), F.col("_n")).otherwise(0)).alias(f"c{j}") for j, x in enumerate(xs)]
-    )
-    partners = [f"c{j}" for j in range(p)]
-    before_bucket = Window.partitionBy("i").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        counted.groupBy("i", "b").agg(*[F.sum(c).alias(c) for c in partners])
-        .select("i", "b", *[F.coalesce(F.sum(c).over(before_bucket), F.lit(0)).alias(f"s{c}") for c in partners])
-    )
-    inside = Window.partitionBy("i", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = (
-        counted.withColumns({f"b{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in partners})
-        .join(shift, ["i", "b"])
-        .select("i", "b", "v", F.array(*[F.col(f"s{c}") + F.col(f"b{c}") + (F.col(c) + 1) / 2 for c in partners]).alias("r"))
-    )
-    ranked = (
-        values.join(ranks, ["i", "b", "v"]).groupBy(*xs, "_n")
-        .agg(F.map_from_entries(F.collect_list(F.struct("i", "r"))).alias("m"))
-    )
-    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
-    sums = []
-    for k, (i, j) in enumerate(pairs):
-        # Ranks average (n + 1) / 2, so plain sums lose no more than a digit to cancellation.
-        both = F.col(xs[i]).isNotNull() & F.col(xs[j]).isNotNull()
-        n = F.when(both, F.col("_n").cast("double"))
-        x, y = F.get(F.try_element_at("m", F.lit(i)), j), F.get(F.try_element_at("m", F.lit(j)), i)
-        terms = {"s": n, "sx": n * x, "sy": n * y, "xy": n * x * y, "xx": n * x * x, "yy": n * y * y}
-        sums += [F.sum(t).alias(f"{name}{k}") for name, t in terms.items()]
-    wide = ranked.agg(*sums)
-    entries = []
-    for k, (i, j) in enumerate(pairs):
-        s, sx, sy, xy, xx, yy = (F.col(f"{name}{k}") for name in ("s", "sx", "sy", "xy", "xx", "yy"))
-        spread = F.sqrt((xx - sx * sx / s) * (yy - sy * sy / s))
-        entries.append(F.struct(
-            F.lit(features[i]).alias("var_a"), F.lit(features[j]).alias("var_b"),
-            F.when(spread > 0, (xy - sx * sy / s) / spread).alias("corr"), s.alias("s"),
-        ))
-    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter("s IS NOT NULL").drop("s")
-
-
 # --- distribution -------------------------------------------------------------
 
 
