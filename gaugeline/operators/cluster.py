@@ -14,14 +14,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, num, total
 from ..functions.fixed_values import SEED
 from ..functions.session import keep
+from . import kmeans
 from .descriptive import to_matrix
 from .panel import complete_cases
 
@@ -30,33 +29,39 @@ BLOCK = 8_192
 
 @dataclass(frozen=True)
 class Clustering:
-    """Labelled rows, centroids in label order, within-cluster sum of squares, fitted model."""
+    """Labelled rows, centroids in label order and within-cluster sum of squares."""
 
     table: DataFrame
     centroids: list[list[float]]
     wcss: float
-    model: KMeansModel
-    renumber: list[int]
+    features: list[str]
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the centroids as a table ``cluster, position, variable, value``."""
+        rows = [
+            (i, j, c, float(v)) for i, centre in enumerate(self.centroids)
+            for j, (c, v) in enumerate(zip(self.features, centre, strict=True))
+        ]
+        schema = "cluster int, position int, variable string, value double"
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def _vector(features: Sequence[str]) -> Column:
-    return array_to_vector(F.array(*[num(c) for c in features]))
+def load_centroids(spark: SparkSession, path: str) -> tuple[list[str], list[list[float]]]:
+    """Features and centroids of a saved clustering, for :func:`kmeans.assign`."""
+    rows = spark.read.parquet(path).orderBy("cluster", "position").collect()
+    features = [r.variable for r in rows if r.cluster == 0]
+    return features, [[r.value for r in rows if r.cluster == i] for i in sorted({r.cluster for r in rows})]
 
 
 def kmeans_fit(
     df: DataFrame, features: Sequence[str], k: int, *, seed: int = SEED, label: str = "cluster"
 ) -> Clustering:
-    """Fit k-means on (standardised, complete) features; labels follow the centroid order."""
-    vectors = df.withColumn("_v", _vector(features))
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=label, maxIter=100).fit(vectors)
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    order = sorted(range(len(centres)), key=lambda i: centres[i])
-    renumber = [order.index(i) for i in range(len(centres))]
-    place = F.get(F.array(*[F.lit(r) for r in renumber]), col(label))
-    table = model.transform(vectors).withColumn(label, place).drop("_v")
-    return Clustering(
-        table, [centres[i] for i in order], float(model.summary.trainingCost), model, renumber
-    )
+    """Fit k-means on (standardised, complete) features; labels follow the centroid order.
+
+    Equal rows give equal centroids and labels however they are partitioned. Rows with a missing feature get no label.
+    """
+    centres, cost = kmeans.fit_all(df, features, [k], seed=seed)[k]
+    return Clustering(kmeans.assign(df, features, {label: centres}), centres, cost, list(features))
 
 
 def silhouettes(
@@ -258,15 +263,10 @@ def sweep_k(
     pairwise pass."""
     rows = keep(df.select(*[num(c).alias(f"f{i}") for i, c in enumerate(features)]))
     names = [f"f{i}" for i in range(len(features))]
-    labelled, costs = rows, {}
-    for k in k_range:
-        fit = kmeans_fit(rows, names, k, seed=seed)
-        costs[k] = fit.wcss
-        place = F.get(F.array(*[F.lit(r) for r in fit.renumber]), F.col(f"k{k}"))
-        model = fit.model.copy().setPredictionCol(f"k{k}")
-        labelled = model.transform(labelled.withColumn("_v", _vector(names)))
-        labelled = labelled.withColumn(f"k{k}", place).drop("_v")
-    scores = silhouettes(keep(labelled), names, [f"k{k}" for k in k_range], method=method)
+    fits = kmeans.fit_all(rows, names, list(k_range), seed=seed)
+    costs = {k: cost for k, (_, cost) in fits.items()}
+    labelled = keep(kmeans.assign(rows, names, {f"k{k}": centres for k, (centres, _) in fits.items()}))
+    scores = silhouettes(labelled, names, [f"k{k}" for k in k_range], method=method)
     labelled.unpersist()
     rows.unpersist()
     table = [(k, costs[k], scores[f"k{k}"]) for k in k_range]
