@@ -2,9 +2,13 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from conftest import frame
+from gaugeline.operators.iforest import IsolationForest
+from gaugeline.operators.limits import Limit
 from gaugeline.plans import runs
+from gaugeline.plans.manifest import Run, finished_tables
 from gaugeline.sources import sheets, tables
 
 
@@ -30,20 +34,69 @@ def test_union_counts_itself(spark, tmp_path):
     assert spark.read.parquet(done.location).count() == done.rows
 
 
-def test_outlier_study_tables(spark, tmp_path):
+@pytest.fixture(scope="module")
+def panel(spark):
     rng = np.random.default_rng(4)
     n = 120
     pdf = pd.DataFrame({"id": range(n), **{c: rng.normal(size=n) for c in "abc"}})
     pdf.loc[:5, ["a", "b", "c"]] += 12
     pdf.loc[7:9, "a"] = np.nan
-    df = frame(spark, pdf).selectExpr("*", "2010 + cast(id / 12 as int) AS Ano", "make_date(2010 + cast(id / 12 as int), 1 + id % 12, 1) AS date")
-    from gaugeline.operators.limits import Limit
-
-    got = runs.run_outlier_study(df, ["id"], str(tmp_path), list("abc"), [Limit("a", None, 5.0, False)], window=(2010, 2010), grid=[0.05], folds=2)
-    assert sorted(map(str, got["flags_per_variable"].collect())) == sorted(map(str, runs.variable_flags(df, list("abc")).collect()))
-    assert got["flags_per_variable"].filter("variable = 'a'").first()["IQR"] >= 6
-    confirmed = {r["id"]: r for r in got["confirmed"].collect()}
-    timeline = {r["id"]: r for r in got["confirmed_timeline"].collect()}
+    return frame(spark, pdf).selectExpr("*", "2010 + cast(id / 12 as int) AS Ano", "make_date(2010 + cast(id / 12 as int), 1 + id % 12, 1) AS date")
+
+
+def study(df, out, **kw):
+    return runs.run_outlier_study(df, ["id"], str(out), list("abc"), [Limit("a", None, 5.0, False)], window=(2010, 2010),
+                                  grid=[0.05], folds=2, forest=IsolationForest(n_trees=8), **kw)
+
+
+@pytest.fixture(scope="module")
+def whole(panel, tmp_path_factory):
+    return study(panel, tmp_path_factory.mktemp("whole"))
+
+
+def test_outlier_study_tables(panel, whole):
+    assert sorted(map(str, whole["flags_per_variable"].collect())) == sorted(map(str, runs.variable_flags(panel, list("abc")).collect()))
+    assert whole["flags_per_variable"].filter("variable = 'a'").first()["IQR"] >= 6
+    confirmed = {r["id"]: r for r in whole["confirmed"].collect()}
+    timeline = {r["id"]: r for r in whole["confirmed_timeline"].collect()}
     assert set(confirmed) == set(timeline) and confirmed
     for i, r in timeline.items():
         assert abs(r["at"] - (2010 + i // 12 + (i % 12) / 12)) < 1e-9 and r["n_methods"] == confirmed[i]["n_methods"]
+
+
+def test_broken_study_goes_on(spark, panel, whole, tmp_path, monkeypatch):
+    def rows(table):
+        return sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in table.collect())
+
+    calls = []
+    real = runs.detector_flags
+    monkeypatch.setattr(runs, "detector_flags", lambda *a, **k: calls.append(1) or real(*a, **k))
+    with monkeypatch.context() as broken:
+        broken.setattr(runs.compare, "category_counts", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            study(panel, tmp_path, resume="first")
+    with pytest.raises(ValueError, match="no finished run"):
+        finished_tables(spark, str(tmp_path))
+    done = study(panel, tmp_path, resume="first")
+    assert len(calls) == 1 and set(done) == set(whole)
+    stored = finished_tables(spark, str(tmp_path))
+    assert set(stored) == {*done, "flags"}
+    for name, table in whole.items():
+        assert rows(table) == rows(done[name]) == rows(stored[name])
+
+
+def test_manifest(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    out = str(tmp_path)
+    for name, settings, times in (("a", [1], 1), ("a", [1], 1), ("a", [2], 2), ("b", [2], 3), (None, [2], 4), (None, [2], 5)):
+        run = Run(spark, out, name, settings)
+        assert run.table("t", make).count() == 3 and len(made) == times
+    with pytest.raises(ValueError, match="no finished run"):
+        finished_tables(spark, out)
+    run.finish()
+    assert finished_tables(spark, out)["t"].count() == 3
