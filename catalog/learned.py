@@ -9,6 +9,7 @@ from gaugeline.functions.fixed_values import MONTHS, STATISTICS
 from gaugeline.functions.session import keep
 from gaugeline.operators import classify, cluster, iforest, limits
 from gaugeline.operators.descriptive import Scaler
+from gaugeline.operators.kmeans import lloyd_step as lloyd
 from gaugeline.operators.missing import impute_simple
 from gaugeline.operators.neighbors import impute
 from gaugeline.plans import runs
@@ -52,6 +53,13 @@ def assignment(spark: SparkSession, sf: str) -> DataFrame:
     return fit.table.agg(F.count("*").alias("n"), F.count_if(own > F.least(*gaps) * (1 + 1e-9)).alias("n_misplaced"))
 
 
+def lloyd_step(spark: SparkSession, sf: str) -> DataFrame:
+    """One round of k-means from the means of the seasons."""
+    rows = seasonal(spark, sf)
+    means = rows.groupBy("cluster").agg(*[F.round(F.avg(c), 6).alias(c) for c in MULTI]).orderBy("cluster").collect()
+    return rnd(lloyd(rows, MULTI, [list(r)[1:] for r in means]), MULTI, 6)
+
+
 def sweep(spark: SparkSession, sf: str) -> DataFrame:
     rows, names = embedding_columns(spark, sf)
     return cluster.sweep_k(rows, names, range(2, 11))
@@ -233,6 +241,7 @@ def run_outlier_study(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "cl_01_kmeans_fit": kmeans,
     "cl_01_kmeans_assignment": assignment,
+    "cl_01_lloyd_step": lloyd_step,
     "cl_02_sweep_k": sweep,
     "cl_02_elbow": elbow,
     "cl_03_silhouette": silhouette,
@@ -274,6 +283,15 @@ _SIL = "SELECT round(avg(CASE WHEN ia IS NULL OR greatest(ia, ib) = 0 THEN 0 ELS
 
 ORACLES = {
     "cl_01_kmeans_assignment": with_sql(PANEL_SQL, SCALED_SQL, body="SELECT count(*) AS n, 0 AS n_misplaced FROM z"),
+    "cl_01_lloyd_step": with_sql(
+        PANEL_SQL, SCALED_SQL,
+        "s AS (SELECT season, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in MULTI) + " FROM z GROUP BY 1)",
+        "g AS (SELECT z.*, " + ", ".join(
+            "(SELECT " + " + ".join(f"(z.{c} - s.{c}) * (z.{c} - s.{c})" for c in MULTI) + f" FROM s WHERE s.season = '{n}') AS {n}"
+            for n in ("dry", "wet")) + " FROM z)",
+        body="SELECT CAST(wet < dry AS INTEGER) AS cluster, count(*) AS n, "
+        + ", ".join(f"round(avg({c}), 6) AS {c}" for c in MULTI) + " FROM g GROUP BY 1",
+    ),
     "cl_13_label_columns": with_sql(
         *IMPUTED_SQL,
         f"counted AS (SELECT supplier, month, CAST({COUNT_ALL} AS INTEGER) AS n_violations FROM imputed)",
