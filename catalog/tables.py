@@ -9,9 +9,9 @@ from gaugeline.functions.columns import col
 from gaugeline.functions.fixed_values import ANNUAL, MONTHS, STATISTICS
 from gaugeline.functions.numbers import normalize_numbers
 from gaugeline.functions.session import keep
-from gaugeline.operators import iforest, limits, panel
-from gaugeline.operators.classify import load_model, save_model
-from gaugeline.operators.cluster import kmeans_fit
+from gaugeline.operators import iforest, kmeans, limits, panel
+from gaugeline.operators.classify import load_model, save_model, train_forest
+from gaugeline.operators.cluster import kmeans_fit, load_centroids
 from gaugeline.operators.descriptive import Scaler
 from gaugeline.sources import sheets, tables
 
@@ -137,25 +137,31 @@ SCALER_SQL = with_sql(
 
 def models_back(spark: SparkSession, sf: str) -> DataFrame:
     """Saved and reloaded models score as the fitted ones do: no row may differ."""
-    from pyspark.ml import PipelineModel
     from pyspark.ml.functions import array_to_vector
 
     rows, where = scaled_panel(spark, sf), scratch(spark, "models")
     fit = kmeans_fit(rows, MULTI, 3)
-    save_model(PipelineModel([fit.model]), f"{where}/kmeans")
+    fit.save(spark, f"{where}/kmeans")
+    features, centroids = load_centroids(spark, f"{where}/kmeans")
+    labelled = kmeans.assign(fit.table, features, {"reloaded": centroids})
+    # A classifier of the clusters stands for the Spark ML models.
+    trained = train_forest(labelled, IDS, MULTI, "cluster", n_trees=10, folds=0)
     forest = iforest.IsolationForest().fit(rows, IDS, MULTI)
     forest.save(spark, f"{where}/forest")
     again = iforest.IsolationForestModel.load(spark, f"{where}/forest")
-    vectors = rows.withColumn("_v", array_to_vector(F.array(*MULTI)))
-    scored = load_model(f"{where}/kmeans").transform(vectors)
-    both = again.score(forest.score(scored, "before"), "after")
-    place = F.get(F.array(*[F.lit(r) for r in fit.renumber]), F.col("cluster"))
-    joined = both.select(*IDS, place.alias("reloaded"), "before", "after").join(
-        fit.table.select(*IDS, "cluster"), IDS
-    )
-    return joined.agg(
+    both = again.score(forest.score(labelled, "before"), "after").withColumn("_v", array_to_vector(F.array(*MULTI)))
+    models = {}
+    if trained is not None:
+        save_model(trained.model, f"{where}/classifier")
+        models = {"class_before": trained.model, "class_after": load_model(f"{where}/classifier")}
+    for name, model in models.items():
+        both = model.transform(both).withColumnRenamed("prediction", name).drop("rawPrediction", "probability")
+    differs = ~F.col("reloaded").eqNullSafe(F.col("cluster"))
+    if models:
+        differs = differs | ~F.col("class_after").eqNullSafe(F.col("class_before"))
+    return both.agg(
         F.count("*").alias("n"),
-        F.count_if(F.col("reloaded") != F.col("cluster")).alias("n_label_diff"),
+        F.count_if(differs).alias("n_label_diff"),
         F.count_if(F.col("before") != F.col("after")).alias("n_score_diff"),
     )
 
