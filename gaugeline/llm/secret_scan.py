@@ -144,7 +144,7 @@ def confirm(found: DataFrame, *, per_class: int = 5000, trees: int = 20, depth:
     forest = RandomForestClassifier(
         featuresCol="_features", labelCol="label", probabilityCol="_p", predictionCol="_y", rawPredictionCol="_r", weightCol="_weight",
         numTrees=trees, maxDepth=depth, seed=seed,
-    ).fit(gather.transform(sample))
+    ).fit(gather.transform(sample)).copy()  # without its summary, which holds the session
     scored = forest.transform(gather.transform(found))
     return scored.withColumn("score", vector_to_array("_p")[1]).drop("_features", "_p", "_y", "_r")
 

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 from conftest import frame
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from gaugeline.operators import classify, cluster, limits
@@ -92,6 +93,23 @@ def test_forest_and_split(spark):
     assert classify.train_forest(df.withColumn("y", F.lit(1)), ["id"], ["g"], "y") is None
 
 
+def test_forest_scores_after_an_observation(spark):
+    """A session that has observed anything cannot be sent to a task; the model must not hold it."""
+    seen = Observation()
+    spark.range(9).observe(seen, F.count(F.lit(1)).alias("n")).count()
+    df = spark.range(200).selectExpr("id", "cast(id % 7 as double) a", "cast(id % 5 as double) b", "cast(id % 7 > 3 as int) y")
+    got = classify.train_forest(df, ["id"], ["a", "b"], "y", n_trees=3, depth=4, folds=2)
+    assert got.predictions.filter("prediction <> y").count() == 0 and got.cv.count() == 2
+
+
+def test_saved_models_score_as_the_fitted_ones(spark, sf):
+    from catalog import tables
+    from catalog.base import MULTI, scaled_panel
+
+    got = tables.models_back(spark, sf).first()
+    assert got.asDict() == {"n": scaled_panel(spark, sf).dropna(subset=MULTI).count(), "n_label_diff": 0, "n_score_diff": 0}
+
+
 def test_scaler_and_projection(spark, tmp_path):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(80, 3)) @ np.diag([3, 1, 0.1]) + 5
