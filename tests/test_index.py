@@ -1,6 +1,8 @@
 """The neighbour index against brute force: levels, rare presence patterns, many dimensions, and what it visits."""
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -98,3 +100,37 @@ def test_cells_are_bounded():
     number = cells.cut_stretch(x[by], order.pattern(x[by]), order.to_pivots(x[by]), 100)
     sizes = np.bincount(number)
     assert sizes.max() <= 100 and sizes.min() > 0 and np.median(sizes) >= 50
+
+
+def test_runs_of_boxes_lose_no_cell(monkeypatch):
+    """Boxes looked at by runs: the same cells within reach, and a start for every query that has one."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 3))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    order = cells.Order.learn(x[:500])
+    number = cells.cut_stretch(x, order.pattern(x), order.to_pivots(x), 40)
+    far = order.to_pivots(x)
+    boxes = pd.DataFrame([cells.box_of(x[number == c], far[number == c], np.ones((number == c).sum(), np.int64), c) for c in range(number.max() + 1)])
+    q, reach = x[:300], {0: np.full(300, 0.3), 1: np.full(300, np.inf)}
+    flat = cells.Boxes.of(boxes, order)
+    monkeypatch.setattr(cells, "DENSE", 8)
+    monkeypatch.setattr(cells, "FAN", 4)
+    tree = cells.Boxes.of(boxes, order)
+    assert flat.runs is None and tree.runs.runs.runs is not None
+    pairs = [set(zip(*(v.tolist() for v in b.within(q, reach)), strict=True)) for b in (flat, tree)]
+    assert pairs[0] == pairs[1]
+    assert ((tree.best(q, 5, [0]) >= 0) == (flat.best(q, 5, [0]) >= 0)).all()
+
+
+def test_one_row_a_query_leaves_a_visit():
+    """Neighbours leave a block as lists, and lists of one query meet in one."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 2))
+    names = cells.xcols(2)
+    q = pa.table({"qid": np.arange(60), **dict(zip(names, x.T, strict=True))})
+    parts = [pa.table({"nid": np.arange(60)[h], "w": np.ones(30, np.int64), **dict(zip(names, x[h].T, strict=True))}) for h in (slice(0, 30), slice(30, 60))]
+    found = [cells.block_best(q, b, 2, 4, None) for b in parts]
+    assert [len(f) for f in found] == [60, 60]
+    merged = cells.merge_lists(pa.concat_tables(found).sort_by("qid"), 4)
+    want = brute(x, 4, None)
+    assert len(merged) == 60 and {(r["qid"], -1): list(zip(r["nid"], r["dist"])) for r in merged.to_pylist()} == want
