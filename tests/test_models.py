@@ -59,6 +59,22 @@ def test_silhouette_is_exact(blobs, spark, block):
     assert got["l"] == pytest.approx(brute_silhouette(x, labels), abs=1e-6) and got["one"] is None
 
 
+def test_silhouette_blocks_grow_with_the_table(blobs, spark, monkeypatch):
+    """Rows are sent once per block: their copies must not grow with the table, and tiles keep tasks small."""
+    assert [cluster._blocks(n, 8192) for n in (0, 8192, 80_000, 500_000, 5_000_000)] == [1, 1, 10, 20, 20]
+    df, x = blobs
+    monkeypatch.setattr(cluster, "BLOCKS", 2)
+    monkeypatch.setattr(cluster, "TILE", 7)
+    x = x.copy()
+    x[10:20] = x[10] + 1e-9 * np.arange(10)[:, None]
+    labels = np.arange(100) % 3
+    pdf = pd.DataFrame(x, columns=["u", "v"]).assign(l=labels)
+    assert cluster.silhouettes(frame(spark, pdf), ["u", "v"], ["l"], block=5)["l"] == pytest.approx(brute_silhouette(x, labels), abs=1e-9)
+    sums = cluster._distance_sums(x[:60], x[60:], np.eye(3)[labels[:60]], np.eye(3)[labels[60:]], False)
+    d = np.sqrt(((x[:60, None] - x[None, 60:]) ** 2).sum(-1))
+    assert np.allclose(sums[0], d @ np.eye(3)[labels[60:]]) and np.allclose(sums[1], d.T @ np.eye(3)[labels[:60]])
+
+
 def test_elbow_of_a_known_curve(spark):
     curve = [2492.20, 2137.0, 1959.0, 1803.0, 1690.0, 1592.0, 1515.0, 1440.0, 1381.58]
     df = spark.createDataFrame([(k, w) for k, w in enumerate(curve, 2)], "k int, wcss double")
