@@ -79,3 +79,13 @@ def test_fill_down_does_not_depend_on_ranges(spark):
     for size in (1, 3, 100):
         got = sheets.fill_down_period(df, chunk_rows=size).orderBy("row_no").collect()
         assert [r.period for r in got] == want
+
+
+def test_lines_are_dealt_by_size(spark, monkeypatch):
+    """Tasks grow in number with the table; equal keys stay together."""
+    from catalog import base
+
+    monkeypatch.setattr(base, "DEALT", 50)
+    lines = base.dealt(spark.range(2000).withColumn("k", F.col("id") % 7), F.col("k"))
+    assert lines.rdd.getNumPartitions() == 40
+    assert lines.select("k", F.spark_partition_id()).distinct().count() == 7
