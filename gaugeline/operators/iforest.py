@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import all_of, col, num
+from ..functions.columns import all_of, col, num, total
 from ..functions.fixed_values import (
     CONTAMINATION,
     CONTAMINATION_GRID,
@@ -30,6 +30,8 @@ from ..functions.session import keep
 
 NODE_SCHEMA = "tree int, node int, feature int, cut double, below int, above int, path double"
 _SPACE = 1 << 31
+#: Rows that go down the trees together: what a step holds of them stays in a core's cache.
+SLICE = 8_192
 
 
 def expected_path(n: np.ndarray | float) -> np.ndarray:
@@ -63,21 +65,53 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple]:
     return [(i, *n) for i, n in enumerate(nodes)]
 
 
+def mean_path(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, path: np.ndarray) -> np.ndarray:
+    """Mean path of every row over the filled trees of :meth:`IsolationForestModel.arrays`."""
+    n, dims = x.shape
+    flat, rows = np.ascontiguousarray(x).ravel(), np.arange(n) * dims
+    at, spot, value, edge, low = np.empty(n, np.intp), np.empty(n, np.intp), np.empty(n), np.empty(n), np.empty(n, bool)
+    out, inner = np.zeros(n), feature.shape[1]
+    for f, c, ends in zip(feature, cut, path, strict=True):
+        at[:] = 0
+        for _ in range(int(math.log2(inner + 1))):
+            # Places are in range; "clip" only spares the check.
+            np.take(f, at, out=spot, mode="clip")
+            np.add(spot, rows, out=spot)
+            np.take(flat, spot, out=value, mode="clip")
+            np.take(c, at, out=edge, mode="clip")
+            np.less_equal(value, edge, out=low)
+            np.add(at, 1, out=at)
+            np.multiply(at, 2, out=at)
+            np.subtract(at, low, out=at, casting="unsafe")
+        np.subtract(at, inner, out=at)
+        out += ends[at]
+    return out / len(feature)
+
+
 @dataclass(frozen=True)
 class IsolationForestModel:
     features: list[str]
     sample_size: int
     nodes: pd.DataFrame
 
-    def arrays(self) -> tuple:
-        nodes = self.nodes.sort_values(["tree", "node"])
-        sizes = nodes.groupby("tree").size().to_numpy()
-        roots = np.cumsum(sizes) - sizes
-        base = np.repeat(roots, sizes)
-        feature = nodes.feature.to_numpy(np.int64)
-        below = np.where(feature >= 0, nodes.below.to_numpy(np.int64) + base, 0)
-        above = np.where(feature >= 0, nodes.above.to_numpy(np.int64) + base, 0)
-        return roots, feature, nodes.cut.to_numpy(), below, above, nodes.path.to_numpy()
+    def arrays(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature and cut of the inner nodes and path of the leaves, one line a tree, every tree filled up to ``depth``.
+
+        The children of node i are 2i + 1 and 2i + 2; below a leaf all nodes lead to its path.
+        """
+        trees = [t.sort_values("node") for _, t in self.nodes.groupby("tree")]
+        feature = np.zeros((len(trees), 2**depth - 1), np.intp)
+        cut, path = np.zeros(feature.shape), np.zeros((len(trees), 2**depth))
+        for t, nodes in enumerate(trees):
+            of, at, below, above, ends = (nodes[c].to_numpy() for c in ("feature", "cut", "below", "above", "path"))
+            here = np.zeros(1, np.intp)
+            for level in range(depth):
+                line, inner = slice(2**level - 1, 2 ** (level + 1) - 1), of[here] >= 0
+                feature[t, line] = np.maximum(of[here], 0)
+                cut[t, line] = at[here]
+                here = np.stack([np.where(inner, below[here], here), np.where(inner, above[here], here)], axis=1).ravel().astype(np.intp)
+            path[t] = ends[here]
+        return feature, cut, path
 
     def save(self, spark: SparkSession, path: str) -> None:
         table = spark.createDataFrame(self.nodes, NODE_SCHEMA)
@@ -99,8 +133,8 @@ class IsolationForestModel:
 
 def score_columns(models: Sequence[IsolationForestModel]) -> Column:
     """Scores of all models (same features) as one ARRAY<DOUBLE> column."""
-    packed = [(m.arrays(), float(expected_path(m.sample_size))) for m in models]
-    depth = math.ceil(math.log2(max(2, max(m.sample_size for m in models)))) + 1
+    depth = math.ceil(math.log2(max(2, max(m.sample_size for m in models))))
+    packed = [(m.arrays(depth), float(expected_path(m.sample_size))) for m in models]
 
     @F.pandas_udf("array<double>")
     def scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -108,19 +142,12 @@ def score_columns(models: Sequence[IsolationForestModel]) -> Column:
             # A single feature arrives as a bare series.
             columns = (series,) if isinstance(series, pd.Series) else series
             x = np.column_stack([s.to_numpy(float) for s in columns])
-            rows = np.arange(len(x))
             result = np.empty((len(x), len(packed)))
-            for j, ((roots, feature, cut, below, above, path), norm) in enumerate(packed):
-                total_path = np.zeros(len(x))
-                for root in roots:
-                    at = np.full(len(x), root)
-                    for _ in range(depth):
-                        f = feature[at]
-                        low = x[rows, np.maximum(f, 0)] <= cut[at]
-                        at = np.where(f >= 0, np.where(low, below[at], above[at]), at)
-                    total_path += path[at]
-                mean = total_path / len(roots)
-                result[:, j] = np.power(2.0, -mean / norm) if norm > 0 else 0.5
+            for lo in range(0, len(x), SLICE):
+                part = x[lo : lo + SLICE]
+                for j, (trees, norm) in enumerate(packed):
+                    mean = mean_path(part, *trees)
+                    result[lo : lo + SLICE, j] = np.power(2.0, -mean / norm) if norm > 0 else 0.5
             yield pd.Series(list(result))
 
     # A row with a gap lies on no side of a cut, so it has no score.
@@ -270,15 +297,26 @@ def calibrate_contamination(
     cuts = exact_quantiles(
         scored, {str(i): F.when(masks[i], s) for i, s in scores.items()}, list(grid)
     )
+    # Rows marked alike are counted first: the pairs of forests are looked at once per kind of row.
+    bits = {(i, g): (f"m{i}_{g // 32}", 1 << g % 32) for i in scores for g in range(len(grid))}
+    kinds = {
+        name: total([F.when(scores[i] < F.lit(cuts[str(i)][g]), F.lit(bit)).otherwise(0) for (i, g), (m, bit) in bits.items() if m == name])
+        for name in dict.fromkeys(m for m, _ in bits.values())
+    }
+    marked = scored.select(*[c.cast("bigint").alias(m) for m, c in kinds.items()]).groupBy(*kinds).agg(F.count("*").alias("n"))
+
+    def rows_where(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
     aggs = []
     for g in range(len(grid)):
-        marks = {i: scores[i] < F.lit(cuts[str(i)][g]) for i in scores}
-        aggs.append(F.count_if(marks[0]).alias(f"n{g}"))
+        marks = {i: F.col(bits[i, g][0]).bitwiseAND(F.lit(bits[i, g][1])) != 0 for i in scores}
+        aggs.append(rows_where(marks[0]).alias(f"n{g}"))
         for i in range(1, folds + 1):
             for j in range(i + 1, folds + 1):
-                aggs.append(F.count_if(marks[i] & marks[j]).alias(f"b{g}_{i}_{j}"))
-                aggs.append(F.count_if(marks[i] | marks[j]).alias(f"u{g}_{i}_{j}"))
-    row = scored.agg(F.count("*").alias("n"), *aggs).first()
+                aggs.append(rows_where(marks[i] & marks[j]).alias(f"b{g}_{i}_{j}"))
+                aggs.append(rows_where(marks[i] | marks[j]).alias(f"u{g}_{i}_{j}"))
+    row = marked.agg(rows_where(F.lit(True)).alias("n"), *aggs).first()
     table = []
     for g, c in enumerate(grid):
         shares = [

@@ -159,6 +159,44 @@ def test_calibration_grid(spark):
     assert [r.stability_jaccard for r in out] == sorted((r.stability_jaccard for r in out), reverse=True)
 
 
+def test_filled_trees_give_the_paths_of_the_grown_ones():
+    """All trees are walked in one layout; every row ends with the path of its leaf."""
+    rng = np.random.default_rng(5)
+    grown = [(t, *n) for t in range(9) for n in iforest.grow(np.round(rng.standard_normal((20, 2)), t % 3), np.random.default_rng(t))]
+    model = iforest.IsolationForestModel(["a", "b"], 20, pd.DataFrame(grown, columns=["tree", "node", "feature", "cut", "below", "above", "path"]))
+    x = np.vstack([np.round(rng.standard_normal((50, 2)), 1), [[np.inf, -np.inf]]])
+    want = np.zeros(len(x))
+    for t in range(9):
+        nodes = model.nodes[model.nodes.tree == t].set_index("node")
+        for i, row in enumerate(x):
+            n = nodes.loc[0]
+            while n.feature >= 0:
+                n = nodes.loc[n.below if row[int(n.feature)] <= n.cut else n.above]
+            want[i] += n.path
+    assert (iforest.mean_path(x, *model.arrays(5)) == want / 9).all()
+
+
+def test_calibration_counts_pairs_per_kind_of_row(spark):
+    """Counts equal those of the single rows, also for a long grid and rows without a score."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame(rng.standard_normal((300, 2)), columns=["a", "b"]).assign(id=range(300))
+    pdf.loc[:4, "a"] = np.nan
+    grid, forest, folds = [round(0.01 * g, 2) for g in range(1, 36)], iforest.IsolationForest(6, 32), 3
+    df = frame(spark, pdf)
+    got = {r.contamination: r for r in iforest.calibrate_contamination(df, ["id"], ["a", "b"], grid, folds=folds, forest=forest).collect()}
+    key = iforest.F.pmod(iforest.F.xxhash64("id", iforest.F.lit(forest.seed + 1)), iforest.F.lit(folds)).alias("fold")
+    masks = [iforest.F.lit(True), *[iforest.F.col("fold") != f for f in range(folds)]]
+    rows = df.select("*", key)
+    scores = rows.select("fold", iforest.score_columns(forest.fit_many(rows, ["id"], ["a", "b"], masks)).alias("s")).toPandas()
+    known = scores[scores.s.notna()]
+    s, fold = -np.stack(known.s.to_list()), known.fold.to_numpy()
+    for c in grid:
+        marks = [s[:, 0] < np.quantile(s[:, 0], c)] + [s[:, f + 1] < np.quantile(s[fold != f, f + 1], c) for f in range(folds)]
+        shares = [(marks[i] & marks[j]).sum() / max(1, (marks[i] | marks[j]).sum()) for i in range(1, 4) for j in range(i + 1, 4)]
+        assert got[c].n_flags == marks[0].sum() and got[c].rate == round(marks[0].sum() / 300, 4)
+        assert got[c].stability_jaccard == pytest.approx(np.mean(shares), abs=1e-4)
+
+
 def test_votes_of_detectors(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(100, 3))
