@@ -118,6 +118,24 @@ def test_forest_scores_after_an_observation(spark):
     assert got.predictions.filter("prediction <> y").count() == 0 and got.cv.count() == 2
 
 
+def test_forest_rounds_have_few_tasks(spark, monkeypatch):
+    """Each task sends counts for all open nodes, so tasks must not grow in number with the table's partitions; every fold is scored."""
+    seen = []
+
+    class Classifier:
+        def fit(self, rows):
+            seen.append((rows.rdd.getNumPartitions(), rows.count()))
+            return real(1, 3, 2).fit(rows)
+
+    real = classify._classifier
+    monkeypatch.setattr(classify, "_classifier", lambda *a: Classifier())
+    df = spark.range(400).selectExpr("id", "cast(id % 7 as double) a", "cast(id % 7 > 3 as int) y").repartition(300, "id")
+    got = classify.cv_f1(df, ["id"], ["a"], "y").collect()
+    assert [r.fold for r in got] == list(range(5)) and all(r.f1 == 1.0 for r in got)
+    assert len(seen) == 5 and sum(n for _, n in seen) == 4 * 400
+    assert {p for p, _ in seen} == {classify.TASKS_PER_CORE * spark.sparkContext.defaultParallelism}
+
+
 def test_saved_models_score_as_the_fitted_ones(spark, sf):
     from catalog import tables
     from catalog.base import MULTI, scaled_panel
