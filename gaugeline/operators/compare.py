@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,14 +30,19 @@ def jaccard(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(_ratio(F.count_if(x & y), F.count_if(x | y), 1.0).alias("jaccard"))
 
 
-def _pair_counts(marks: dict[str, Column]) -> list[Column]:
+def _rows_where(condition: Column) -> Column:
+    """Rows that meet a condition, in a table of kinds of rows with their number ``n``."""
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0).cast("bigint"))
+
+
+def _pair_counts(marks: dict[str, Column], count: Callable[[Column], Column] = F.count_if) -> list[Column]:
     names = list(marks)
     return [
         agg.alias(f"{kind}{i}_{j}")
         for i, a in enumerate(names)
         for j, b in enumerate(names)
         if i < j
-        for kind, agg in (("b", F.count_if(marks[a] & marks[b])), ("u", F.count_if(marks[a] | marks[b])))
+        for kind, agg in (("b", count(marks[a] & marks[b])), ("u", count(marks[a] | marks[b])))
     ]
 
 
@@ -173,17 +178,19 @@ def best_method_per_variable(
     size = len(METHODS)
     marks = {m: F.col(f"m{i}") for i, m in enumerate(METHODS)}
     aggs = [
-        F.count_if("present").alias("n_obs"),
-        F.count_if("truth").alias("n_truth"),
+        _rows_where(F.col("present")).alias("n_obs"),
+        _rows_where(F.col("truth")).alias("n_truth"),
         F.any_value("limited").alias("limited"),
     ]
     for i in range(size):
         aggs += [
-            F.count_if(f"m{i}").alias(f"f{i}"),
-            F.count_if(F.col(f"m{i}") & F.col("truth")).alias(f"t{i}"),
+            _rows_where(F.col(f"m{i}")).alias(f"f{i}"),
+            _rows_where(F.col(f"m{i}") & F.col("truth")).alias(f"t{i}"),
         ]
-    # A handful of groups, pre-aggregated in every task before the shuffle.
-    judged = long_form(df, [], fields).groupBy("variable").agg(*aggs, *_pair_counts(marks))
+    # Values marked alike are counted first, a few kinds a variable; the many counts run over these.
+    kinds = ["variable", "present", "truth", "limited", *[f"m{i}" for i in range(size)]]
+    counted = long_form(df, [], fields).groupBy(*kinds).agg(F.count("*").alias("n"))
+    judged = counted.groupBy("variable").agg(*aggs, *_pair_counts(marks, _rows_where))
     enough = F.col("n_obs") >= min_obs
     by_truth = F.col("n_truth") >= 1
     criterion = (

@@ -231,6 +231,8 @@ def _round(spark, sides: DataFrame, searches: dict[int, _Search], list_limit: in
         if left.empty or right.empty:
             return pd.DataFrame({"v": [], "g": [], "n": [], "m": []}).astype("int64")
         v = int(left.v.iloc[0])
+        # Thresholds in their order look up neighbouring places.
+        left = left.iloc[np.argsort(left.d.to_numpy())]
         a, wa = left.d.to_numpy(), left.w.to_numpy()
         order = np.argsort(right.d.to_numpy())
         b = right.d.to_numpy()[order]
@@ -283,6 +285,7 @@ def _round(spark, sides: DataFrame, searches: dict[int, _Search], list_limit: in
             return empty
         v = int(left.v.iloc[0])
         low, high = short[v]
+        left = left.iloc[np.argsort(left.d.to_numpy())]
         a, wa = left.d.to_numpy(), left.w.to_numpy()
         order = np.argsort(right.d.to_numpy())
         b, wb = right.d.to_numpy()[order], right.w.to_numpy()[order]

@@ -2,6 +2,7 @@
 
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from gaugeline.operators import compare as c
 from gaugeline.operators import limits
@@ -116,3 +117,13 @@ def test_registry_is_consistent(spark):
         want = pd.DataFrame(cur.fetchall(), columns=[d[0] for d in cur.description], dtype=object)
         got = q[name](spark, SF).toPandas().astype(object)
         assert normal(got).equals(normal(want)), name
+
+
+def test_pairs_counted_by_kind_of_row(spark):
+    """Counts over kinds of rows equal those over the rows, unknown marks and empty tables included."""
+    rows = [(a, b) for a in (True, False, None) for b in (True, False, None) for _ in range(1 + (a is None) + 2 * bool(b))]
+    for some in (rows, []):
+        df = spark.createDataFrame(some, "a boolean, b boolean")
+        marks = {x: F.col(x) for x in ("a", "b")}
+        kinds = df.groupBy("a", "b").agg(F.count("*").alias("n"))
+        assert kinds.agg(*c._pair_counts(marks, c._rows_where)).first() == df.agg(*c._pair_counts(marks)).first()
