@@ -75,6 +75,24 @@ def test_silhouette_blocks_grow_with_the_table(blobs, spark, monkeypatch):
     assert np.allclose(sums[0], d @ np.eye(3)[labels[60:]]) and np.allclose(sums[1], d.T @ np.eye(3)[labels[:60]])
 
 
+def test_distance_sums_of_many_sets_of_columns(monkeypatch):
+    """Few or many sets of clusters, weights, close points and tiles that end anywhere give the sums of every pair."""
+    monkeypatch.setattr(cluster, "TILE_ROWS", 8)
+    rng = np.random.default_rng(4)
+    for tile, ks in ((200, (2, 3)), (31, (2, 3)), (31, (9, 8, 7))):
+        monkeypatch.setattr(cluster, "TILE", tile)
+        x, y = rng.normal(size=(90, 3)), rng.normal(size=(120, 3))
+        y[5:25] = x[5:25] + 1e-9
+        of_x, of_y = (
+            np.concatenate([np.eye(k)[rng.integers(0, k, len(p))] for k in ks], axis=1) * rng.integers(1, 4, (len(p), 1)) for p in (x, y)
+        )
+        d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+        to_x, to_y = cluster._distance_sums(x, y, of_x, of_y, False)
+        assert np.allclose(to_x, d @ of_y, rtol=1e-12) and np.allclose(to_y, d.T @ of_x, rtol=1e-12)
+        own = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+        assert np.allclose(cluster._distance_sums(x, x, of_x, of_x, True)[0], own @ of_x, rtol=1e-12)
+
+
 def test_elbow_of_a_known_curve(spark):
     curve = [2492.20, 2137.0, 1959.0, 1803.0, 1690.0, 1592.0, 1515.0, 1440.0, 1381.58]
     df = spark.createDataFrame([(k, w) for k, w in enumerate(curve, 2)], "k int, wcss double")
