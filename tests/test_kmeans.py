@@ -61,3 +61,17 @@ def test_step_and_saved_centroids(spark, tmp_path):
     assert names == list("uvw") and centres == fit.centroids
     far = kmeans.assign(df, names, {"again": centres})
     assert sorted(r.again for r in far.collect()) == sorted(r.cluster for r in fit.table.collect())
+
+
+def test_rounds_read_packed_rows(spark, monkeypatch):
+    """Rounds read blocks of rows, which cut the rows anywhere, and need no shuffle."""
+    monkeypatch.setattr(kmeans, "PACKED", 64)
+    x = np.random.default_rng(6).normal(size=(1000, 2))
+    rows = frame(spark, pd.DataFrame(x, columns=["u", "v"])).repartition(3)
+    blocks = kmeans._packed(rows)
+    assert 16 <= blocks.count() <= 22
+    size, mean, cost = kmeans._pass(blocks, 2, {4: x[:4]}, float(np.abs(x).max()))[4]
+    gaps = ((x[:, None] - x[:4]) ** 2).sum(2)
+    own = gaps.argmin(1)
+    assert size.tolist() == np.bincount(own).tolist() and cost == pytest.approx(gaps.min(1).sum())
+    assert np.abs(mean - np.stack([x[own == i].mean(0) for i in range(4)])).max() < 1e-9
