@@ -53,14 +53,14 @@ def _exact(value: Column, digits: int, where: Column | None = None) -> Column:
     return F.sum(c).cast("double")
 
 
-#: Lines a task groups.
-DEALT = 1_000_000
+#: Lines a task groups, and of the long statistics, which hold more of each group.
+DEALT, LONG_DEALT = 1_000_000, 250_000
 
 
-def dealt(lines: DataFrame, *keys: Column) -> DataFrame:
+def dealt(lines: DataFrame, *keys: Column, rows: int | None = None) -> DataFrame:
     """Lines of equal keys in one task, with as many tasks as the table's size asks for: no task's table of groups grows with it."""
     usual = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return lines.repartition(max(usual, lines.count() // DEALT), *keys)
+    return lines.repartition(max(usual, lines.count() // (rows or DEALT)), *keys)
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
@@ -124,9 +124,10 @@ _SOURCE = dict(zip(LONG_FEATS, ["l_quantity", "l_extendedprice", "l_discount"],
 
 def long_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Long-statistic table: minimum, mean and maximum per supplier and month, and per year."""
-    lines = table(spark, sf, "lineitem")
-    year = F.year("l_shipdate").alias("Ano")
     name = F.get(F.array(*[F.lit(m) for m in MONTHS]), F.month("l_shipdate") - 1)
+    lines = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("supplier"), "l_shipdate", *_SOURCE.values())
+    # Months and years are grouped from the same dealt lines: these are shuffled once, and nothing else is.
+    lines = dealt(lines, F.col("supplier"), F.year("l_shipdate"), rows=LONG_DEALT).withColumns({"Ano": F.year("l_shipdate"), "Mes": name})
     aggs = [
         agg.alias(f"{kind}{i}")
         for i, c in enumerate(_SOURCE.values())
@@ -137,13 +138,8 @@ def long_stats(spark: SparkSession, sf: str) -> DataFrame:
         )
     ]
     grouped = (
-        lines.groupBy(F.col("l_suppkey").alias("supplier"), year, name.alias("Mes"))
-        .agg(*aggs)
-        .unionByName(
-            lines.groupBy(F.col("l_suppkey").alias("supplier"), year)
-            .agg(*aggs)
-            .withColumn("Mes", F.lit(ANNUAL))
-        )
+        lines.groupBy("supplier", "Ano", "Mes").agg(*aggs)
+        .unionByName(lines.groupBy("supplier", "Ano").agg(*aggs).withColumn("Mes", F.lit(ANNUAL)))
     )
     stats = [
         F.struct(

@@ -89,3 +89,32 @@ def test_lines_are_dealt_by_size(spark, monkeypatch):
     lines = base.dealt(spark.range(2000).withColumn("k", F.col("id") % 7), F.col("k"))
     assert lines.rdd.getNumPartitions() == 40
     assert lines.select("k", F.spark_partition_id()).distinct().count() == 7
+
+
+def test_long_statistics_group_lines_dealt_once(spark, tmp_path, monkeypatch):
+    """Months and years come from one shuffle, in tasks that grow in number with the table; missing keys are groups too."""
+    import datetime
+
+    from catalog import base
+
+    monkeypatch.setattr(base, "LONG_DEALT", 50)
+    rows = [
+        (i % 9 or None, float(i % 50), i + 0.25, (i % 11) / 100, datetime.datetime(1995 + i % 3, 1 + i % 12, 3) if i % 13 else None)
+        for i in range(2000)
+    ]
+    schema = "l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_shipdate timestamp"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = base.long_stats(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() % 40 == 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == plan.count("REPARTITION_BY_NUM") > 0
+    groups = {}
+    for supplier, quantity, _, _, date in rows:
+        year, month = (date.year, base.MONTHS[date.month - 1]) if date else (None, None)
+        for name in (month, base.ANNUAL):
+            groups.setdefault((supplier, year, name), []).append(quantity)
+    got = {(r.supplier, r.Ano, r.Mes, r.Calc): r["Qty.(u)"] for r in found.collect()}
+    assert found.count() == len(got) == 3 * len(groups)
+    for key, values in groups.items():
+        want = (min(values), sum(values) / len(values), max(values))
+        assert [got[(*key, c)] for c in base.STATISTICS] == pytest.approx(want)
