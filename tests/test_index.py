@@ -134,3 +134,35 @@ def test_one_row_a_query_leaves_a_visit():
     merged = cells.merge_lists(pa.concat_tables(found).sort_by("qid"), 4)
     want = brute(x, 4, None)
     assert len(merged) == 60 and {(r["qid"], -1): list(zip(r["nid"], r["dist"])) for r in merged.to_pylist()} == want
+
+
+@pytest.mark.parametrize("top", [8, cells.TOP])
+def test_a_query_is_sent_once_to_a_group_of_cells(spark, monkeypatch, top):
+    """Gaps of several patterns: neighbours as by brute force, and far fewer visits than cells within reach."""
+    monkeypatch.setattr(cells, "_GROUPS", 4)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2500, 4))
+    x[rng.random(2500) < 0.2, 2] = np.nan
+    x[rng.random(2500) < 0.2, 3] = np.nan
+    got, seen = searched(spark, x, 4, targets=[2, 3], cell_rows=20, top=top)
+    assert got == brute(x, 4, [2, 3])
+    queries = len({i for i, _ in got})
+    assert seen.get["visits"] < 12 * queries
+    monkeypatch.setattr(cells, "_GROUP", 0)
+    alone, each = searched(spark, x, 4, targets=[2, 3], cell_rows=20, top=top)
+    assert alone == got and each.get["visits"] > 2 * seen.get["visits"]
+
+
+def test_reach_is_learnt_from_the_whole_group():
+    """The k-th distance of all cells of a group, also where the first cell holds farther rows; weights and gaps count."""
+    rng = np.random.default_rng(10)
+    x, names = rng.normal(size=(90, 2)), cells.xcols(2)
+    x[80:, 1] = np.nan
+    w = rng.integers(1, 3, 90)
+    b = pa.table({"nid": np.arange(90), "w": w, "cell": np.arange(90) // 30, **dict(zip(names, x.T, strict=True))})
+    q = pa.table({"qid": np.arange(90), "cell": np.arange(90) % 3, **dict(zip(names, x.T, strict=True))})
+    [reach] = cells.block_reach(q, b, 2, 5, None)
+    for i in range(90):
+        d = cells.distances(np.repeat(x[i : i + 1], 90, axis=0), x)
+        by = np.lexsort((np.arange(90), d))
+        assert reach[i] == d[by][np.cumsum(w[by]) >= 5][0]
