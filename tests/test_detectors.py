@@ -224,3 +224,11 @@ def test_one_search_serves_both_neighbour_detectors(spark):
         own = {r["id"]: r[name] for r in fn(df, ["id"], ["a", "b"], k).collect()}
         got = {r["id"]: r[name] for r in fn(df, ["id"], ["a", "b"], k, searched=shared).collect()}
         assert len(got) == 60 and all(abs(got[i] - own[i]) < 1e-9 for i in own)
+
+
+def test_lof_deals_neighbours_once(spark):
+    """Neighbours are dealt by their id in one shuffle for both joins, and densities are worked out once."""
+    rows = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(np.random.default_rng(12).normal(size=(300, 3)))], "id int, a double, b double, c double")
+    plan = neighbors.lof_scores(rows, ["id"], ["a", "b", "c"], 6)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "greatest(" not in plan
+    assert plan.count("Exchange hashpartitioning(nid") - plan.count("REPARTITION_BY_NUM") <= 1  # the densities themselves
