@@ -7,7 +7,9 @@ block is range-joined on its own: a block's cell says on which side of a middle
 home to its cell and to every later cell that its ball of the block's budget reaches, and pairs met there are verified
 exactly. A pair counts in the first block whose share it keeps, so each link counts once and no pair leaves a task.
 
-Equal vectors are one weighted row from the start; crowded cells are cut into blocks whose pairs all meet.
+Equal vectors are one weighted row from the start; crowded cells are cut into blocks whose pairs all meet. A label is only
+searched by cells where they send its vectors to fewer places than it takes for all its pairs to meet: a label whose
+vectors fit one task meets there once, and on evenly spread vectors, where cells prune nothing, all labels do.
 """
 
 from __future__ import annotations
@@ -17,12 +19,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import block_pairs, col, components, finite_vector, local_components, sorted_groups, store
 
 _EPS = 1e-9
+#: Components of the vectors of a label that meet whole, and rows of a tile of products.
+WHOLE, TILE_ROWS, TILE = 2**21, 256, 8_192
+#: Links held before they are merged.
+HELD = 2**20
 
 
 def rotation(dims: int, seed: int) -> np.ndarray:
@@ -51,6 +58,7 @@ def near_vectors(
     seed: int = 29,
     sample: int = 4096,
     block: int = 2048,
+    whole: int | None = None,
 ) -> DataFrame:
     """One row per row of ``vectors``: ``id``, ``n_links`` (other rows linked directly), ``component_id`` (smallest id
     reachable over links, its own included) and ``kept`` (``id`` is its component's).
@@ -59,20 +67,22 @@ def near_vectors(
     Vectors that are null, zero, or hold null or non-finite components link with nothing; so do rows with a null id.
     Vectors of different lengths have no cosine: each length is searched by itself. Repeated rows each count. ``id`` identifies a row: rows that share one share a
     component. ``sample`` vectors (those of smallest id hash) set the cells' middle values and have no say in the result.
+    ``whole`` distinct vectors of a label, as many as hold ``WHOLE`` components unless it is given, meet without cells.
     """
     rows = vectors.select(col(id).alias("_id"), col(vector).alias("_v"), col(label).alias("_l"))
     fit = finite_vector(F.col("_v")) & F.col("_l").isNotNull() & F.col("_id").isNotNull()
     fine = rows.filter(fit)
     lengths = sorted(r[0] for r in fine.select(F.size("_v")).distinct().collect())
-    found = [_linked(fine.filter(F.size("_v") == n), n, threshold, block_dims, seed, sample, block) for n in lengths]
+    found = [_linked(fine.filter(F.size("_v") == n), n, threshold, block_dims, seed, sample, block, whole or max(block, WHOLE // n)) for n in lengths]
     alone = rows.filter(~F.coalesce(fit, F.lit(False))).select("_id", F.lit(0).cast("bigint").alias("n_links"), F.col("_id").alias("component_id"))
     return reduce(DataFrame.unionByName, found, alone).select(
         F.col("_id").alias(id), "n_links", "component_id", F.col("_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 
-def _linked(able: DataFrame, length: int, threshold: float, block_dims: int, seed: int, sample: int, block: int) -> DataFrame:
+def _linked(able: DataFrame, length: int, threshold: float, block_dims: int, seed: int, sample: int, block: int, whole: int) -> DataFrame:
     """``_id, n_links, component_id`` of usable vectors (``_id, _v, _l``) of one length."""
+    spark = able.sparkSession
     unique = store(able.groupBy("_l", "_v").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("w")), "vectors")
     turn = rotation(length, seed)
     edges = np.arange(0, length + block_dims, block_dims).clip(max=length)
@@ -91,32 +101,63 @@ def _linked(able: DataFrame, length: int, threshold: float, block_dims: int, see
         flat = np.concatenate([np.asarray(v, np.float64) for v in column]) if len(column) else np.empty(0)
         return flat.reshape(len(column), length)
 
-    learn = unique.select("_v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toPandas()["_v"]
-    middle = np.median(rotate(units(stacked(learn))[1], turn), axis=0) if len(learn) else np.zeros(length)
-
-    def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if not len(part):
-                continue
-            raw = stacked(part["_v"])
-            turned = rotate(units(raw)[1], turn) - middle
-            part = part.drop(columns="_v").assign(x=[v.tobytes() for v in raw.astype(packed)])
-            for b, (lo, hi) in enumerate(spans):
-                y = turned[:, lo:hi]
-                flips = ((np.arange(1 << (hi - lo))[:, None] >> np.arange(hi - lo)) & 1).astype(float)
-                home = ((y > 0) << np.arange(hi - lo)).sum(axis=1)
-                reached = (y * y) @ flips.T <= budget * (hi - lo) / length + _EPS
-                cell = home[:, None] ^ np.arange(1 << (hi - lo))
-                r, f = np.nonzero(reached & ((cell > home[:, None]) | (flips.sum(axis=1) == 0)))
-                out = part.iloc[r].reset_index(drop=True)
-                out["block"], out["cell"], out["guest"] = b, cell[r, f], f > 0
-                yield out
-
-    sent = unique.mapInPandas(
-        send, f"_l {kind['_l']}, rep {kind['rep']}, w bigint, x binary, block int, cell int, guest boolean"
-    )
-    keys = ["_l", "block", "cell", "_a", "_b"]
-    dealt = block_pairs(sent, keys[:3], F.col("rep"), block)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                flat = np.ascontiguousarray(batch.column("_v").flatten().to_numpy(zero_copy_only=False), packed)
+                ends = np.arange(len(batch) + 1, dtype=np.int32) * np.int32(length * flat.itemsize)
+                x = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_l", "rep", "w")], x], names=["_l", "rep", "w", "x"])
+
+    def middles() -> np.ndarray:
+        learn = unique.select("_v").orderBy(F.xxhash64("rep"), "rep").limit(sample).toPandas()["_v"]
+        return np.median(rotate(units(stacked(learn))[1], turn), axis=0)
+
+    def cells(rows: DataFrame) -> DataFrame:
+        """``rows`` in every cell they are sent to."""
+        middle = middles()
+
+        def send(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                if not len(part):
+                    continue
+                raw = np.frombuffer(b"".join(part["x"]), packed).astype(np.float64).reshape(len(part), length)
+                turned = rotate(units(raw)[1], turn) - middle
+                for b, (lo, hi) in enumerate(spans):
+                    y = turned[:, lo:hi]
+                    flips = ((np.arange(1 << (hi - lo))[:, None] >> np.arange(hi - lo)) & 1).astype(float)
+                    home = ((y > 0) << np.arange(hi - lo)).sum(axis=1)
+                    reached = (y * y) @ flips.T <= budget * (hi - lo) / length + _EPS
+                    cell = home[:, None] ^ np.arange(1 << (hi - lo))
+                    r, f = np.nonzero(reached & ((cell > home[:, None]) | (flips.sum(axis=1) == 0)))
+                    out = part.iloc[r].reset_index(drop=True)
+                    out["block"], out["cell"], out["guest"] = b, cell[r, f], f > 0
+                    yield out
+
+        return rows.mapInPandas(send, f"{fields}, block int, cell int, guest boolean")
+
+    fields = f"_l {kind['_l']}, rep {kind['rep']}, w bigint, x binary"
+    rows = unique.select("_l", "rep", "w", "_v").mapInArrow(pack, fields)
+    places = ["_l", "block", "cell"]
+    together = rows.withColumns({"block": F.lit(-1), "cell": F.lit(0), "guest": F.lit(False)})
+    # A vector goes to a cell in each block at least, so only a label of more chunks than blocks can do better by cells.
+    crowded = unique.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > whole * len(spans)).collect()
+    if crowded:
+        crowded = spark.createDataFrame(crowded, f"_l {kind['_l']}, _n bigint")
+        sent = cells(rows.join(F.broadcast(crowded.select("_l")), "_l")).groupBy(*places).count()
+        copies = F.col("count") * F.ceil(F.col("count") / block)
+        by_cells = (
+            sent.groupBy("_l").agg(F.sum(copies).alias("_sent")).join(F.broadcast(crowded), "_l")
+            .filter(F.col("_sent") < F.col("_n") * F.ceil(F.col("_n") / whole)).select("_l").collect()
+        )
+        pruned = F.broadcast(spark.createDataFrame(by_cells, f"_l {kind['_l']}"))
+        together = together.join(pruned, "_l", "left_anti")
+    dealt = block_pairs(together, places, F.col("rep"), whole)
+    if crowded and by_cells:
+        dealt = dealt.unionByName(block_pairs(cells(rows.join(pruned, "_l")), places, F.col("rep"), block))
+    keys = [*places, "_a", "_b"]
+    # Of products of singles, how far they may be off.
+    margin = (length + 16) * 2.0**-23
 
     def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in sorted_groups(parts, keys):
@@ -126,39 +167,47 @@ def _linked(able: DataFrame, length: int, threshold: float, block_dims: int, see
             raw = np.frombuffer(b"".join(group["x"]), packed).astype(np.float64).reshape(len(group), length)
             raw, unit = units(raw)
             norm = np.sqrt((raw * raw).sum(axis=1))
-            turned = None
-            side = group["_q"].to_numpy()
             a, b, here = int(group["_a"].iloc[0]), int(group["_b"].iloc[0]), int(group["block"].iloc[0])
-            at = np.arange(len(group))
-            left, right = [], []
-            for lo in range(0, len(group), 256):
-                mine = at[lo : lo + 256]
-                close = unit[mine] @ unit.T >= threshold - _EPS
-                close &= at[None, :] > mine[:, None]
-                close &= ~(guest[mine][:, None] & guest[None, :])
-                if a != b:
-                    close &= side[mine][:, None] != side[None, :]
-                i, j = np.nonzero(close)
-                if len(i) and turned is None:
-                    turned = rotate(unit, turn)
-                for s in range(0, len(i), 65_536):
-                    p, q = mine[i[s : s + 65_536]], j[s : s + 65_536]
-                    exact = (raw[p] * raw[q]).sum(axis=1) / (norm[p] * norm[q]) >= threshold
-                    p, q = p[exact], q[exact]
-                    gap = (turned[p] - turned[q]) ** 2
-                    within = np.stack([gap[:, x:y].sum(axis=1) <= budget * (y - x) / length + _EPS for x, y in spans])
-                    first = within.argmax(axis=0) == here
-                    left.append(p[first])
-                    right.append(q[first])
-            if not left:
-                continue
-            p, q = np.concatenate(left), np.concatenate(right)
-            if not len(p):
-                continue
-            w = group["w"].to_numpy()
-            n = np.bincount(p, w[q], len(group)) + np.bincount(q, w[p], len(group))
-            root = local_components(len(group), p, q)
+            turned = rotate(unit, turn) if here >= 0 else None
+            unit = unit.astype(np.float32)
+            w, n, root = group["w"].to_numpy(), np.zeros(len(group)), np.arange(len(group))
+            side = group["_q"].to_numpy()
+            rows, columns = (np.flatnonzero(side == a), np.flatnonzero(side == b)) if a != b else (np.arange(len(group)),) * 2
+            left, right, held = [], [], 0
+            for lo in range(0, len(rows), TILE_ROWS):
+                mine = rows[lo : lo + TILE_ROWS]
+                for at in range(lo if a == b else 0, len(columns), TILE):
+                    others = columns[at : at + TILE]
+                    product = unit[mine] @ unit[others].T
+                    i, j = np.nonzero(product >= threshold - margin)
+                    sure = product[i, j] >= threshold + margin
+                    p, q = mine[i], others[j]
+                    take = ~(guest[p] & guest[q])
+                    if a == b:
+                        take &= q > p
+                    p, q, sure = p[take], q[take], sure[take]
+                    for s in range(0, len(p), 65_536):
+                        x, y, link = p[s : s + 65_536], q[s : s + 65_536], sure[s : s + 65_536].copy()
+                        if not link.all():
+                            open_x, open_y = x[~link], y[~link]
+                            link[~link] = (raw[open_x] * raw[open_y]).sum(axis=1) / (norm[open_x] * norm[open_y]) >= threshold
+                        x, y = x[link], y[link]
+                        if here >= 0:
+                            gap = (turned[x] - turned[y]) ** 2
+                            within = np.stack([gap[:, u:v].sum(axis=1) <= budget * (v - u) / length + _EPS for u, v in spans])
+                            first = within.argmax(axis=0) == here
+                            x, y = x[first], y[first]
+                        n += np.bincount(x, w[y], len(group)) + np.bincount(y, w[x], len(group))
+                        left.append(x)
+                        right.append(y)
+                        held += len(x)
+                        if held > HELD:
+                            root = local_components(len(group), np.concatenate([root, *left]), np.concatenate([np.arange(len(group)), *right]))
+                            left, right, held = [], [], 0
             linked = n > 0
+            if not linked.any():
+                continue
+            root = local_components(len(group), np.concatenate([root, *left]), np.concatenate([np.arange(len(group)), *right]))
             rep = group["rep"].to_numpy()
             yield pd.DataFrame({"rep": rep[linked], "root": rep[root[linked]], "n": n[linked].astype(np.int64)})
 

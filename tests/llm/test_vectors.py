@@ -89,3 +89,32 @@ def test_three_lengths(spark):
         if i % 20 == 0:
             want = [j for _, j in sorted((-float((v * w).sum()), j) for j, w in same)][:20]
             assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == i] == want
+
+
+def test_few_copies(spark, monkeypatch):
+    """Evenly spread vectors, which no cell prunes, go to few places each; crowded labels that cells prune give the same links."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 32))
+    x[::10] = x[1::10] + 0.05 * rng.normal(size=(300, 32))
+    table = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x.astype(np.float32))], SCHEMA)
+    sent = []
+    deal = vector_dups.block_pairs
+    monkeypatch.setattr(vector_dups, "block_pairs", lambda *a: sent.append(deal(*a)) or sent[-1])
+    got = sorted(tuple(r) for r in vector_dups.near_vectors(table).collect())
+    assert sum(d.count() for d in sent) <= 2 * 3000
+    unit = np.array([r[1] for r in table.orderBy("vec_id").collect()], float)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    link = (unit @ unit.T >= 0.93) & (np.arange(3000) % 2 == np.arange(3000)[:, None] % 2)
+    assert [r[1] for r in got] == (link.sum(axis=1) - 1).tolist()
+    assert sorted(tuple(r) for r in vector_dups.near_vectors(table, whole=500).collect()) == got
+    monkeypatch.setattr(vector_dups, "HELD", 3)
+    # Vectors that lie close together, label by label: there the cells send less.
+    far = np.zeros((400, 16))
+    far[np.arange(400), np.arange(400) // 25] = 5.0
+    tight = far + 0.02 * rng.normal(size=(400, 16))
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(tight.astype(np.float32))], SCHEMA)
+    sent.clear()
+    by_cells = sorted(tuple(r) for r in vector_dups.near_vectors(table, whole=4, block=100).collect())
+    assert {r[0] for d in sent for r in d.select("block").distinct().collect()} == {0, 1}
+    assert by_cells == sorted(tuple(r) for r in vector_dups.near_vectors(table).collect())
+    assert {r[1] for r in by_cells} == {24}
