@@ -1,5 +1,7 @@
 """The neighbour index against brute force: levels, rare presence patterns, many dimensions, and what it visits."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -122,6 +124,28 @@ def test_runs_of_boxes_lose_no_cell(monkeypatch):
     assert ((tree.best(q, 5, [0]) >= 0) == (flat.best(q, 5, [0]) >= 0)).all()
 
 
+def test_boxes_within_reach_come_in_pieces(monkeypatch):
+    """Queries that reach every box: what is held at once does not grow with the boxes, and nothing is lost or out of order."""
+    rng = np.random.default_rng(12)
+    low = rng.normal(size=(20_000, 3))
+    order = cells.Order.learn(low[:500])
+    monkeypatch.setattr(cells, "_PAIRS", 20_000)
+    n = np.arange(len(low))
+    boxes = cells.Boxes(n, low, low + 0.01, np.ones((len(low), 3), np.int64), np.empty((len(low), 0)), np.empty((len(low), 0)), n * 0 + 1, order.pivots).with_runs()
+    q = rng.normal(size=(40, 3))
+    q[::2] = 50.0
+    reach = {-1: np.where(np.arange(40) % 2, np.inf, 1.0)}
+    tracemalloc.start()
+    held = [(len(row), row[0], row[-1], (np.diff(row) >= 0).all()) for row, _ in boxes.reached(q, reach) if len(row)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(h[0] for h in held) == 20 * 20_000 and max(h[0] for h in held) <= 20_000
+    assert all(h[3] for h in held) and all(a[2] <= b[1] for a, b in zip(held, held[1:], strict=False))
+    assert peak < 8e6
+    row, node = boxes.within(q, reach)
+    assert (row == np.repeat(np.arange(1, 40, 2), 20_000)).all() and (node == np.tile(n, 20)).all()
+
+
 def test_one_row_a_query_leaves_a_visit():
     """Neighbours leave a block as lists, and lists of one query meet in one."""
     rng = np.random.default_rng(8)
