@@ -63,6 +63,29 @@ def test_step_and_saved_centroids(spark, tmp_path):
     assert sorted(r.again for r in far.collect()) == sorted(r.cluster for r in fit.table.collect())
 
 
+def test_clusters_of_all_labels_are_counted_in_one_job(spark):
+    """Labels of one type are counted together, NULL included and in their order; a round of k-means plans no query."""
+    rows = [(float(i), i % 3 if i % 5 else None, i % 2, "ab"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "u double, `a` int, `b.c` int, s string")
+    queries = []
+    counting = type(df).collect
+
+    def counted(self):
+        queries.append(self)
+        return counting(self)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(df), "collect", counted)
+        sizes = cluster._cluster_sizes(df, ["a", "b.c", "s"])
+        assert len(queries) == 2
+        blocks = kmeans._packed(df.select("u"))
+        for _ in range(3):
+            assert kmeans._pass(blocks, 1, {2: np.array([[0.0], [40.0]])}, 59.0)[2][0].tolist() == [21, 39]
+        assert len(queries) == 2
+    assert list(sizes["a"].items()) == [(None, 12), (0, 16), (1, 16), (2, 16)]
+    assert list(sizes["b.c"].items()) == [(0, 30), (1, 30)] and list(sizes["s"].items()) == [("a", 30), ("b", 30)]
+
+
 def test_rounds_read_packed_rows(spark, monkeypatch):
     """Rounds read blocks of rows, which cut the rows anywhere, and need no shuffle."""
     monkeypatch.setattr(kmeans, "PACKED", 64)
